@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.llm import simhash
+from gridloom.llm import decontaminate, langid, media, packing, quality, simhash, tokens
 
-MODULES = [simhash]
+MODULES = [simhash, media, tokens, quality, packing, langid, decontaminate]
 
 
 def queries() -> dict:
