@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, langid, media, packing, quality, simhash, tokens
+from gridloom.llm import decontaminate, langid, lines, media, packing, passages, quality, simhash, tokens, urls
 
-MODULES = [simhash, media, tokens, quality, packing, langid, decontaminate]
+MODULES = [simhash, media, tokens, quality, passages, urls, packing, langid, lines, decontaminate]
 
 
 def queries() -> dict:

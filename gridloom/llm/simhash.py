@@ -164,9 +164,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id. Rows with a null doc_id stay."""
-    groups = simhash_groups(docs.select("doc_id", "text"))
+    groups = simhash_groups(docs.select("doc_id", "text"), width)
     dropped = groups.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti")
 
