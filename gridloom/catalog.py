@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from gridloom.plans import evaluation, stitching
+
+MODULES = [evaluation, stitching]
 
 
 def queries() -> dict:

@@ -1,0 +1,20 @@
+"""Tables written between the rounds of an iterative operator."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write to the shared folder that ``spark.checkpoint.dir`` names and read back: lineage ends there."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-gridloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/gridloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
