@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import evaluation, stitching
+from gridloom.plans import evaluation, stitching, tilings
 
-MODULES = [evaluation, stitching]
+MODULES = [evaluation, stitching, tilings]
 
 
 def queries() -> dict:
