@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import evaluation, labelling, splitting, stitching, tilings
+from gridloom.plans import evaluation, imagery, labelling, splitting, stitching, tilings
 
-MODULES = [evaluation, stitching, tilings, labelling, splitting]
+MODULES = [evaluation, stitching, tilings, labelling, splitting, imagery]
 
 
 def queries() -> dict:
