@@ -120,7 +120,7 @@ def _sql() -> str:
     sites = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in SITE_RULES)
     globs = ", ".join(f"('{p}', '{p.replace('^', '(?:[^a-z0-9]|^|$)')}', '{v}')" for p, v in PATTERNS)
     return f"""
-WITH site(shost, spath, sverdict) AS (VALUES {sites}), glob(gpattern, gregex, gverdict) AS (VALUES {globs}),
+WITH site(shost, spath, sverdict) AS (VALUES {sites}), pats(gpattern, gregex, gverdict) AS (VALUES {globs}),
 r AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 d AS (SELECT DISTINCT host, path FROM u),
@@ -128,7 +128,7 @@ s AS (SELECT host, path, arg_max(shost || spath, length(shost || spath)) AS rule
       FROM d JOIN site ON (host = shost OR ends_with(host, '.' || shost)) AND starts_with(path, spath) GROUP BY host, path),
 g AS (SELECT host, path, arg_min(gpattern, (CASE gverdict WHEN 'block' THEN '0' ELSE '1' END) || gpattern) AS pattern,
       arg_min(gverdict, (CASE gverdict WHEN 'block' THEN '0' ELSE '1' END) || gpattern) AS verdict
-      FROM d JOIN glob ON regexp_matches(lower(host || path), gregex) GROUP BY host, path)
+      FROM d JOIN pats ON regexp_matches(lower(host || path), gregex) GROUP BY host, path)
 SELECT u.page_id, u.host, u.path, s.rule, coalesce(s.verdict, g.verdict, 'allow') AS verdict, CASE WHEN s.rule IS NULL THEN g.pattern END AS pattern
 FROM u LEFT JOIN s USING (host, path) LEFT JOIN g USING (host, path)"""
 
