@@ -184,39 +184,39 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """Rows (path, nth, doc_id, before, n_tokens, ids): each document of each shard; before: ids of the shard before it."""
+    """Rows (doc_id, start, n_tokens, ids) of all shards; start: ids of all documents before it.
+
+    The running sum is over shards (one manifest row each), not over documents: within a shard the reader counts on.
+    """
+    names = ["doc_id", "start", "n_tokens", "ids"]
+
+    def rows_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.binary()], strict=True)], names)
 
     def run(batches):
         for b in batches:
-            for path in b["path"].to_pylist():
+            for path, start in zip(b["path"].to_pylist(), b["base"].to_pylist(), strict=True):
                 with open_file(path) as stream:
-                    rows, before, size = [], 0, 0
-                    for nth, (doc_id, value) in enumerate(reader := ShardReader(stream)):
+                    rows, size = [], 0
+                    for doc_id, value in (reader := ShardReader(stream)):
                         n = len(value) // reader.width
-                        rows.append((path, nth, doc_id, before, n, np.frombuffer(value, f"<u{reader.width}").astype("<u4").tobytes()))
-                        before, size = before + n, size + len(value)
-                        if size > 1 << 22:
-                            yield _rows(rows)
+                        rows.append((doc_id, start, n, np.frombuffer(value, f"<u{reader.width}").astype("<u4").tobytes()))
+                        start, size = start + n, size + len(value)
+                        if size > 1 << 21:
+                            yield rows_of(rows)
                             rows, size = [], 0
-                    yield _rows(rows)
-
-    def _rows(rows):
-        names = ["path", "nth", "doc_id", "before", "n_tokens", "ids"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                    if rows:
+                        yield rows_of(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, "path string, nth long, doc_id long, before long, n_tokens long, ids binary")
+    ahead = Window.orderBy("first", "last", "path").rowsBetween(Window.unboundedPreceding, -1)
+    placed = manifest.select("path", F.coalesce(F.sum("ids").over(ahead), F.lit(0)).alias("base"))
+    # a task for each shard: their rows are few, but each stands for a file
+    return placed.repartition(max(1, manifest.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_spans(manifest: DataFrame) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids_crc32) read back from the shards; start: ids of all documents before it.
-
-    The running sum is over shards (one manifest row each), not over documents: within a shard the reader counts.
-    """
-    spans = read_shards(manifest).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    ahead = Window.orderBy("first", "last", "path").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.select("path", F.coalesce(F.sum("ids").over(ahead), F.lit(0)).alias("base"))
-    return spans.join(shards, "path").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    """Rows (doc_id, start, n_tokens, ids_crc32) read back from the shards."""
+    return read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
