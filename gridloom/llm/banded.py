@@ -45,20 +45,22 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: Callable[[Column, Colu
 
 
 def near_components(buckets: DataFrame, texts: DataFrame, similar: Callable[[Column, Column], Column]) -> DataFrame:
-    """Rows (node, comp) of the texts that have a link; ``texts``: (key, text), equal keys having equal texts."""
-    buckets = cut(buckets, "buckets")
-    leaders = buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.max("key").alias("most")).where("leader != most").select("bucket", "leader")
-    members = cut(buckets.join(leaders, "bucket").distinct(), "members")
-    links = verified(members.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")), texts, similar)
+    """Rows (node, comp) of the texts that have a link; ``texts``: (key, text), equal keys having equal texts.
+
+    ``buckets`` is read twice; write it first if it is dear to compute.
+    """
+    leaders = buckets.groupBy("bucket").agg(F.min("key").alias("leader"))
+    others = cut(buckets.join(leaders, "bucket").where("key != leader").distinct(), "others")
+    links = verified(others.select(F.col("leader").alias("a"), F.col("key").alias("b")), texts, similar)
     comp = cut(components(links, "a", "b"), "comp")
 
     own, leads = comp.select(F.col("node").alias("key"), "comp"), comp.select(F.col("node").alias("leader"), F.col("comp").alias("lead"))
-    placed = members.join(own, "key", "left").join(leads, "leader", "left").withColumns({"comp": F.coalesce("comp", "key"), "lead": F.coalesce("lead", "leader")})
-    placed = cut(placed.select("bucket", "key", "leader", "comp", "lead"), "placed")
-    strange = placed.where("comp != lead").select("bucket", F.col("key").alias("a"), F.col("comp").alias("a_comp"))
+    placed = others.join(own, "key", "left").join(leads, "leader", "left").withColumns({"comp": F.coalesce("comp", "key"), "lead": F.coalesce("lead", "leader")})
+    placed = cut(placed.select("bucket", "key", "comp", (F.col("comp") != F.col("lead")).alias("strange")), "placed")
+    strange = placed.where("strange").select("bucket", F.col("key").alias("a"), F.col("comp").alias("a_comp"))
     if strange.isEmpty():
         return comp
-    met = placed.where("key != leader").select("bucket", F.col("key").alias("b"), F.col("comp").alias("b_comp"), (F.col("comp") != F.col("lead")).alias("b_strange"))
+    met = placed.select("bucket", F.col("key").alias("b"), F.col("comp").alias("b_comp"), F.col("strange").alias("b_strange"))
     more = strange.join(met, "bucket").where("a_comp != b_comp AND (NOT b_strange OR a < b)")
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return components(links.unionByName(verified(more, texts, similar)), "a", "b")
