@@ -8,6 +8,7 @@ from gridloom.functions.boxes import DENSITY_SQL, ORDER_SQL
 from gridloom.operators import labels, splits
 from gridloom.plans.fixtures import ctes, view
 from gridloom.plans.registry import Registry
+from gridloom.plans.tables import written
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -27,8 +28,9 @@ def _loaded(spark, sf_dir):
 
 
 def _tiles(spark, sf_dir):
+    """Tiles with their bins, written once: the later steps of a split read them many times."""
     images = view(spark, sf_dir, "images").select("image_id", "sheet", "split", F.expr(KEY).alias("k"))
-    return splits.assign_density(images, _loaded(spark, sf_dir))
+    return written(splits.assign_density(images, _loaded(spark, sf_dir)))
 
 
 def _stats(spark, sf_dir):
@@ -77,8 +79,9 @@ def sample_ctes(out: str, split: str, target: int, exclude: str) -> str:
 SAMPLE = ALL + sample_ctes("picked", "train", TARGET, "SELECT sheet FROM stress")
 
 
-def _picked(spark, sf_dir):
-    return splits.stratified_sample(_tiles(spark, sf_dir).where("split = 'train'"), TARGET, SHARES, "k", stress_sheets(spark, sf_dir))
+def _picked(spark, sf_dir, tiles=None, stress=None):
+    tiles, stress = tiles or _tiles(spark, sf_dir), stress or written(stress_sheets(spark, sf_dir))
+    return written(splits.stratified_sample(tiles.where("split = 'train'"), TARGET, SHARES, "k", stress))
 
 
 @query("stratified_sample", SAMPLE + " SELECT * FROM picked")
@@ -93,18 +96,25 @@ FEW = ", few AS (SELECT DISTINCT sheet FROM picked WHERE image_id % 4 = 0 AND CA
 NEGATIVE = NEGATIVE.replace(", negatives AS", FEW + ", negatives AS")
 
 
-def _negatives(spark, sf_dir):
-    few = _picked(spark, sf_dir).where("image_id % 4 = 0 AND CAST(substr(sheet, 2) AS BIGINT) % 2 = 0")
-    tiles = _tiles(spark, sf_dir).join(stress_sheets(spark, sf_dir).select("sheet"), "sheet", "left_anti")
+def _negatives(spark, sf_dir, tiles, stress, picked):
+    few = picked.where("image_id % 4 = 0 AND CAST(substr(sheet, 2) AS BIGINT) % 2 = 0")
+    tiles = tiles.join(stress.select("sheet"), "sheet", "left_anti")
     files = view(spark, sf_dir, "images").where("image_id % 11 <> 0")
     tok = labels.tokens()
     panels = view(spark, sf_dir, "label_lines").where((F.get(tok, F.lit(0)) == "0") & (F.size(tok) >= 5))
-    return splits.hard_negatives(tiles, few, files, panels, "k", NEGATIVES)
+    return written(splits.hard_negatives(tiles, few, files, panels, "k", NEGATIVES))
+
+
+def _parts(spark, sf_dir):
+    """The tables that a build goes through: tiles, stress sheets, positives and negatives."""
+    tiles, stress = _tiles(spark, sf_dir), written(stress_sheets(spark, sf_dir))
+    picked = _picked(spark, sf_dir, tiles, stress)
+    return tiles, stress, picked, _negatives(spark, sf_dir, tiles, stress, picked)
 
 
 @query("hard_negatives", NEGATIVE + " SELECT * FROM negatives")
 def hard_negatives(spark, sf_dir):
-    return _negatives(spark, sf_dir).select("image_id", "sheet", "split", "num_panels", "bin")
+    return _parts(spark, sf_dir)[3].select("image_id", "sheet", "split", "num_panels", "bin")
 
 
 AREAS = ", areas AS (SELECT image_id, min((x2 - x1) * (y2 - y1)) AS min_area, count(*) AS panels FROM gt_boxes GROUP BY image_id)"
@@ -146,8 +156,10 @@ BUILT = NEGATIVE + sample_ctes("vals", "val", VAL_TARGET, "SELECT sheet FROM str
 
 @query("build_splits", BUILT + " SELECT * FROM built")
 def build_splits(spark, sf_dir):
-    tiles, stress = _tiles(spark, sf_dir), stress_sheets(spark, sf_dir)
-    picked, negatives = _picked(spark, sf_dir), _negatives(spark, sf_dir)
+    return _built(*_parts(spark, sf_dir))
+
+
+def _built(tiles, stress, picked, negatives):
     taken = stress.select("sheet").unionByName(picked.select("sheet")).unionByName(negatives.select("sheet")).distinct()
     val = splits.stratified_sample(tiles.where("split = 'val'"), VAL_TARGET, SHARES, "k", taken)
     return splits.build_splits(tiles, stress, picked, negatives, val)
@@ -155,8 +167,9 @@ def build_splits(spark, sf_dir):
 
 @query("density_by_split", BUILT + " SELECT b.split, t.bin, count(*) AS tiles FROM built b JOIN tiles t USING (image_id) GROUP BY b.split, t.bin")
 def density_by_split(spark, sf_dir):
-    bins = _tiles(spark, sf_dir).select("image_id", "bin")
-    return build_splits(spark, sf_dir).join(bins, "image_id").groupBy("split", "bin").agg(F.count(F.lit(1)).alias("tiles"))
+    parts = _parts(spark, sf_dir)
+    bins = parts[0].select("image_id", "bin")
+    return _built(*parts).join(bins, "image_id").groupBy("split", "bin").agg(F.count(F.lit(1)).alias("tiles"))
 
 
 @query("split_summary", ctes("images", "gt_boxes") + " SELECT split, count(*) AS images, count(*) FILTER (image_id NOT IN (SELECT image_id FROM gt_boxes)) AS empty, count(*) FILTER (image_id IN (SELECT image_id FROM gt_boxes)) AS filled, CAST(count(*) FILTER (image_id NOT IN (SELECT image_id FROM gt_boxes)) AS DOUBLE) / count(*) AS negative_ratio FROM images GROUP BY split")
@@ -167,10 +180,11 @@ def split_summary(spark, sf_dir):
 @query("dataset_checks", BUILT + AREAS + f""", r AS (SELECT ratio FROM {RATIO.format('(SELECT * FROM areas SEMI JOIN picked USING (image_id))')}), n AS (SELECT count(*) FILTER (split = 'train') AS train, (SELECT count(*) FROM negatives) AS negatives, count(*) AS images FROM built), l AS (SELECT count(*) AS files FROM built WHERE image_id % 11 <> 0)
 SELECT 'images_minus_labels' AS name, CAST(images - files AS DOUBLE) AS value, images = files AS ok FROM n, l UNION ALL SELECT 'negative_ratio', CAST(negatives AS DOUBLE) / train, CAST(negatives AS DOUBLE) / train BETWEEN 0.25 AND 0.30 FROM n UNION ALL SELECT 'small_ratio', ratio, ratio >= 0.25 FROM r""")
 def dataset_checks(spark, sf_dir):
-    built = build_splits(spark, sf_dir)
+    tiles, stress, picked, chosen = _parts(spark, sf_dir)
+    built = _built(tiles, stress, picked, chosen)
     counts = built.agg(F.count_if(F.col("split") == "train").alias("train"), F.count(F.lit(1)).alias("images"), F.count_if(F.col("image_id") % 11 != 0).alias("files"))
-    negatives = _negatives(spark, sf_dir).agg(F.count(F.lit(1)).alias("negatives"))
-    areas = splits.tile_areas(view(spark, sf_dir, "gt_boxes")).join(_picked(spark, sf_dir).select("image_id"), "image_id", "left_semi")
+    negatives = chosen.agg(F.count(F.lit(1)).alias("negatives"))
+    areas = splits.tile_areas(view(spark, sf_dir, "gt_boxes")).join(picked.select("image_id"), "image_id", "left_semi")
     one = counts.crossJoin(F.broadcast(negatives)).crossJoin(F.broadcast(splits.small_ratio(areas).select("ratio")))  # one row each
     share = F.col("negatives") / F.col("train")
     rows = [("images_minus_labels", (F.col("images") - F.col("files")).cast("double"), F.col("images") == F.col("files")), ("negative_ratio", share, share.between(0.25, 0.30)), ("small_ratio", F.col("ratio"), F.col("ratio") >= 0.25)]
