@@ -175,15 +175,26 @@ def trainable(doc_id) -> object:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
 
 
+def hashed_sample(rows: DataFrame, by: str, sample: int) -> DataFrame:
+    """At most ``sample`` rows of each value of ``by``, those of the smallest hashed doc_id.
+
+    Rows are counted first, and only about eight times the sample, those under a hash bound, are ranked: what is ranked does
+    not grow with the table or with the number of its partitions.
+    """
+    bound = F.least(F.lit(1 << 30), F.ceil(F.lit(8.0 * sample * (1 << 30)) / F.count(F.lit(1)))).alias("bound")
+    low = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).join(rows.groupBy(by).agg(bound), by).where("at < bound")
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("at", "doc_id"))
+    return low.withColumn("nth", nth).where(F.col("nth") <= sample).drop("at", "bound", "nth")
+
+
 def train_on(docs: DataFrame, sample: int = SAMPLE) -> ByteTagger | None:
     """A network trained on at most ``sample`` documents of each language, those of the smallest hashed doc_id.
 
     Documents whose crc32(doc_id) is divisible by 5 are never learned from, nor are null texts or languages. None if there
     is nothing to learn from. The sample's texts are the only ones that reach the driver.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     usable = docs.where(trainable("doc_id") & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    ids = usable.select("doc_id", "lang").withColumn("nth", rank).where(F.col("nth") <= sample).select("doc_id").distinct()
+    ids = hashed_sample(usable.select("doc_id", "lang"), "lang", sample).select("doc_id").distinct()
     # at most ``sample`` ids a language, so this side may be broadcast
     rows = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").collect()
     if not rows:

@@ -12,10 +12,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.langid import trainable
+from gridloom.llm.langid import hashed_sample, trainable
 
 #: Labelled documents of each class that are learned from, at most.
 SAMPLE = 1500
@@ -110,10 +110,9 @@ def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     Documents whose crc32(doc_id) is divisible by 5 are never learned from. Null texts count as empty; null labels and values
     but 0 and 1 are left out. Without any usable row the score is 0.5 everywhere.
     """
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
     usable = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & trainable("doc_id"))
     # at most 2 x sample rows, so this side may be broadcast
-    picked = usable.withColumn("nth", rank).where(F.col("nth") <= sample).select("doc_id", "quality")
+    picked = hashed_sample(usable, "quality", sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
     if not rows:
         return np.zeros(BUCKETS, np.float32), 0.0
