@@ -1,19 +1,20 @@
 """Links between near-duplicate texts from banded signatures, with DataFrame operations only.
 
 Input is a table of buckets (bucket, key): a text's key once for each of its bands. Texts that share a bucket are candidates.
-In each bucket every member is compared with its leader, the smallest key: one candidate a row, never all pairs.
-
-What a member has that its leader has not leads to the other members that it may be linked to. Keys grow with the number of
-shingles, so a leader has no more shingles than any member. If then u is unlike its leader L but like another member x, they
-share a shingle that L lacks: else their intersection would lie within L, and it would be too small, as that of u and L is. So
-the shingles beside the leader's are the next level's sets: members of one leader that share a minimum of them, by ``DEEPER``
-hash orders, form the buckets of the next level, and so on until no bucket has two members. A leader is in none of its
-members' next buckets, so buckets shrink and the levels end; each one is linear in its rows.
+
+1. In each bucket every member is compared with its smallest key, the leader: one candidate a row, never all pairs.
+2. The links found are joined into components.
+3. Where a bucket holds members outside its leader's component, those strangers are compared with every member of another
+   component, first by their sketches (a byte of each of many minima, compared within the join, so that unlike texts make no
+   row), then exactly. A bucket of true copies is one component by now; what is left costs strangers x bucket comparisons of a
+   few machine words.
+
+A pair that shares a bucket thus ends up compared or connected, but for the sketches: of pairs of just the wanted similarity,
+about one in a thousand has so few equal bytes (three standard deviations under the mean) that it is passed over.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -26,30 +27,30 @@ from gridloom.llm.scratch import cut
 BROADCAST_KEYS = 1_000_000
 
 
-_draw = random.Random(13)
-#: Hash orders of the levels after the first.
-DEEPER = [_draw.getrandbits(64) - (1 << 63) for _ in range(16)]
+def jaccard(a: Column, b: Column) -> Column:
+    """The Jaccard similarity of two sets given as arrays; each array expression is evaluated once."""
+    counted = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("both"), (F.size(p["a"]) + F.size(p["b"])).alias("n")))
+    return F.get(F.transform(counted, lambda c: c["both"] / (c["n"] - c["both"])), F.lit(0))
 
 
-def compared(a: Column, b: Column) -> Column:
-    """A struct of the Jaccard similarity of two sets of hashes and the minima of what b has beside a.
-
-    Each array expression is evaluated once.
-    """
+def packed(minima: list[Column]) -> list[Column]:
+    """Sketch columns s0, s1, ...: the low byte of each minimum, eight to a long."""
+    out = []
+    for at in range(0, len(minima), 8):
+        word = F.lit(0).cast("long")
+        for i, m in enumerate(minima[at : at + 8]):
+            word = word.bitwiseOR(F.shiftleft(m.bitwiseAND(F.lit(255)), 8 * i))
+        out.append(word.alias(f"s{at // 8}"))
+    return out
 
-    def least_by(hashes, mask):
-        return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask))))
 
-    def count(p):
-        both = F.size(F.array_intersect(p["a"], p["b"]))
-        return F.struct(both.alias("both"), (F.size(p["a"]) + F.size(p["b"])).alias("n"), F.array_except(p["b"], p["a"]).alias("rest"))
-
-    def finish(c):
-        minima = [least_by(c["rest"], m) for m in DEEPER]
-        return F.struct((c["both"] / (c["n"] - c["both"])).alias("similarity"), F.when(F.size(c["rest"]) > 0, F.array(*minima)).alias("minima"))
-
-    counted = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), count)
-    return F.get(F.transform(counted, finish), F.lit(0))
+def agreeing(a: str, b: str, size: int) -> Column:
+    """How many of the ``size`` bytes of two sketches agree."""
+    out = F.lit(0)
+    for at in range(size):
+        x = F.col(f"{a}s{at // 8}").bitwiseXOR(F.col(f"{b}s{at // 8}"))
+        out = out + (F.shiftrightunsigned(x, 8 * (at % 8)).bitwiseAND(F.lit(255)) == 0).cast("int")
+    return out
 
 
 def texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
@@ -58,31 +59,43 @@ def texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(keys) if few else keys, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
 
 
-def tested(pairs: DataFrame, texts: DataFrame, shingles: Callable[[Column], Column]) -> DataFrame:
-    """Rows (a, b, similarity, minima) of distinct pairs; a written table."""
+def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[Column], Column], least: float) -> DataFrame:
+    """The pairs (a, b) whose exact similarity is ``least`` or more; a written table."""
+    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
     keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
     found = cut(texts_of(keys, texts), "texts")
     left, right = found.select(F.col("key").alias("a"), F.col("text").alias("left")), found.select(F.col("key").alias("b"), F.col("text").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", compared(shingles(F.col("left")), shingles(F.col("right"))).alias("c"))
-    return cut(both.select("a", "b", "c.similarity", "c.minima"), "tested")
+    alike = jaccard(shingles(F.col("left")), shingles(F.col("right"))) >= least
+    return cut(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "links")
 
 
-def near_components(buckets: DataFrame, texts: DataFrame, shingles: Callable[[Column], Column], least: float) -> DataFrame:
+def near_components(buckets: DataFrame, sketches: DataFrame, size: int, texts: DataFrame, shingles: Callable[[Column], Column], least: float) -> DataFrame:
     """Rows (node, comp) of the texts that have a link, a similarity of ``least`` or more.
 
-    ``texts``: (key, text), equal keys having equal texts; ``shingles`` gives a text's set of hashes. Keys are positive and do
-    not fall as the number of shingles grows. ``buckets`` is read twice; write it first if it is dear to compute.
+    ``sketches``: (key, s0, s1, ...) of ``size`` minima by ``packed``; ``texts``: (key, text), equal keys having equal texts;
+    ``shingles`` gives a text's set of hashes. ``buckets`` is read twice; write it first if it is dear to compute.
     """
-    links = None
-    while True:
-        leaders = buckets.groupBy("bucket").agg(F.min("key").alias("leader"))
-        pairs = buckets.join(leaders, "bucket").where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-        pairs = cut(pairs, "pairs")
-        if links is not None and pairs.isEmpty():
-            break
-        level = tested(pairs, texts, shingles)
-        found = level.where(F.col("similarity") >= least).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        each = level.where("minima IS NOT NULL").select("a", F.col("b").alias("key"), F.posexplode("minima").alias("nth", "least"))
-        buckets = cut(each.select(F.xxhash64("a", "nth", "least").alias("bucket"), "key"), "deeper")
-    return components(links, "a", "b")
+    leaders = buckets.groupBy("bucket").agg(F.min("key").alias("leader"))
+    others = cut(buckets.join(leaders, "bucket").where("key != leader").distinct(), "others")
+    links = verified(others.select(F.col("leader").alias("a"), F.col("key").alias("b")), texts, shingles, least)
+    comp = cut(components(links, "a", "b"), "comp")
+
+    own, leads = comp.select(F.col("node").alias("key"), "comp"), comp.select(F.col("node").alias("leader"), F.col("comp").alias("lead"))
+    placed = others.join(own, "key", "left").join(leads, "leader", "left").withColumns({"comp": F.coalesce("comp", "key"), "lead": F.coalesce("lead", "leader")})
+    placed = cut(placed.select("bucket", "key", "comp", (F.col("comp") != F.col("lead")).alias("strange")), "placed")
+    mixed = placed.where("strange").select("bucket").distinct()
+    met = placed.join(mixed, "bucket", "left_semi")
+    words = [c for c in sketches.columns if c != "key"]
+    keys = cut(met.select("key").distinct(), "keys")
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    drawn = cut(sketches.join(F.broadcast(keys) if few else keys, "key", "left_semi").groupBy("key").agg(*(F.min(w).alias(w) for w in words)), "sketches")
+    met = cut(met.join(drawn, "key"), "met")
+    strange = met.where("strange").select("bucket", F.col("key").alias("a"), F.col("comp").alias("a_comp"), *(F.col(w).alias(f"a_{w}") for w in words))
+    every = met.select("bucket", F.col("key").alias("b"), F.col("comp").alias("b_comp"), F.col("strange").alias("b_strange"), *(F.col(w).alias(f"b_{w}") for w in words))
+    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("a_comp") != F.col("b_comp")) & (~F.col("b_strange") | (F.col("a") < F.col("b")))
+    bound = int(size * least - 3 * (size * least * (1 - least)) ** 0.5)
+    more = strange.alias("x").join(every.alias("y"), near & (agreeing("a_", "b_", size) >= bound))
+    more = cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    if more.isEmpty():
+        return comp
+    return components(links.unionByName(verified(more, texts, shingles, least)), "a", "b")
