@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,13 @@ def drop(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column _copy; doc_id (null-safe) and _copy together tell documents apart.
+
+    It is the hash of the text, so that different texts under one doc_id are documents of their own and repeated rows are one.
+    Rows with a null doc_id are documents each; they are written with a number of their own.
+    """
+    nameless = cut(docs.where("doc_id IS NULL").withColumn("_copy", F.monotonically_increasing_id()), "nameless")
+    return docs.where("doc_id IS NOT NULL").withColumn("_copy", F.xxhash64("text")).unionByName(nameless)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.scratch import cut
+from gridloom.llm.scratch import cut, told_apart
 
 RADIUS = 3
 #: Distinct fingerprints that one cell may hold; the second grid keeps this bound by construction (3 free nibbles).
@@ -101,15 +101,16 @@ def spanning_links(f: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """Rows (doc_id, fp); fp is the fingerprint's 64 bits as a signed long."""
+    """Rows (doc_id, fp), with _copy if ``docs`` has it; fp is the fingerprint's 64 bits as a signed long."""
+    names = [c for c in ("doc_id", "_copy") if c in docs.columns]
 
     def run(batches):
         for b in batches:
             f = np.array([fingerprint(t.as_py(), width) for t in b["text"]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(f, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(f, pa.int64())], [*names, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.select(*names, "text").mapInArrow(run, f"{kinds}, fp long")
 
 
 def _links_of(cells: DataFrame) -> DataFrame:
@@ -152,23 +153,38 @@ def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     Other columns of ``docs`` are not read.
     """
     prints = cut(fingerprints(docs, width), "prints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    comp = components(hamming_links(distinct.select("fp")), "a", "b")
-    labelled = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    labelled = _labelled(prints)
     least = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
     ids = labelled.join(least, "comp").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _labelled(prints: DataFrame) -> DataFrame:
+    """Rows (fp, least, comp): each distinct fingerprint, its smallest doc_id and its component."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    comp = components(hamming_links(distinct.select("fp")), "a", "b")
+    return distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id. Rows with a null doc_id stay."""
-    groups = simhash_groups(docs.select("doc_id", "text"), width)
-    dropped = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    """One row of each group stays: the one with the smallest doc_id, null after all others.
+
+    Rows with a null doc_id and different texts under one doc_id are told apart; of repeated rows that stay one is left.
+    """
+    told = told_apart(docs)
+    prints = cut(fingerprints(told, width), "prints")
+    grouped = cut(prints.join(_labelled(prints).select("fp", "comp"), "fp").groupBy("comp", "doc_id", "_copy").agg(F.count(F.lit(1)).alias("n")), "grouped")
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_copy")
+    first = grouped.groupBy("comp").agg(F.min(own).alias("first"))
+    judged = grouped.join(first, "comp").select(F.col("doc_id").alias("_doc"), F.col("_copy").alias("_same"), "n", own.eqNullSafe(F.col("first")).alias("kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_copy") == F.col("_same"))
+    stay = told.join(judged.where("NOT kept OR n > 1"), same, "left_anti")
+    repeated = told.join(judged.where("kept AND n > 1"), same, "left_semi").dropDuplicates(["doc_id", "_copy"])
+    return stay.unionByName(repeated).select(*docs.columns)
 
 
 QUERIES = {"op1_simhash": op1_simhash}

@@ -95,3 +95,10 @@ def test_components_on_chains_and_stars(spark):
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges + edges[:5] + [(None, 3), (4, 4)], "p long, q long"), "p", "q").collect()}
     nodes = {n for e in edges if e[0] != e[1] for n in e}
     assert got == groups([e for e in edges if e[0] != e[1]], nodes)
+
+
+def test_one_row_of_a_group_stays_whatever_its_id(spark):
+    texts = [" ".join(f"{c}{i}x{i * 7}" for i in range(60)) for c in "abcde"]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (2, texts[1]), (2, texts[2]), (3, texts[2]), (None, texts[0]), (None, texts[3]), (None, texts[3]), (None, texts[4])]
+    got = simhash.keep_one(docs(spark, rows)).select("doc_id", "text").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", texts[0]), ("2", texts[1]), ("2", texts[2]), ("None", texts[3]), ("None", texts[4])])
