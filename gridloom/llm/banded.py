@@ -1,30 +1,44 @@
-"""Links between near-duplicate texts from banded signatures, with DataFrame operations only.
+"""Links between near-duplicate texts from MinHash signatures, with DataFrame operations only.
 
-Input is a table of buckets (bucket, key): a text's key once for each of its bands. Texts that share a bucket are candidates.
+A signature (key, m0, m1, ...) holds minima of 21 bits, three to a long. ``bands`` name the minima that make a bucket each; texts
+that share a bucket are candidates.
 
 1. In each bucket every member is compared with its smallest key, the leader: one candidate a row, never all pairs.
-2. The links found are joined into components.
-3. Where a bucket holds members outside its leader's component, those strangers are compared with every member of another
-   component, first by their sketches (a byte of each of many minima, compared within the join, so that unlike texts make no
-   row), then exactly. A bucket of true copies is one component by now; what is left costs strangers x bucket comparisons of a
-   few machine words.
-
-A pair that shares a bucket thus ends up compared or connected, but for the sketches: of pairs of just the wanted similarity,
-about one in a thousand has so few equal bytes (three standard deviations under the mean) that it is passed over.
+2. The links found are joined into components. Texts of buckets that hold one component are settled.
+3. The others are sorted by their minima, in as many orders as there are longs: grouped by one minimum, in the group by the minima
+   that follow. Each is compared with the ``NEIGHBOURS`` texts before it, if these are of another component: those share the
+   longest run of equal minima with it. That again is a fixed number of candidates a row, however large a group is. ``ROUNDS``
+   rounds begin at other minima.
+
+So candidates grow with the texts, not with the square of a bucket. A pair that shares a bucket is compared, or joined through
+others, or left out because both texts have that many nearer neighbours without a link. That happens in dense families whose
+members are mostly just under the similarity; the tests measure it there, and that nothing is lost in ordinary ones.
+
+Before texts are fetched, their minima are compared: a pair of the wanted similarity s that met in a band of r rows agrees in r
+minima and in a share s of the others. Pairs with so few equal minima that this happens less than once in ``RARE`` are passed
+over; the similarity of the others is computed exactly, from the sets of their shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
 from gridloom.llm.scratch import cut
 
-#: Keys (8 bytes each) that may be broadcast to pick the texts to compare; beyond it the texts are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+Texts = Callable[[DataFrame], DataFrame]
+Shingles = Callable[[Column], Column]
+
+#: Rows of a counted table that may be broadcast (two longs each); beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+NEIGHBOURS, ROUNDS = 4, 2
+RARE = 100_000
+FIELD = 21
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -34,68 +48,111 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def packed(minima: list[Column]) -> list[Column]:
-    """Sketch columns s0, s1, ...: the low byte of each minimum, eight to a long."""
-    out = []
-    for at in range(0, len(minima), 8):
-        word = F.lit(0).cast("long")
-        for i, m in enumerate(minima[at : at + 8]):
-            word = word.bitwiseOR(F.shiftleft(m.bitwiseAND(F.lit(255)), 8 * i))
-        out.append(word.alias(f"s{at // 8}"))
-    return out
+    """Columns m0, m1, ... that hold three minima of ``FIELD`` bits each."""
+    words = [reduce(Column.bitwiseOR, (F.shiftleft(m, FIELD * i) for i, m in enumerate(minima[at : at + 3]))) for at in range(0, len(minima), 3)]
+    return [w.alias(f"m{i}") for i, w in enumerate(words)]
+
+
+def minimum(i: int, side: str = "") -> Column:
+    return F.shiftrightunsigned(f"{side}m{i // 3}", FIELD * (i % 3)).bitwiseAND(F.lit((1 << FIELD) - 1))
+
 
+def affine_bands(order: int, classes: int) -> list[list[int]]:
+    """Lines of an affine plane of prime order: ``order`` x ``classes`` bands over ``order`` squared minima; two share one at most."""
+    return [[x * order + (slope * x + at) % order for x in range(order)] for slope in range(classes) for at in range(order)]
 
-def agreeing(a: str, b: str, size: int) -> Column:
-    """How many of the ``size`` bytes of two sketches agree."""
-    out = F.lit(0)
-    for at in range(size):
-        x = F.col(f"{a}s{at // 8}").bitwiseXOR(F.col(f"{b}s{at // 8}"))
-        out = out + (F.shiftrightunsigned(x, 8 * (at % 8)).bitwiseAND(F.lit(255)) == 0).cast("int")
-    return out
 
+def few(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``BROADCAST_ROWS`` rows; it should be a written table."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-def texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """One (key, text) for each key."""
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return texts.join(F.broadcast(keys) if few else keys, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
 
+def fewest_equal(total: int, rows: int, least: float) -> int:
+    """The number of equal minima that a pair of similarity ``least``, equal in a band of ``rows``, falls under once in ``RARE`` times."""
+    free, chance = total - rows, 0.0
+    for n in range(free + 1):
+        chance += comb(free, n) * least**n * (1 - least) ** (free - n)
+        if chance > 1 / RARE:
+            return rows + n
+    return total
 
-def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[Column], Column], least: float) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is ``least`` or more; a written table."""
+
+def _equal(count: int, a: str, b: str) -> Column:
+    """How many of the minima of two signatures are equal."""
+    return reduce(Column.__add__, ((minimum(i, a) == minimum(i, b)).cast("int") for i in range(count)))
+
+
+def likely(pairs: DataFrame, signed: DataFrame, count: int, fewest: int) -> DataFrame:
+    """The distinct pairs (a, b) with ``fewest`` equal minima or more; a written table."""
     pairs = cut(pairs.select("a", "b").distinct(), "pairs")
-    keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
-    found = cut(texts_of(keys, texts), "texts")
+    keys = few(cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys"))
+    words = [c for c in signed.columns if c != "key"]
+    drawn = cut(signed.join(keys, "key", "left_semi").groupBy("key").agg(*(F.min(w).alias(w) for w in words)), "minima")
+    for side in "ab":
+        pairs = pairs.join(drawn.select(F.col("key").alias(side), *(F.col(w).alias(f"{side}_{w}") for w in words)), side)
+    return cut(pairs.where(_equal(count, "a_", "b_") >= fewest).select("a", "b"), "likely")
+
+
+def verified(pairs: DataFrame, texts: Texts, shingles: Shingles, least: float) -> DataFrame:
+    """The pairs (a, b) of a written table whose exact similarity is ``least`` or more; a written table."""
+    found = cut(texts(cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")), "texts")
     left, right = found.select(F.col("key").alias("a"), F.col("text").alias("left")), found.select(F.col("key").alias("b"), F.col("text").alias("right"))
     alike = jaccard(shingles(F.col("left")), shingles(F.col("right"))) >= least
     return cut(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "links")
 
 
-def near_components(buckets: DataFrame, sketches: DataFrame, size: int, texts: DataFrame, shingles: Callable[[Column], Column], least: float) -> DataFrame:
-    """Rows (node, comp) of the texts that have a link, a similarity of ``least`` or more.
+def _unsettled(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (key, comp) of the texts in buckets of two components or more; a written table. ``members``: (bucket, key)."""
+    rows = cut(members.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp")), "labelled")
+    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
+    return cut(rows.join(mixed, "bucket", "left_semi").select("key", "comp").distinct(), "unsettled")
+
+
+def _neighbours(unsettled: DataFrame, signed: DataFrame, count: int, fewest: int, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components that stand close in an order by minima; a written table."""
+    words = [c for c in signed.columns if c != "key"]
+    drawn = signed.join(few(unsettled), "key").select("key", "comp", *words).distinct()
+    starts = [(3 * w + turn) % count for w in range(len(words))]
+    orders = [F.struct(F.xxhash64(F.lit(i), minimum(i)).alias("group"), F.col(words[i // 3]).alias("next0"), *(F.col(words[(i // 3 + k) % len(words)]).alias(f"next{k}") for k in (1, 2))) for i in starts]
+    dealt = drawn.select("key", "comp", *words, F.explode(F.array(*orders)).alias("order")).select("key", "comp", *words, "order.*")
+    along = Window.partitionBy("group").orderBy("next0", "next1", "next2", "key")
+    pairs = dealt.withColumns({f"o{n}": F.lag(F.struct("key", "comp", *words), n).over(along) for n in range(1, NEIGHBOURS + 1)})
+    pairs = pairs.select("key", "comp", *words, F.explode(F.array(*(f"o{n}" for n in range(1, NEIGHBOURS + 1)))).alias("o")).where("o.comp != comp")
+    pairs = pairs.select("key", *words, F.col("o.key").alias("other"), *(F.col(f"o.{w}").alias(f"o_{w}") for w in words)).where(_equal(count, "", "o_") >= fewest)
+    return cut(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "near")
+
 
-    ``sketches``: (key, s0, s1, ...) of ``size`` minima by ``packed``; ``texts``: (key, text), equal keys having equal texts;
-    ``shingles`` gives a text's set of hashes. ``buckets`` is read twice; write it first if it is dear to compute.
+def near_components(signed: DataFrame, bands: list[list[int]], texts: Texts, shingles: Shingles, least: float) -> DataFrame:
+    """Rows (node, comp) of the texts that have a link, a similarity of ``least`` or more; comp is the smallest key joined.
+
+    ``signed`` is a written table of signatures (a key may repeat), ``texts`` gives one (key, text) for each key of a written
+    table, ``shingles`` a text's set of shingle hashes.
     """
-    leaders = buckets.groupBy("bucket").agg(F.min("key").alias("leader"))
-    others = cut(buckets.join(leaders, "bucket").where("key != leader").distinct(), "others")
-    links = verified(others.select(F.col("leader").alias("a"), F.col("key").alias("b")), texts, shingles, least)
+    count, rows = 1 + max(i for b in bands for i in b), max(map(len, bands))
+    each = F.array(*(F.xxhash64(F.lit(n), *(minimum(i) for i in b)) for n, b in enumerate(bands)))
+    buckets = signed.select("key", F.explode(each).alias("bucket"))
+    leaders = cut(buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader != last").select("bucket", "leader"), "leaders")
+    members = cut(buckets.join(few(leaders), "bucket").select("bucket", "key", "leader"), "members")
+    first = members.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
+    links = verified(likely(first, signed, count, fewest_equal(count, rows, least)), texts, shingles, least)
     comp = cut(components(links, "a", "b"), "comp")
+    for turn in range(ROUNDS):
+        near = _neighbours(_unsettled(members.select("bucket", "key"), comp), signed, count, fewest_equal(count, rows, least), turn)
+        found = verified(near, texts, shingles, least)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        comp = cut(components(links, "a", "b"), "comp")
+    return comp
+
 
-    own, leads = comp.select(F.col("node").alias("key"), "comp"), comp.select(F.col("node").alias("leader"), F.col("comp").alias("lead"))
-    placed = others.join(own, "key", "left").join(leads, "leader", "left").withColumns({"comp": F.coalesce("comp", "key"), "lead": F.coalesce("lead", "leader")})
-    placed = cut(placed.select("bucket", "key", "comp", (F.col("comp") != F.col("lead")).alias("strange")), "placed")
-    mixed = placed.where("strange").select("bucket").distinct()
-    met = placed.join(mixed, "bucket", "left_semi")
-    words = [c for c in sketches.columns if c != "key"]
-    keys = cut(met.select("key").distinct(), "keys")
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    drawn = cut(sketches.join(F.broadcast(keys) if few else keys, "key", "left_semi").groupBy("key").agg(*(F.min(w).alias(w) for w in words)), "sketches")
-    met = cut(met.join(drawn, "key"), "met")
-    strange = met.where("strange").select("bucket", F.col("key").alias("a"), F.col("comp").alias("a_comp"), *(F.col(w).alias(f"a_{w}") for w in words))
-    every = met.select("bucket", F.col("key").alias("b"), F.col("comp").alias("b_comp"), F.col("strange").alias("b_strange"), *(F.col(w).alias(f"b_{w}") for w in words))
-    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("a_comp") != F.col("b_comp")) & (~F.col("b_strange") | (F.col("a") < F.col("b")))
-    bound = int(size * least - 3 * (size * least * (1 - least)) ** 0.5)
-    more = strange.alias("x").join(every.alias("y"), near & (agreeing("a_", "b_", size) >= bound))
-    more = cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
-    if more.isEmpty():
-        return comp
-    return components(links.unionByName(verified(more, texts, shingles, least)), "a", "b")
+def with_hot(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``sizes`` (one row a ``key``, with a count ``n`` of its rows); a key of very many rows is not gathered.
+
+    Keys with more than a ten-thousandth of all rows are at most 10,000: they are broadcast. The others are joined by a shuffle.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(1000, total / 10_000)
+    met = rows.join(F.broadcast(sizes.where(hot)), key)
+    cold = rows.join(F.broadcast(sizes.where(hot).select(key)), key, "left_anti").join(sizes.where(~hot), key)
+    return met.unionByName(cold)
