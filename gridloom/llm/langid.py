@@ -1,9 +1,12 @@
 """Language identification: a bidirectional gated recurrent network over bytes, trained here by backpropagation through time.
 
-The network reads runs of visible bytes (parts of at most ``WIDEST`` bytes of the text between ASCII white space) forwards
-and backwards and gives each byte position a distribution over the languages. A document's distribution is the mean of the
-logarithms of its positions' distributions, normalised. As the state starts afresh in each run, equal runs have equal
-outputs; a worker keeps them in a bounded memo, so each distinct run is computed about once and whole texts are read.
+The network reads the bytes of a whole text, white space among them, forwards and backwards, and gives each byte position a
+distribution over the languages. A document's distribution is the mean of the logarithms of its positions' distributions,
+normalised.
+
+A text is read in windows of ``STRIDE`` bytes that overlap: each direction starts ``CONTEXT`` bytes before the positions that it
+labels (or at the text's edge), so every position is labelled with at least that much of the text behind its state. Windows of
+many texts are computed side by side, and a text of any length in windows of one size.
 """
 
 from __future__ import annotations
@@ -16,12 +19,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Documents of each language that the network learns from, at most.
-SAMPLE = 600
-#: Runs that the network learns from, at most, and the size and number of its steps.
-RUNS, BATCH, STEPS = 60_000, 256, 700
-HIDDEN, WIDEST, RATE, MEMO, SEED = 12, 24, 0.01, 300_000, 8
+#: Documents of each language that the network learns from, at most; pieces of each, and characters of a piece.
+SAMPLE, PIECES, PIECE = 600, 6, 64
+#: The size and number of the steps of the training.
+BATCH, STEPS = 160, 350
+HIDDEN, RATE, SEED = 8, 0.02, 8
+#: Bytes that a window labels, bytes read before and behind them, windows computed side by side.
+STRIDE, CONTEXT, ABREAST = 384, 24, 1024
+#: Stands for no byte; it does not move a state.
+PAD = 256
 UNKNOWN = "und"
+#: A document whose best language has a smaller share than this is rejected by the pipeline's stage.
+LEAST_SHARE = 0.4
 
 _letter = regex.compile(r"\p{L}")
 
@@ -81,6 +90,29 @@ class Gru:
             np.add.at(gx, bytes_[t], np.concatenate([gates, dc], axis=1))
         return gx, gu
 
+    def states(self, bytes_: np.ndarray) -> np.ndarray:
+        """States (time x H x runs) without what training needs. ``bytes_`` are indices; ``PAD`` leaves a state as it is."""
+        n, (length, width) = self.hidden, bytes_.shape
+        x, gates_of, candidate_of = np.zeros((3 * n, PAD + 1), self.x.dtype), -self.u[:, : 2 * n].T, np.ascontiguousarray(self.u[:, 2 * n :].T)
+        x[:, :PAD] = self.x.T
+        x[: 2 * n] *= -1
+        x[:n, PAD] = 80  # the update gate is shut
+        out, h = np.empty((length, n, width), self.x.dtype), np.zeros((n, width), self.x.dtype)
+        for t in range(length):
+            drive = np.take(x, bytes_[t], axis=1, mode="clip")
+            gates = gates_of @ h
+            gates += drive[: 2 * n]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            c = candidate_of @ (gates[n:] * h)
+            c += drive[2 * n :]
+            np.tanh(c, out=c)
+            c -= h
+            c *= gates[:n]
+            h = np.add(h, c, out=out[t])
+        return out
+
 
 class ByteTagger:
     """Both directions and a softmax over the languages at each position."""
@@ -113,15 +145,18 @@ class ByteTagger:
         logits -= logits.max(axis=2, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True)), alive
 
-    def sums(self, runs: list[bytes]) -> np.ndarray:
-        """For each run the sum of its positions' log-probabilities, and their number (runs x (languages + 1))."""
-        out = np.zeros((len(runs), len(self.languages) + 1), np.float32)
-        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            logs, alive = self.label([runs[i] for i in part])
-            out[part, :-1] = np.where(alive[:, :, None], logs, 0).sum(axis=0)
-            out[part, -1] = alive.sum(axis=0)
+    def sums(self, bytes_: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """For each window (column of ``bytes_``) the sum of the log-probabilities of ``count`` positions from ``first`` on."""
+        f, b, n = self.ahead.states(bytes_), self.back.states(bytes_[::-1])[::-1], self.ahead.hidden
+        out = np.zeros((bytes_.shape[1], len(self.languages)))
+        for t in range(len(bytes_)):
+            logits = self.w[:n].T @ f[t]
+            logits += self.w[n:].T @ b[t]
+            logits += self.b[:, None]
+            logits -= logits.max(axis=0)
+            logits -= np.log(np.exp(logits).sum(axis=0))
+            logits *= (t >= first) & (t < first + count)
+            out += logits.T
         return out
 
     def gradients(self, runs: list[bytes], target: np.ndarray) -> tuple[float, list[np.ndarray]]:
@@ -162,92 +197,72 @@ class ByteTagger:
         return self
 
 
-def runs_of(text: str) -> list[bytes]:
-    """The runs that the network reads: visible stretches, long ones in parts."""
-    found = text.encode("utf-8", "surrogatepass").split()
-    if max(map(len, found), default=0) <= WIDEST:
-        return found
-    return [r[i : i + WIDEST] for r in found for i in range(0, len(r), WIDEST)]
-
-
 def trainable(doc_id) -> object:
     """Whether crc32 of the doc_id as text leaves a remainder other than 0 by 5 (a null doc_id: no)."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
 
 
-def hashed_sample(rows: DataFrame, by: str, sample: int) -> DataFrame:
-    """At most ``sample`` rows of each value of ``by``, those of the smallest hashed doc_id.
+def hashed_sample(rows: DataFrame, by: str, of: list[str], sample: int) -> DataFrame:
+    """At most ``sample`` rows of each value of ``by``, those of the smallest hash of the columns ``of``, which differ in them.
 
-    Rows are counted first, and only about eight times the sample, those under a hash bound, are ranked: what is ranked does
-    not grow with the table or with the number of its partitions.
+    Different hashes are counted first (about), and only about eight times the sample, those under a bound, are ranked: what is
+    ranked does not grow with the table, with the number of its partitions or with repeated rows.
     """
-    bound = F.least(F.lit(1 << 30), F.ceil(F.lit(8.0 * sample * (1 << 30)) / F.count(F.lit(1)))).alias("bound")
-    low = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).join(rows.groupBy(by).agg(bound), by).where("at < bound")
-    nth = F.row_number().over(Window.partitionBy(by).orderBy("at", "doc_id"))
+    at = F.pmod(F.xxhash64(*of), F.lit(1 << 60))
+    share = F.least(F.lit(1.0), F.lit(8.0 * sample) / F.approx_count_distinct("at"))
+    bound = F.least(F.lit((1 << 60) - 1), (share * (1 << 60)).cast("long")).alias("bound")
+    drawn = rows.withColumn("at", at)
+    low = drawn.join(F.broadcast(drawn.groupBy(by).agg(bound)), by).where("at <= bound").dropDuplicates([by, "at"])
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("at"))
     return low.withColumn("nth", nth).where(F.col("nth") <= sample).drop("at", "bound", "nth")
 
 
 def train_on(docs: DataFrame, sample: int = SAMPLE) -> ByteTagger | None:
-    """A network trained on at most ``sample`` documents of each language, those of the smallest hashed doc_id.
+    """A network trained on pieces of at most ``sample`` different texts of each language, those of the smallest hash.
 
-    Documents whose crc32(doc_id) is divisible by 5 are never learned from, nor are null texts or languages. None if there
-    is nothing to learn from. The sample's texts are the only ones that reach the driver.
+    Documents whose crc32(doc_id) is divisible by 5 are never learned from, nor are null or empty texts and null languages. None if there
+    is nothing to learn from. Only ``PIECES`` pieces of ``PIECE`` characters of each sampled text reach the driver.
     """
-    usable = docs.where(trainable("doc_id") & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    ids = hashed_sample(usable.select("doc_id", "lang"), "lang", sample).select("doc_id").distinct()
-    # at most ``sample`` ids a language, so this side may be broadcast
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").collect()
+    usable = docs.where(trainable("doc_id") & (F.length("text") > 0) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    room = F.greatest(F.lit(1), F.length("text") - PIECE + 1)
+    pieces = F.array(*(F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(n)), room).cast("int") + 1, F.lit(PIECE)) for n in range(PIECES)))
+    rows = hashed_sample(usable, "lang", ["doc_id", "text"], sample).select("doc_id", "lang", pieces.alias("pieces")).collect()
     if not rows:
         return None
-    rng = np.random.default_rng(SEED)
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
+    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["pieces"]))
     languages = sorted({r["lang"] for r in rows})
-    by = {lang: [run for r in rows if r["lang"] == lang for run in runs_of(r["text"])] for lang in languages}
-    each = RUNS // len(languages)
-    runs, target = [], []
-    for nth, lang in enumerate(languages):
-        own = by[lang]
-        at = rng.permutation(len(own))[:each]
-        runs += [own[i] for i in at]
-        target += [nth] * len(at)
-    if not runs:
-        return None
-    return ByteTagger(languages).train(runs, np.array(target))
-
-
-class Scorer:
-    """A network with a worker's memo of runs."""
-
-    def __init__(self, model: ByteTagger):
-        self.model, self.place = model, {}
-        self.table = np.zeros((0, len(model.languages) + 1), np.float32)
-
-    def _learn(self, runs: list[bytes]) -> None:
-        new = [r for r in set(runs) if r not in self.place]
-        if len(self.place) + len(new) > MEMO and self.place:
-            self.place.clear()
-            self.table, new = self.table[:0], list(set(runs))
-        if new:
-            self.place.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.model.sums(new)])
-
-    def score(self, texts: list[str]) -> np.ndarray:
-        """A distribution for each text (texts x languages); a text without runs has the uniform one."""
-        split = [runs_of(t) for t in texts]
-        every = [r for runs in split for r in runs]
-        self._learn(every)
-        sizes = np.array([len(r) for r in split])
-        sums = np.zeros((len(texts), self.table.shape[1]))
-        if every:
-            at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
-            starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-            sums[sizes > 0] = np.add.reduceat(self.table[at], starts, axis=0, dtype=np.float64)
-        mean = sums[:, :-1] / np.maximum(1, sums[:, -1:])
-        p = np.exp(mean - mean.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
-
-
-def _told(held: list[Scorer], texts: list[str | None]) -> list[tuple[str, float]]:
+    by = {lang: [p.encode("utf-8", "surrogatepass")[: 2 * PIECE] for r in rows if r["lang"] == lang for p in r["pieces"]] for lang in languages}
+    # languages weigh alike: each is drawn with the same chance
+    most = max(map(len, by.values()))
+    runs = [by[lang][i % len(by[lang])] for lang in languages for i in range(most)]
+    return ByteTagger(languages).train(runs, np.repeat(np.arange(len(languages)), most))
+
+
+def score_texts(model: ByteTagger, texts: list[str]) -> np.ndarray:
+    """A distribution for each text (texts x languages); an empty text has the uniform one."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    windows = -(-sizes // STRIDE)
+    of = np.repeat(np.arange(len(parts)), windows)
+    core = (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)) * STRIDE
+    start, stop = np.maximum(0, core - CONTEXT), np.minimum(sizes[of], core + STRIDE + CONTEXT)
+    sums = np.zeros((len(parts), len(model.languages)))
+    order = np.argsort(stop - start, kind="stable")
+    for at in range(0, len(order), ABREAST):
+        part = order[at : at + ABREAST]
+        length = stop[part] - start[part]
+        t = np.arange(length.max())[:, None]
+        bytes_ = np.where(t < length, data[np.minimum(begin[of[part]] + start[part] + t, len(data) - 1)].astype(np.intp), PAD)
+        count = np.minimum(STRIDE, sizes[of[part]] - core[part])
+        np.add.at(sums, of[part], model.sums(bytes_, core[part] - start[part], count))
+    mean = sums / np.maximum(1, sizes)[:, None]
+    p = np.exp(mean - mean.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _told(model: ByteTagger | None, texts: list[str | None]) -> list[tuple[str, float]]:
     """(language, score) of each text, about a megabyte of text at a time."""
     out, at = [], 0
     while at < len(texts):
@@ -255,12 +270,12 @@ def _told(held: list[Scorer], texts: list[str | None]) -> list[tuple[str, float]
         while at + len(part) < len(texts) and size < 1 << 20:
             part.append(texts[at + len(part)])
             size += len(part[-1] or "")
-        known = [bool(held and t and _letter.search(t)) for t in part]
-        p = held[0].score([t for t, k in zip(part, known, strict=True) if k]) if any(known) else np.zeros((0, 1))
-        best = iter(zip(p.argmax(axis=1).tolist() if len(p) else [], p.max(axis=1).tolist() if len(p) else [], strict=True))
+        known = [bool(model and t and _letter.search(t)) for t in part]
+        p = score_texts(model, [t for t, k in zip(part, known, strict=True) if k]) if any(known) else np.zeros((0, 1))
+        best = iter(zip(p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True))
         for k in known:
             nth, score = next(best) if k else (-1, 0.0)
-            out.append((held[0].model.languages[nth] if k else UNKNOWN, score))
+            out.append((model.languages[nth] if k else UNKNOWN, score))
         at += len(part)
     return out
 
@@ -268,17 +283,15 @@ def _told(held: list[Scorer], texts: list[str | None]) -> list[tuple[str, float]
 def predict(docs: DataFrame, model: ByteTagger | None) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score), one for each row of ``docs``.
 
-    ``und`` with score 0 where the text is null or has no letter (empty texts), and everywhere without a model. Only the text
-    is looked at. held_out is false for a null doc_id. Repeated rows get equal predictions. Other columns are not read.
+    ``und`` with score 0 where the text is null or has no letter (empty texts), and everywhere without a model. Of languages
+    with equal shares the first by name is taken. Only the text is looked at. held_out is false for a null doc_id. Repeated rows
+    get the same language. Other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held: list[Scorer] = []
 
     def run(batches):
-        if model is not None and not held:
-            held.append(Scorer(model))
         for b in batches:
-            told = _told(held, b["text"].to_pylist())
+            told = _told(model, b["text"].to_pylist())
             out = [k is not None and zlib.crc32(str(k).encode()) % 5 == 0 for k in b["doc_id"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, pa.bool_()), pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -290,15 +303,19 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train_on(docs))
 
 
-def drop_unknown(docs: DataFrame) -> DataFrame:
-    """Documents without a recognised language (null texts, texts without a letter) go; all other rows stay as they are."""
-    model, held = train_on(docs), []
+def drop_unknown(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+    """Documents without a recognised language go; all other rows stay as they are.
+
+    These are null texts, texts without a letter, and texts whose best language has a share of the probability under ``least``:
+    the network sees no language in them, or several. Where nothing can be learned (no labelled text), texts with a letter stay.
+    """
+    model = train_on(docs)
 
     def run(batches):
-        if model is not None and not held:
-            held.append(Scorer(model))
         for b in batches:
-            yield b.filter(pa.array([lang != UNKNOWN for lang, _ in _told(held, b["text"].to_pylist())], pa.bool_()))
+            texts = b["text"].to_pylist()
+            stay = [bool(t and _letter.search(t)) for t in texts] if model is None else [lang != UNKNOWN and share >= least for lang, share in _told(model, texts)]
+            yield b.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

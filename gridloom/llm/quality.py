@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.langid import hashed_sample, trainable
 
-#: Labelled documents of each class that are learned from, at most.
-SAMPLE = 1500
+#: Labelled documents of each class that are learned from, at most, and the characters of a longest one.
+SAMPLE, LONGEST = 1500, 1 << 17
 BUCKETS, SIZE, GRAMS, EPOCHS, RATE, SEED = 1 << 18, 10, (2, 3, 4), 4, 0.6, 4
 THRESHOLD = 0.3
 #: Bytes that are hashed side by side.
@@ -107,17 +107,19 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
 def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """A model from at most ``sample`` labelled documents of each class, those of the smallest hashed doc_id.
 
-    Documents whose crc32(doc_id) is divisible by 5 are never learned from. Null texts count as empty; null labels and values
-    but 0 and 1 are left out. Without any usable row the score is 0.5 everywhere.
+    Documents whose crc32(doc_id) is divisible by 5 are never learned from, nor are texts of more than ``LONGEST`` characters.
+    Null texts count as empty; null labels and values but 0 and 1 are left out. A doc_id with several texts is learned by one
+    of them, one with both labels under each. Without any usable row the score is 0.5 everywhere.
     """
     usable = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & trainable("doc_id"))
     # at most 2 x sample rows, so this side may be broadcast
-    picked = hashed_sample(usable, "quality", sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
+    picked = hashed_sample(usable, "quality", ["doc_id"], sample)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= LONGEST)
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     if not rows:
         return np.zeros(BUCKETS, np.float32), 0.0
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train([r["text"] or "" for r in rows], np.array([r["quality"] for r in rows]))
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
+    return train([r["text"] for r in rows], np.array([r["quality"] for r in rows]))
 
 
 def score_texts(texts: list[str | None], model: tuple[np.ndarray, float]) -> np.ndarray:
