@@ -7,8 +7,12 @@ the leaves of a binary tree. As a stretch of L pieces may have L - 1 edits, and
 within its own, an occurrence has a piece all of whose ancestors are within theirs: from a hit the stretches are tried from
 small to large, by Myers' distance on whole-integer bit vectors, and most false hits end at the first one.
 
-The test items are the query set. They are taken in blocks of ``BLOCK_CHARS`` characters, each of which is sent to the tasks,
-so a benchmark of any size is searched with bounded memory; documents are read once for each block.
+Items of fewer than ``SHORT`` characters are searched without edits and as whole words: a tenth of them is no edit, or one that
+makes another word of a word.
+
+The test items are the query set. They are taken in blocks of ``BLOCK_CHARS`` characters, each of which is sent to the tasks. The
+result of a block is written before the next but one is drawn, so a benchmark of any size is searched with bounded memory;
+documents are read once for each block.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from gridloom.llm.scratch import cut
 
 RATE = 0.1
-#: Items shorter than this many characters are too common to be evidence of a leak and are left out.
-LEAST = 24
+#: Items shorter than this many characters are searched exactly.
+SHORT = 24
 BLOCK_CHARS = 8_000_000
 
 _other = re.compile(r"[\W_]+")
@@ -76,7 +81,10 @@ class Item:
     """A test item with its tree of pieces."""
 
     def __init__(self, item_id: int, text: str, rate: float):
-        self.item_id, self.text, self.pieces = item_id, text, pieces(text, rate)
+        self.item_id, self.text, self.behind = item_id, text, 0
+        if len(text) < SHORT:
+            self.text, self.behind = f" {text} ", 1
+        self.pieces = [(0, self.text)] if self.behind else pieces(text, rate)
         self.budget = len(self.pieces) - 1
         self.places: dict[tuple[int, int], dict[str, int]] = {}
 
@@ -118,40 +126,43 @@ class Searcher:
             self.automaton.make_automaton()
 
     def search(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, edits, end in the text) of each item that occurs within its budget, at its best place."""
+        """(item, edits, end in the text) of each item that occurs within its budget, with the least edits of any occurrence.
+
+        Of occurrences with equally few edits it is the first that was found."""
         found: dict[int, tuple[int, int]] = {}
         if not self.items:
             return []
+        text, done = f" {text} ", set()
         for last, (size, at) in self.automaton.iter(text):
             for nth, leaf, offset in at:
-                best = found.get(nth)
-                if best and (best[0] == 0 or last < best[1]):
+                best, start = found.get(nth), last + 1 - size - offset
+                if best and (best[0] == 0 or (nth, start) in done):
                     continue
-                item, start = self.items[nth], last + 1 - size - offset
+                item = self.items[nth]
                 for low, high in item.above(leaf):
                     edits, end = item.distance(low, high, text, start)
                     if edits > high - low - 1:
                         break
                 else:
+                    done.add((nth, start))
                     if best is None or edits < best[0]:
-                        found[nth] = (edits, end)
+                        found[nth] = (edits, end - 1 - item.behind)
         return [(nth, *best) for nth, best in found.items()]
 
 
-def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, str]]]:
-    """Blocks of (item_id, plain text). Items stream through the driver; one block is held at a time."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Blocks of (item_id, plain text), and whether another follows. Items stream through the driver; two blocks are held at most."""
     part, size = [], 0
     for row in benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
         item = plain(row["text"])
-        if len(item) < least:
+        if not item:
             continue
         if part and size + len(item) > BLOCK_CHARS:
-            yield part
+            yield part, True
             part, size = [], 0
         part.append((row["item_id"], item))
         size += len(item)
-    if part:
-        yield part
+    yield part, False
 
 
 def _search_block(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
@@ -169,19 +180,18 @@ def _search_block(docs: DataFrame, items: list[tuple[int, str]], rate: float) ->
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, edits long, budget long, end_at long")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """Rows (doc_id, item_id, edits, budget, end_at): each document that holds a test item, and the item.
 
-    end_at is where the best occurrence ends, in characters of the plain text. Null and empty texts hold nothing; null items
-    and items shorter than ``least`` plain characters are left out. Repeated rows of documents and items are each reported.
-    An empty table on either side gives an empty result; other columns are not read.
+    end_at is where the best occurrence ends, in characters of the plain text. Null and empty texts hold nothing; null items and
+    items without a letter or digit are left out. Repeated rows of documents and items are each reported. An empty table on
+    either side gives an empty result; other columns are not read.
     """
-    found = [_search_block(docs, items, rate) for items in _blocks(benchmark, least)]
-    if not found:
-        found = [_search_block(docs.where(F.lit(False)), [], rate)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    out = None
+    for items, more in _blocks(benchmark):
+        found = _search_block(docs, items, rate)
+        found = cut(found, "leaks") if more else found
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -189,10 +199,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """Documents that hold a test item go; all other rows stay as they are, those with a null doc_id or text among them."""
-    for items in _blocks(benchmark, least):
-        docs = _clean_of(docs, items, rate)
+    for items, more in _blocks(benchmark):
+        docs = cut(_clean_of(docs, items, rate), "clean") if more else _clean_of(docs, items, rate)
     return docs
 
 

@@ -42,6 +42,21 @@ def test_search_finds_what_the_table_finds():
         got = {n for n, _, _ in searcher.search(text)}
         want = {i for i, t in items if plain_distance(t, text)[0] <= int(d.RATE * len(t))}
         assert got == want, trial
+        assert all(edits == plain_distance(items[n][1], text)[0] for n, edits, _ in searcher.search(text)), trial
+
+
+def test_the_best_of_several_occurrences_counts():
+    rng, item = random.Random(5), "one two three four five six seven eight nine ten"
+    searcher = d.Searcher([(0, item)])
+    for _ in range(60):
+        text = d.plain(" and then ".join(edited(rng, item, rng.randint(0, 4)) for _ in range(4)))
+        assert searcher.search(text)[0][1] == plain_distance(item, text)[0]
+
+
+def test_short_items_are_found_as_whole_words():
+    searcher = d.Searcher([(0, "two words"), (1, "a"), (2, "日本語"), (3, "exactly twenty three ch")])
+    found = {t: sorted((n, e, end) for n, e, end in searcher.search(t)) for t in ("two words", "say two words here", "two wordsmiths", "xa b", "b a", "x 日本語", "exactly twenty three ch", "exactly twenty three cx")}
+    assert found == {"two words": [(0, 0, 9)], "say two words here": [(0, 0, 13)], "two wordsmiths": [], "xa b": [], "b a": [(1, 0, 3)], "x 日本語": [(2, 0, 5)], "exactly twenty three ch": [(3, 0, 23)], "exactly twenty three cx": []}
 
 
 def test_query(spark, monkeypatch):
