@@ -8,7 +8,9 @@ two, plus the price of the cut that ends it. With f(j) the least cost of the str
     f(j) = price(j) + min(min over cuts i in [j - 4096, j) of f(i) + i + 4096 - j,  min over k of f(j - 2^k)),
 
 where the first minimum is that of a sliding window, kept in a monotone queue. A block of the stream ends at the end of a
-document once it holds ``BLOCK`` ids; its last window is laid out as powers of two where that is cheaper than its padding.
+document once it holds ``BLOCK`` ids, so that memory is bounded; its last window is laid out as powers of two where that is cheaper
+than its padding. The cuts are the best ones of each block; the loss against one stream is less than one window's padding a block
+(under 0.8 % of its ids).
 """
 
 from __future__ import annotations
@@ -26,8 +28,7 @@ from gridloom.llm.vocab import encoder, public_path
 
 LENGTH = 4096
 SENTENCE, HARD = 8, 64
-#: Of the sentence ends in so many ids, the last is a possible cut.
-THIN, STRIDE, BLOCK = 32, 512, 1 << 19
+STRIDE, BLOCK = 512, 1 << 19
 
 
 def sentence_ends(tokenizer) -> np.ndarray:
@@ -36,13 +37,11 @@ def sentence_ends(tokenizer) -> np.ndarray:
     return np.array(sorted(marks), np.int64)
 
 
-def possible_cuts(ids: np.ndarray, doc_ends: np.ndarray, marks: np.ndarray, thin: int = THIN, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+def possible_cuts(ids: np.ndarray, doc_ends: np.ndarray, marks: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Ascending positions where the stream may be cut, and the price of each."""
     table = np.zeros(65536, bool)
     table[marks] = True
     sentences = np.flatnonzero(table[ids]) + 1
-    if len(sentences):
-        sentences = sentences[np.append(sentences[1:] // thin != sentences[:-1] // thin, True)]
     at = np.union1d(sentences, doc_ends)
     before = np.concatenate([[0], at[:-1]])
     wide = np.flatnonzero(at - before > stride)
@@ -64,10 +63,12 @@ def best_cuts(at: list[int], price: list[int], length: int = LENGTH) -> tuple[li
     for j, p in zip(at, price, strict=True):
         while queue[0][0] < j - length:
             queue.popleft()
-        best, origin = queue[0][1] + length - j, queue[0][0]
+        origin, best = queue[0]
+        best += length - j
         for k in powers:
-            if (c := cost.get(j - k)) is not None and c < best:
-                best, origin = c, j - k
+            i = j - k
+            if i in cost and cost[i] < best:
+                best, origin = cost[i], i
         best += p
         cost[j], came[j] = best, origin
         g = best + j

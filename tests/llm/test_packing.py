@@ -40,6 +40,12 @@ def test_least_cost():
         assert cuts[-1] == at[-1] and set(cuts) <= set(at) and all(b - a <= 16 for a, b in zip([0, *cuts], cuts, strict=False))
 
 
+def test_every_sentence_end_is_a_possible_cut():
+    ids = np.array([5, 9, 9, 5, 5, 9, 5, 2, 9, 2], np.int64)
+    at, price = packing.possible_cuts(ids, np.array([8, 10]), np.array([9]))
+    assert list(zip(at.tolist(), price.tolist(), strict=True)) == [(2, 8), (3, 8), (6, 8), (8, 0), (9, 8), (10, 0)]
+
+
 def test_pieces(spark):
     rows = [*odd_rows(), *((50 + i, f"Some words here. And more of them {i}! " * (i * 7)) for i in range(30))]
     got = packing.pack(docs(spark, rows).coalesce(3), public_path("word_bpe_49k.json")).collect()
