@@ -7,8 +7,7 @@ that share a bucket are candidates.
 2. The links found are joined into components. Texts of buckets that hold one component are settled.
 3. The others are sorted by their minima, in as many orders as there are longs: grouped by one minimum, in the group by the minima
    that follow. Each is compared with the ``NEIGHBOURS`` texts before it, if these are of another component: those share the
-   longest run of equal minima with it. That again is a fixed number of candidates a row, however large a group is. ``ROUNDS``
-   rounds begin at other minima.
+   longest run of equal minima with it. That again is a fixed number of candidates a row, however large a group is.
 
 So candidates grow with the texts, not with the square of a bucket. A pair that shares a bucket is compared, or joined through
 others, or left out because both texts have that many nearer neighbours without a link. That happens in dense families whose
@@ -36,7 +35,7 @@ Shingles = Callable[[Column], Column]
 
 #: Rows of a counted table that may be broadcast (two longs each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-NEIGHBOURS, ROUNDS = 4, 2
+NEIGHBOURS = 6
 RARE = 100_000
 FIELD = 21
 
@@ -108,12 +107,11 @@ def _unsettled(members: DataFrame, comp: DataFrame) -> DataFrame:
     return cut(rows.join(mixed, "bucket", "left_semi").select("key", "comp").distinct(), "unsettled")
 
 
-def _neighbours(unsettled: DataFrame, signed: DataFrame, count: int, fewest: int, turn: int) -> DataFrame:
+def _neighbours(unsettled: DataFrame, signed: DataFrame, count: int, fewest: int) -> DataFrame:
     """Distinct pairs (a, b) of different components that stand close in an order by minima; a written table."""
     words = [c for c in signed.columns if c != "key"]
     drawn = signed.join(few(unsettled), "key").select("key", "comp", *words).distinct()
-    starts = [(3 * w + turn) % count for w in range(len(words))]
-    orders = [F.struct(F.xxhash64(F.lit(i), minimum(i)).alias("group"), F.col(words[i // 3]).alias("next0"), *(F.col(words[(i // 3 + k) % len(words)]).alias(f"next{k}") for k in (1, 2))) for i in starts]
+    orders = [F.struct(F.xxhash64(F.lit(i), minimum(i)).alias("group"), F.col(words[i // 3]).alias("next0"), *(F.col(words[(i // 3 + k) % len(words)]).alias(f"next{k}") for k in (1, 2))) for i in range(0, count, 3)]
     dealt = drawn.select("key", "comp", *words, F.explode(F.array(*orders)).alias("order")).select("key", "comp", *words, "order.*")
     along = Window.partitionBy("group").orderBy("next0", "next1", "next2", "key")
     pairs = dealt.withColumns({f"o{n}": F.lag(F.struct("key", "comp", *words), n).over(along) for n in range(1, NEIGHBOURS + 1)})
@@ -136,14 +134,9 @@ def near_components(signed: DataFrame, bands: list[list[int]], texts: Texts, shi
     first = members.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
     links = verified(likely(first, signed, count, fewest_equal(count, rows, least)), texts, shingles, least)
     comp = cut(components(links, "a", "b"), "comp")
-    for turn in range(ROUNDS):
-        near = _neighbours(_unsettled(members.select("bucket", "key"), comp), signed, count, fewest_equal(count, rows, least), turn)
-        found = verified(near, texts, shingles, least)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        comp = cut(components(links, "a", "b"), "comp")
-    return comp
+    near = _neighbours(_unsettled(members.select("bucket", "key"), comp), signed, count, fewest_equal(count, rows, least))
+    found = verified(near, texts, shingles, least)
+    return comp if found.isEmpty() else cut(components(links.unionByName(found), "a", "b"), "comp")
 
 
 def with_hot(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
