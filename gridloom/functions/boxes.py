@@ -107,3 +107,13 @@ def bbox_poly(box: tuple) -> Column:
 def inner_border(side, overlap_share: float, frac: float) -> Column:
     """Width of the border that a tile's inner window leaves out."""
     return (_c(side) * overlap_share * min(max(frac, 0.0), 1.0)).cast("int")
+
+
+def in_polygon(poly: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in a polygon (array of (x, y) structs), by the even-odd rule; points on an edge may count either way."""
+
+    def crossed(p, i):
+        q = F.get(poly, ((i + 1) % F.size(poly)).cast("int"))
+        return ((p["y"] > y) != (q["y"] > y)) & (x < p["x"] + (q["x"] - p["x"]) * F.try_divide(y - p["y"], q["y"] - p["y"]))
+
+    return F.size(F.filter(poly, crossed)) % 2 == 1

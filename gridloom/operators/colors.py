@@ -61,11 +61,24 @@ def top_colors_wide(top: DataFrame, n: int) -> DataFrame:
     return top.groupBy("image_id").agg(F.max("total_pixels").alias("total_pixels"), *cells)
 
 
-def color_mask(pixels: DataFrame, palette: DataFrame, tol: int, pad: int = 0, pad_gray_only: bool = True, gray_chroma: int = 8, two_of_three: bool = False, black_cutoff: int = 0) -> DataFrame:
+def hsv() -> dict[str, Column]:
+    """Hue (0 to 179), saturation and value (0 to 255) of 8-bit r, g, b, in the fixed-point arithmetic usual for 8-bit images."""
+    r, g, b = (F.col(c).cast("long") for c in RGB)
+    v = F.greatest(r, g, b)
+    d = v - F.least(r, g, b)
+
+    def scaled(n, top, by):  # n x round(top x 4096 / by) / 4096, rounded
+        return F.when(by == 0, 0).otherwise(F.floor((n * F.bround(F.try_divide(F.lit(top * 4096.0), by)) + 2048) / 4096)).cast("long")
+
+    h = scaled(F.when(v == r, g - b).when(v == g, b - r + 2 * d).otherwise(r - g + 4 * d), 30, d)
+    return {"h": F.when(h < 0, h + 180).otherwise(h), "s": scaled(d, 255, v), "v": v}
+
+
+def color_mask(pixels: DataFrame, palette: DataFrame, tol: int, pad: int = 0, pad_gray_only: bool = True, gray_chroma: int = 8, two_of_three: bool = False, black_cutoff: int = 0, most_sat: int | None = None, hue: tuple[int, int] | None = None, value: tuple[int, int] | None = None) -> DataFrame:
     """Pixels within ``tol`` of a colour of their image's ``palette`` (image_id, r, g, b) on all channels, or on two of three.
 
     ``pad`` is added once to the tolerance, for near-gray colours only unless told otherwise. Pixels darker than
-    ``black_cutoff`` go.
+    ``black_cutoff`` go, and those beyond a greatest saturation or outside a range of hue or value, both ends included.
     """
     p, c = pixels.alias("p"), palette.select("image_id", *(F.col(x).alias(f"c{x}") for x in RGB)).alias("c")
     chroma = F.greatest(F.abs(F.col("cr") - F.col("cg")), F.abs(F.col("cg") - F.col("cb")), F.abs(F.col("cb") - F.col("cr")))
@@ -73,6 +86,10 @@ def color_mask(pixels: DataFrame, palette: DataFrame, tol: int, pad: int = 0, pa
     hits = [(F.abs(F.col(f"p.{x}") - F.col(f"c{x}")) <= F.least(F.lit(255), reach)).cast("int") for x in RGB]
     near = (F.col("p.image_id") == F.col("c.image_id")) & (hits[0] + hits[1] + hits[2] >= (2 if two_of_three else 3))
     out = p.join(c, near, "left_semi")
+    if most_sat is not None:
+        out = out.where(hsv()["s"] <= most_sat)
+    for name, limits in (("h", hue), ("v", value)):
+        out = out.where(hsv()[name].between(*limits)) if limits else out
     return out.where(luma() >= black_cutoff) if black_cutoff > 0 else out
 
 

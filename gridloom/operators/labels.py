@@ -23,19 +23,36 @@ def rounded_class(token: Column) -> Column:
     return F.bround(_number(token)).cast("int")
 
 
-def with_tokens(lines: DataFrame) -> DataFrame:
+def whole_class(token: Column) -> Column:
+    """A class id from the text of a whole number; all other text is unreadable."""
+    return F.when(token.rlike(r"^[+-]?[0-9]+$"), token.try_cast("int"))
+
+
+def truncated_class(token: Column) -> Column:
+    """A class id from the text of a number, its fraction cut off."""
+    return _number(token).try_cast("int")
+
+
+#: How readers take the first token of a line.
+CLASS_RULES = {"rounded": rounded_class, "whole": whole_class, "truncated": truncated_class}
+
+
+def with_tokens(lines: DataFrame, rule: str = "rounded") -> DataFrame:
     """Add tok, n and the parsed fields; blank lines go."""
     out = lines.withColumn("tok", tokens()).where(F.trim("line") != "").withColumn("n", F.size("tok"))
     fields = {name: _number(F.get("tok", F.lit(i + 1))) for i, name in enumerate(NAMES)}
-    return out.withColumns({"cls": rounded_class(F.get("tok", F.lit(0))), **fields})
+    return out.withColumns({"cls": CLASS_RULES[rule](F.get("tok", F.lit(0))), **fields})
 
 
-def parse_labels(lines: DataFrame, classes: Sequence[int] | None = None, least_tokens: int = 5) -> DataFrame:
+def parse_labels(lines: DataFrame, classes: Sequence[int] | None = None, least_tokens: int = 5, rule: str = "rounded", strict: bool = False) -> DataFrame:
     """Box rows from label lines; lines that do not parse are left out (``malformed`` has them).
 
-    A polygon is read from lines of eleven tokens or more with an even rest.
+    ``rule`` is one of ``CLASS_RULES``. With ``strict`` a line of enough tokens that does not parse ends the job with an error
+    that names it; short lines are skipped either way. A polygon is read from lines of eleven tokens or more with an even rest.
     """
-    good = with_tokens(lines).where((F.col("n") >= least_tokens) & _parsed())
+    good = with_tokens(lines, rule).where(F.col("n") >= least_tokens)
+    fault = F.raise_error(F.concat(F.lit("unreadable label line of image "), F.coalesce(F.col("image_id").cast("string"), F.lit("null")), F.lit(": "), "line")).cast("boolean")
+    good = good.where(F.when(_parsed(), True).otherwise(fault if strict else F.lit(False)))
     if classes is not None:
         good = good.where(F.col("cls").isin(*classes))
     rest = F.transform(F.slice("tok", 6, F.greatest(F.lit(0), F.col("n") - 5)), _number)

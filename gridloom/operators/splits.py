@@ -12,22 +12,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.boxes import DENSITY, density_bin, density_order
+from gridloom.operators.labels import tokens, whole_class
 
 FIRST_BIN = DENSITY[0][1]
 
 
-def exact_rank(df: DataFrame, key: str, ties: Sequence[str], name: str = "rank", width: int = 64) -> DataFrame:
-    """The global rank (from 1) by (key, ties) without one big partition.
+def exact_rank(df: DataFrame, key: str, ties: Sequence[str], name: str = "rank", width: int = 64, within: Sequence[str] = ()) -> DataFrame:
+    """The rank (from 1) by (key, ties), over all rows or ``within`` equal values of some columns, without one big partition.
 
     Rows are ranked within buckets of ``width`` neighbouring keys, and a running sum over the small table of bucket sizes is
-    added. ``key`` is a whole number.
+    added. ``key`` is a whole number; the columns of ``within`` are not null.
     """
     rows = df.withColumn("_bucket", F.floor(F.col(key) / width))
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *ties))
-    return rows.withColumn("_own", own).join(before, "_bucket").withColumn(name, F.col("_own") + F.col("_before")).drop("_bucket", "_own", "_before")
+    on = [*within, "_bucket"]
+    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*on, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*on).orderBy(key, *ties))
+    return rows.withColumn("_own", own).join(before, on).withColumn(name, F.col("_own") + F.col("_before")).drop("_bucket", "_own", "_before")
+
+
+def exact_quantile(df: DataFrame, value: str, share: float) -> DataFrame:
+    """One row (quantile) of a column of whole numbers, interpolated linearly between neighbours like ``percentile``.
+
+    The values are counted, ranked by buckets and only the two that are wanted are taken: no task holds all distinct values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.floor(F.col(value) / 4096))
+    sizes = counts.groupBy("_bucket").agg(F.sum("_n").alias("_sum"))
+    before = sizes.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_bucket").orderBy(value))
+    placed = counts.join(before, "_bucket").select(F.col(value).alias("_value"), "_n", upto.alias("_upto"))
+    at = counts.agg(((F.sum("_n") - 1) * F.lit(float(share))).alias("_at"))  # one row
+    low, high = F.floor("_at"), F.ceil("_at")
+    found = placed.join(F.broadcast(at), (F.col("_upto") > low) & (F.col("_upto") - F.col("_n") <= high))
+    pick = [F.min(F.when((F.col("_upto") > p) & (F.col("_upto") - F.col("_n") <= p), F.col("_value"))).alias(n) for n, p in (("_low", low), ("_high", high))]
+    part = F.col("_at") - F.floor("_at")
+    return found.groupBy("_at").agg(*pick).select(F.when(F.col("_low") == F.col("_high"), F.col("_low").cast("double")).otherwise((1 - part) * F.col("_low") + part * F.col("_high")).alias("quantile"))
 
 
 def parse_tile_name(name: str | Column) -> tuple[Column, Column, Column]:
@@ -71,18 +91,23 @@ def stratified_sample(tiles: DataFrame, target: int, shares: Mapping[str, float]
     quota = F.lit(int(target * default))
     for name, share in shares.items():
         quota = F.when(F.col("bin") == name, int(target * share)).otherwise(quota)
-    nth = F.row_number().over(Window.partitionBy("bin").orderBy(key, "image_id"))
-    ranked = free.withColumn("_nth", nth).withColumn("_in", F.col("_nth") <= quota)
+    ranked = exact_rank(free, key, ["image_id"], "_nth", within=["bin"]).withColumn("_in", F.col("_nth") <= quota)
     picked, rest = ranked.where("_in").drop("_nth", "_in"), ranked.where("NOT _in").drop("_nth", "_in")
     counts = ranked.agg(F.count_if("_in").alias("_picked"), F.count_if(~F.col("_in")).alias("_left")).select((F.lit(target) - F.col("_picked")).alias("_short"), "_left")
     fill = exact_rank(rest, key, ["image_id"], "_rank").join(F.broadcast(counts), (F.col("_rank") <= F.col("_short")) & (F.col("_left") >= F.col("_short")))  # one row
     return picked.withColumn("filled", F.lit(False)).unionByName(fill.drop("_rank", "_short", "_left").withColumn("filled", F.lit(True)))
 
 
-def hard_negatives(tiles: DataFrame, positive_sheets: DataFrame, files: DataFrame, panel_lines: DataFrame, key: str, most: int | None = None) -> DataFrame:
-    """Tiles of other sheets, of count 0, with a label file that has no class-0 line; the first ``most`` by ``key``, or all."""
+def hard_negatives(tiles: DataFrame, positive_sheets: DataFrame, files: DataFrame, lines: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """Tiles of other sheets, of count 0, with a label file without a panel; the first ``most`` by ``key``, or all.
+
+    ``lines`` are label lines (image_id, line). Of those with five tokens or more none may have the class 0, and none a class
+    that is no whole number: such a file cannot be trusted. Shorter lines do not count.
+    """
+    cls = whole_class(F.get(tokens(), F.lit(0)))
+    bad = lines.where((F.size(tokens()) >= 5) & (cls.isNull() | (cls == 0)))
     out = tiles.where("num_panels = 0").join(positive_sheets.select("sheet").distinct(), "sheet", "left_anti")
-    out = out.join(files.select("image_id"), "image_id", "left_semi").join(panel_lines.select("image_id"), "image_id", "left_anti")
+    out = out.join(files.select("image_id"), "image_id", "left_semi").join(bad.select("image_id"), "image_id", "left_anti")
     return out if most is None else out.orderBy(key, "image_id").limit(most)
 
 
@@ -93,7 +118,7 @@ def tile_areas(boxes: DataFrame) -> DataFrame:
 
 def small_ratio(areas: DataFrame) -> DataFrame:
     """Share of panels in tiles whose smallest panel is within the first quartile of the tiles' smallest panels; one row."""
-    limit = areas.agg(F.expr("percentile(min_area, 0.25)").alias("p25"))
+    limit = exact_quantile(areas, "min_area", 0.25).withColumnRenamed("quantile", "p25")
     sums = areas.crossJoin(F.broadcast(limit)).groupBy("p25").agg(F.sum(F.when(F.col("min_area") <= F.col("p25"), F.col("panels")).otherwise(0)).alias("small"), F.sum("panels").alias("panels"))  # one row
     return sums.withColumn("ratio", F.when(F.col("panels") > 0, F.col("small") / F.col("panels")).otherwise(0.0))
 
@@ -109,8 +134,7 @@ def small_quota(selected: DataFrame, pool: DataFrame, quota: float = 0.25) -> Da
     by_count = small.groupBy("panels").agg((F.count(F.lit(1)) * F.col("panels")).alias("_sum"))
     ahead = Window.orderBy(F.desc("panels")).rowsBetween(Window.unboundedPreceding, -1)
     before = by_count.select("panels", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("panels").orderBy("image_id"))
-    ranked = small.withColumn("_nth", nth).join(before, "panels")
+    ranked = exact_rank(small, "image_id", [], "_nth", width=4096, within=["panels"]).join(before, "panels")
     return ranked.where(F.col("_before") + (F.col("_nth") - 1) * F.col("panels") < F.col("needed")).select("image_id", "min_area", "panels")
 
 

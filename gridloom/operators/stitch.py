@@ -158,8 +158,11 @@ def top_k(dets: DataFrame, k: int, keys: Sequence[str] = ("image_id",)) -> DataF
     return dets.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
 
 
-def stitch(dets: DataFrame, merge_iou: float = 0.7, mode: str = "iou_avg", center_ratio: float = 0.3, area_ratio: float = 0.2, side_ratio: float = 0.2, low: float = 0.0, high: float = 9999.0, iqr_k: float | None = None, dedup: bool = False) -> DataFrame:
-    """Suppress, merge, merge centres and filter, in this order; the interquartile band and the grid are off unless asked for."""
+def stitch(dets: DataFrame, merge_iou: float = 0.7, mode: str = "iou_avg", center_ratio: float = 0.3, area_ratio: float = 0.2, side_ratio: float = 0.2, low: float = 0.0, high: float = 9999.0, iqr_k: float | None = None, dedup: bool = False, offsets: DataFrame | None = None) -> DataFrame:
+    """Suppress, merge, merge centres and filter, in this order; the interquartile band and the grid are off unless asked for.
+
+    ``offsets`` (image_id, x_off, y_off) moves the boxes of images that were cut out of larger ones, as the last step.
+    """
     out = nms(dets, merge_iou)
     if mode != "nms":
         out = (merge_minmax if mode == "minmax" else merge_iou_avg)(out, merge_iou)
@@ -168,7 +171,15 @@ def stitch(dets: DataFrame, merge_iou: float = 0.7, mode: str = "iou_avg", cente
     out = size_filter(out, area_ratio, side_ratio, low, high)
     if iqr_k is not None:
         out = iqr_filter(out, iqr_k)
-    return grid_dedup(out) if dedup else out
+    out = grid_dedup(out) if dedup else out
+    return out if offsets is None else shifted(out, offsets)
+
+
+def shifted(dets: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Boxes moved by their image's (x_off, y_off); a missing one is 0."""
+    by = offsets.select("image_id", F.coalesce("x_off", F.lit(0)).alias("_x"), F.coalesce("y_off", F.lit(0)).alias("_y"))
+    moved = dets.join(by, "image_id", "left").fillna(0, ["_x", "_y"])
+    return moved.withColumns({f"{a}{n}": F.col(f"{a}{n}") + F.col(f"_{a}") for a in "xy" for n in (1, 2)}).select(*dets.columns)
 
 
 def stitch_training(dets: DataFrame, merge_iou: float = 0.7, center_ratio: float = 0.3, most: int = 300) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.boxes import overlap
+from gridloom.functions.boxes import in_polygon, overlap
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -104,11 +104,17 @@ def retile(tiles: DataFrame, boxes: DataFrame, images: DataFrame, tile: int, lea
 
 def crop_windows(panels: DataFrame, tags: DataFrame, images: DataFrame, pad: float = 0.22) -> DataFrame:
     """A window around each panel: padded on all sides, enlarged to the tags whose centre is strictly inside the panel, then
-    truncated to whole pixels and held to the image. Panels under one pixel and empty windows go."""
-    p = panels.where("x2 - x1 >= 1 AND y2 - y1 >= 1").select("image_id", F.col("box_id").alias("panel_id"), *(F.col(c).alias(f"p{c}") for c in CORNERS)).alias("p")
+    truncated to whole pixels and held to the image. Panels under one pixel and empty windows go.
+
+    Where ``panels`` has a column poly (corners in pixels), a centre must lie in the polygon, by the even-odd rule, as well as in
+    its box; a row without a polygon is its box.
+    """
+    p = panels.where("x2 - x1 >= 1 AND y2 - y1 >= 1").select("image_id", F.col("box_id").alias("panel_id"), *(F.col(c).alias(f"p{c}") for c in CORNERS), *(["poly"] if "poly" in panels.columns else [])).alias("p")
     t = tags.select("image_id", *CORNERS).alias("t")
     cx, cy = (F.col("t.x1") + F.col("t.x2")) / 2, (F.col("t.y1") + F.col("t.y2")) / 2
     inside = (F.col("p.image_id") == F.col("t.image_id")) & (cx > F.col("px1")) & (cx < F.col("px2")) & (cy > F.col("py1")) & (cy < F.col("py2"))
+    if "poly" in panels.columns:
+        inside = inside & (F.col("poly").isNull() | in_polygon(F.col("poly"), cx, cy))
     held = p.join(t, inside).groupBy("p.image_id", "panel_id").agg(F.min("x1").alias("tx1"), F.min("y1").alias("ty1"), F.max("x2").alias("tx2"), F.max("y2").alias("ty2"), F.count(F.lit(1)).alias("tags"))
     out = panels.where("x2 - x1 >= 1 AND y2 - y1 >= 1").select("image_id", F.col("box_id").alias("panel_id"), *CORNERS).join(held, ["image_id", "panel_id"], "left").join(images.select("image_id", "width", "height"), "image_id")
     w, h = (F.col("x2") - F.col("x1")) * F.lit(pad), (F.col("y2") - F.col("y1")) * F.lit(pad)
@@ -140,15 +146,16 @@ def letterbox(crops: DataFrame, boxes: DataFrame, target: int) -> DataFrame:
 
 
 def manifest_boxes(rois: DataFrame, images: DataFrame) -> DataFrame:
-    """Regions held to their image; those without a box, or inverted, are the whole image or go."""
+    """Regions of inclusive corners held to their image. A missing corner is that of the image, so a region without any is the
+    whole image; inverted ones go. A region may be one pixel wide."""
     r = rois.join(images.select("image_id", "width", "height"), "image_id")
-    full = F.col("x0").isNull() | F.col("y0").isNull() | F.col("x1").isNull() | F.col("y1").isNull()
+    whole = F.coalesce("x0", "y0", "x1", "y1").isNull()
 
-    def held(c, side, whole):
-        return F.when(full, whole).otherwise(F.greatest(F.lit(0), F.least(F.col(c), F.col(side) - 1)))
+    def held(c, side, missing):
+        return F.greatest(F.lit(0), F.least(F.coalesce(F.col(c), missing), F.col(side) - 1)).cast("long").alias(c)
 
-    out = r.select("image_id", held("x0", "width", F.lit(0)).cast("long").alias("x0"), held("y0", "height", F.lit(0)).cast("long").alias("y0"), held("x1", "width", F.col("width") - 1).cast("long").alias("x1"), held("y1", "height", F.col("height") - 1).cast("long").alias("y1"), full.alias("whole"))
-    return out.where("x1 > x0 AND y1 > y0")
+    out = r.select("image_id", held("x0", "width", F.lit(0)), held("y0", "height", F.lit(0)), held("x1", "width", F.col("width") - 1), held("y1", "height", F.col("height") - 1), whole.alias("whole"))
+    return out.where("x1 >= x0 AND y1 >= y0")
 
 
 def roi_labels(rois: DataFrame, boxes: DataFrame, least: float = 0.0, by_centre: bool = True) -> DataFrame:

@@ -36,8 +36,8 @@ SELECT image_id, box_id * 4 + 2, x1 + 160, y1 + 40, x2 + 160, y2 + 40,
 FROM gt_boxes WHERE pk % 19 = 0""",
     "images": """
 SELECT DISTINCT CAST(floor(o_orderkey / 4) AS BIGINT) AS image_id,
-  concat('x', CAST(CAST(floor(o_orderkey / 4) AS BIGINT) % 151 AS STRING)) AS sheet,
-  CASE WHEN CAST(floor(o_orderkey / 4) AS BIGINT) % 151 % 5 = 0 THEN 'val' ELSE 'train' END AS split,
+  concat('x', CAST(CAST(floor(o_orderkey / 4) AS BIGINT) % 1009 AS STRING)) AS sheet,
+  CASE WHEN CAST(floor(o_orderkey / 4) AS BIGINT) % 1009 % 5 = 0 THEN 'val' ELSE 'train' END AS split,
   900 + (CAST(floor(o_orderkey / 4) AS BIGINT) * 37) % 3300 AS width,
   900 + (CAST(floor(o_orderkey / 4) AS BIGINT) * 53) % 3300 AS height
 FROM orders""",
@@ -54,6 +54,8 @@ SELECT image_id, box_id AS line_no,
        WHEN pk % 47 = 0 THEN '0 0.5 0.5 0 0.1'
        WHEN pk % 53 = 0 THEN '0 0.5 0.5 0.1 0.1 0.4 0.4'
        WHEN pk % 59 = 0 THEN '5 0.5 0.5 0.1 0.1'
+       WHEN pk % 61 = 0 THEN '0.7 0.5 0.5 0.1 0.1'
+       WHEN pk % 67 = 0 THEN '1.0 0.25 0.5 0.1 0.1'
        ELSE concat(CASE WHEN pk % 7 = 0 THEN '1' ELSE '0' END, ' 0.', lpad(CAST(cx AS STRING), 6, '0'), ' 0.', lpad(CAST(cy AS STRING), 6, '0'),
                    ' 0.', lpad(CAST(w AS STRING), 6, '0'), ' 0.', lpad(CAST(h AS STRING), 6, '0')) END AS line
 FROM (SELECT image_id, box_id, pk, CAST(floor((x1 + x2) * 500000 / 3072) AS BIGINT) AS cx, CAST(floor((y1 + y2) * 500000 / 3072) AS BIGINT) AS cy,
@@ -63,9 +65,10 @@ SELECT p.image_id, t.tx, t.ty, p.det_id, p.x1 - t.tx AS lx1, p.y1 - t.ty AS ly1,
 FROM pred_boxes p CROSS JOIN (SELECT a.v AS tx, b.v AS ty FROM (SELECT 0 AS v UNION ALL SELECT 1075) a CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1075) b) t
 WHERE p.x1 >= t.tx AND p.y1 >= t.ty AND p.x2 <= t.tx + 1536 AND p.y2 <= t.ty + 1536""",
     "rois": """
-SELECT image_id, CASE WHEN image_id % 9 = 0 THEN NULL ELSE (image_id * 13) % 400 END AS x0, CASE WHEN image_id % 9 = 0 THEN NULL ELSE (image_id * 7) % 400 END AS y0,
-  CASE WHEN image_id % 9 = 0 THEN NULL ELSE (image_id * 13) % 400 + 1200 END AS x1, CASE WHEN image_id % 9 = 0 THEN NULL ELSE (image_id * 7) % 400 + 1200 END AS y1
-FROM images""",
+SELECT image_id, CASE WHEN image_id % 9 = 0 OR image_id % 14 = 3 THEN NULL ELSE a END AS x0, CASE WHEN image_id % 9 = 0 OR image_id % 15 = 4 THEN NULL ELSE b END AS y0,
+  CASE WHEN image_id % 9 = 0 OR image_id % 16 = 5 THEN NULL WHEN image_id % 13 = 5 THEN a WHEN image_id % 17 = 7 THEN a - 10 ELSE a + 1200 END AS x1,
+  CASE WHEN image_id % 9 = 0 THEN NULL WHEN image_id % 19 = 6 THEN b ELSE b + 1200 END AS y1
+FROM (SELECT image_id, (image_id * 13) % 400 AS a, (image_id * 7) % 400 AS b FROM images) q""",
     "pixels": """
 SELECT CAST(floor(l_orderkey / 40) AS BIGINT) AS image_id, (l_partkey * 7 + l_suppkey) % 512 AS x, (l_partkey * 3 + l_suppkey * 11) % 512 AS y,
   (l_partkey * 5) % 256 AS r, CASE WHEN l_partkey % 4 = 0 THEN (l_suppkey * 9) % 256 ELSE (l_partkey * 5) % 256 END AS g,

@@ -8,7 +8,7 @@ from gridloom.functions.boxes import bbox_poly
 from gridloom.operators import augment, colors, keys, runs, tiling
 from gridloom.plans.fixtures import ctes, view
 from gridloom.plans.registry import Registry
-from gridloom.plans.tilings import FIXED, VISIBLE, manifest_boxes
+from gridloom.plans.tilings import MANIFEST, VISIBLE, manifest_boxes
 from gridloom.sources import files
 
 query = Registry()
@@ -58,6 +58,24 @@ def color_mask(spark, sf_dir):
     return colors.color_mask(view(spark, sf_dir, "pixels"), palette, REACH, PAD, black_cutoff=BLACK).select("image_id", "x", "y", *colors.RGB)
 
 
+SAT, HUE, VALUE = 180, (20, 150), (40, 230)
+
+
+def _scaled(n, top, by):
+    return f"CASE WHEN {by} = 0 THEN 0 ELSE CAST(floor((({n}) * round_even({top * 4096}.0::DOUBLE / {by}, 0) + 2048) / 4096) AS BIGINT) END"
+
+
+HSV = f""", hsv_a AS (SELECT *, greatest(r, g, b) AS hv, greatest(r, g, b) - least(r, g, b) AS hd FROM mask),
+hsv_b AS (SELECT *, {_scaled("CASE WHEN hv = r THEN g - b WHEN hv = g THEN b - r + 2 * hd ELSE r - g + 4 * hd END", 30, "hd")} AS hh, {_scaled("hd", 255, "hv")} AS hs FROM hsv_a)
+SELECT image_id, x, y, r, g, b FROM hsv_b WHERE hs <= {SAT} AND CASE WHEN hh < 0 THEN hh + 180 ELSE hh END BETWEEN {HUE[0]} AND {HUE[1]} AND hv BETWEEN {VALUE[0]} AND {VALUE[1]}"""
+
+
+@query("color_mask_hsv", MASK + HSV)
+def color_mask_hsv(spark, sf_dir):
+    palette = _top(spark, sf_dir, 2)
+    return colors.color_mask(view(spark, sf_dir, "pixels"), palette, REACH, PAD, black_cutoff=BLACK, most_sat=SAT, hue=HUE, value=VALUE).select("image_id", "x", "y", *colors.RGB)
+
+
 def _side(c):
     low, high = f"greatest(0, least(1023, CAST(floor(lo_{c} * 2.0::DOUBLE) AS BIGINT)))", f"greatest(0, least(1023, CAST(ceil(hi_{c} * 2.0::DOUBLE) AS BIGINT)))"
     more = f"CAST(round_even(({high} - {low} + 1) * 0.05::DOUBLE, 0) AS BIGINT)"
@@ -70,7 +88,7 @@ def mask_roi(spark, sf_dir):
     return colors.mask_roi(color_mask(spark, sf_dir), view(spark, sf_dir, "pixels"), 0.5, 0.05, 1024, 1024)
 
 
-@query("manifest_stats", ctes("rois", "images", "gt_boxes") + FIXED + ", kept AS (SELECT r.image_id FROM manifest r JOIN gt_boxes b USING (image_id) WHERE CAST(greatest(0, least(r.x1, b.x2) - greatest(r.x0, b.x1)) * greatest(0, least(r.y1, b.y2) - greatest(r.y0, b.y1)) AS DOUBLE) / greatest(CAST((b.x2 - b.x1) * (b.y2 - b.y1) AS DOUBLE), 1e-6) >= 0.9 AND greatest(0, least(r.x1, b.x2) - greatest(r.x0, b.x1)) * greatest(0, least(r.y1, b.y2) - greatest(r.y0, b.y1)) > 0), c AS (SELECT image_id, (SELECT count(*) FROM gt_boxes b WHERE b.image_id = m.image_id) AS src_box_count, (SELECT count(*) FROM kept k WHERE k.image_id = m.image_id) AS kept_box_count FROM manifest m) SELECT *, CASE WHEN src_box_count > 0 AND kept_box_count = 0 THEN 'all boxes lost' END AS remap_note FROM c")
+@query("manifest_stats", ctes("rois", "images", "gt_boxes") + MANIFEST + ", kept AS (SELECT r.image_id FROM manifest r JOIN gt_boxes b USING (image_id) WHERE CAST(greatest(0, least(r.x1, b.x2) - greatest(r.x0, b.x1)) * greatest(0, least(r.y1, b.y2) - greatest(r.y0, b.y1)) AS DOUBLE) / greatest(CAST((b.x2 - b.x1) * (b.y2 - b.y1) AS DOUBLE), 1e-6) >= 0.9 AND greatest(0, least(r.x1, b.x2) - greatest(r.x0, b.x1)) * greatest(0, least(r.y1, b.y2) - greatest(r.y0, b.y1)) > 0), c AS (SELECT image_id, (SELECT count(*) FROM gt_boxes b WHERE b.image_id = m.image_id) AS src_box_count, (SELECT count(*) FROM kept k WHERE k.image_id = m.image_id) AS kept_box_count FROM manifest m) SELECT *, CASE WHEN src_box_count > 0 AND kept_box_count = 0 THEN 'all boxes lost' END AS remap_note FROM c")
 def manifest_stats(spark, sf_dir):
     rois, boxes = manifest_boxes(spark, sf_dir), view(spark, sf_dir, "gt_boxes")
     return colors.manifest_stats(rois.select("image_id"), boxes, tiling.roi_labels(rois, boxes, 0.9, by_centre=False))

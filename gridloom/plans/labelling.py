@@ -34,6 +34,20 @@ def parse_labels(spark, sf_dir):
     return out.select("image_id", "line_no", "cls", *labels.NAMES, F.coalesce(F.when(F.col("poly").isNotNull(), F.size("poly")), F.lit(0)).alias("corners"))
 
 
+def _by_rule(cls: str, classes: str) -> str:
+    return TOKENS + f" SELECT image_id, line_no, c AS cls, cx, cy, w, h FROM (SELECT *, {cls} AS c FROM parts) q WHERE n >= 5 AND c IN ({classes}) AND {BOXED}"
+
+
+@query("parse_labels_whole", _by_rule("CASE WHEN regexp_full_match(tok[1], '[+-]?[0-9]+') THEN TRY_CAST(tok[1] AS INTEGER) END", "0"))
+def parse_labels_whole(spark, sf_dir):
+    return labels.parse_labels(view(spark, sf_dir, "label_lines"), [0], rule="whole").drop("poly")
+
+
+@query("parse_labels_truncated", _by_rule("CAST(trunc(TRY_CAST(tok[1] AS DOUBLE)) AS INTEGER)", "0, 1"))
+def parse_labels_truncated(spark, sf_dir):
+    return labels.parse_labels(view(spark, sf_dir, "label_lines"), [0, 1], rule="truncated").drop("poly")
+
+
 DETECTION_STOP = f"(CASE WHEN cls IS NULL THEN 'class_unreadable' WHEN n <> 5 THEN 'token_count' WHEN NOT ({BOXED}) THEN 'box_unreadable' END)"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions.boxes import DENSITY_SQL, ORDER_SQL
-from gridloom.operators import labels, splits
+from gridloom.operators import splits
 from gridloom.plans.fixtures import ctes, view
 from gridloom.plans.registry import Registry
 from gridloom.plans.tables import written
@@ -89,20 +89,15 @@ def stratified_sample(spark, sf_dir):
     return _picked(spark, sf_dir).drop("k")
 
 
-PANEL_LINES = r"SELECT image_id FROM label_lines WHERE string_split_regex(trim(line), '\s+')[1] = '0' AND len(string_split_regex(trim(line), '\s+')) >= 5"
-NEGATIVE = SAMPLE + f", negatives AS (SELECT image_id, sheet, split, num_panels, bin FROM tiles WHERE num_panels = 0 AND sheet NOT IN (SELECT sheet FROM stress) AND sheet NOT IN (SELECT sheet FROM few) AND image_id % 11 <> 0 AND image_id NOT IN ({PANEL_LINES}) ORDER BY k, image_id LIMIT {NEGATIVES})"
-#: Positive sheets for the mining of negatives: a sample covers nearly all sheets, so those of every fourth picked tile.
-FEW = ", few AS (SELECT DISTINCT sheet FROM picked WHERE image_id % 4 = 0 AND CAST(substr(sheet, 2) AS BIGINT) % 2 = 0)"
-NEGATIVE = NEGATIVE.replace(", negatives AS", FEW + ", negatives AS")
+#: Lines that rule a tile out: of five tokens or more, with the class 0 or one that is no whole number.
+RULED_OUT = r"SELECT image_id FROM label_lines WHERE len(string_split_regex(trim(line), '\s+')) >= 5 AND (NOT regexp_full_match(string_split_regex(trim(line), '\s+')[1], '[+-]?[0-9]+') OR TRY_CAST(string_split_regex(trim(line), '\s+')[1] AS INTEGER) = 0)"
+NEGATIVE = SAMPLE + f", negatives AS (SELECT image_id, sheet, split, num_panels, bin FROM tiles WHERE num_panels = 0 AND sheet NOT IN (SELECT sheet FROM stress) AND sheet NOT IN (SELECT sheet FROM picked) AND image_id % 11 <> 0 AND image_id NOT IN ({RULED_OUT}) ORDER BY k, image_id LIMIT {NEGATIVES})"
 
 
 def _negatives(spark, sf_dir, tiles, stress, picked):
-    few = picked.where("image_id % 4 = 0 AND CAST(substr(sheet, 2) AS BIGINT) % 2 = 0")
     tiles = tiles.join(stress.select("sheet"), "sheet", "left_anti")
     files = view(spark, sf_dir, "images").where("image_id % 11 <> 0")
-    tok = labels.tokens()
-    panels = view(spark, sf_dir, "label_lines").where((F.get(tok, F.lit(0)) == "0") & (F.size(tok) >= 5))
-    return written(splits.hard_negatives(tiles, few, files, panels, "k", NEGATIVES))
+    return written(splits.hard_negatives(tiles, picked, files, view(spark, sf_dir, "label_lines"), "k", NEGATIVES))
 
 
 def _parts(spark, sf_dir):

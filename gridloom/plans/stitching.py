@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.boxes import CLIPPED, INCLUSIVE
 from gridloom.operators import match, metrics, stitch
 from gridloom.plans.evaluation import CONF, IOUS, TOUCH, iou_sql, sweep_sql
-from gridloom.plans.fixtures import ctes, view
+from gridloom.plans.fixtures import VIEWS, ctes, view
 from gridloom.plans.registry import Registry
 
 query = Registry()
@@ -191,6 +191,12 @@ def stitch_all(spark, sf_dir):
     return _plain(stitch.stitch(_tiles_and_coarse(spark, sf_dir), MERGE, "iou_avg", RATIO, 0.2, 0.2, 0.1, 9.0))
 
 
+@query("stitch_roi", RAW + ", " + nms_ctes("raw", "kept", MERGE) + ", " + anchor_ctes("kept", "merged", IOU_EDGE, MEANS) + ", " + anchor_ctes("merged", "centred", CENTER_EDGE, MEANS) + ", " + size_ctes("centred", "sized", 0.2, 0.2, 0.1, 9.0) + " SELECT image_id, det_id, z.x1 + coalesce(r.x0, 0) AS x1, z.y1 + coalesce(r.y0, 0) AS y1, z.x2 + coalesce(r.x0, 0) AS x2, z.y2 + coalesce(r.y0, 0) AS y2, score FROM sized z LEFT JOIN (" + VIEWS["rois"] + ") r USING (image_id)")
+def stitch_roi(spark, sf_dir):
+    offsets = view(spark, sf_dir, "rois").select("image_id", F.col("x0").alias("x_off"), F.col("y0").alias("y_off"))
+    return _plain(stitch.stitch(_tiles_and_coarse(spark, sf_dir), MERGE, "iou_avg", RATIO, 0.2, 0.2, 0.1, 9.0, offsets=offsets))
+
+
 @query("stitch_training", RAW + ", " + nms_ctes("raw", "kept", MERGE, CLIPPED) + ", " + anchor_ctes("kept", "merged", IOU_EDGE, ENDS) + ", " + anchor_ctes("merged", "centred", CENTER_EDGE, MEANS) + f" SELECT {COLS} FROM centred QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) <= 12")
 def stitch_training(spark, sf_dir):
     return _plain(stitch.stitch_training(_tiles_and_coarse(spark, sf_dir), MERGE, RATIO, 12))

@@ -138,6 +138,28 @@ def crop_windows(spark, sf_dir):
     return tiling.crop_windows(*_classed(spark, sf_dir), view(spark, sf_dir, "images"))
 
 
+#: Panels as diamonds within their boxes: four corners, each the middle of a side.
+_DIAMOND = [("mx", "y1"), ("x2", "my"), ("mx", "y2"), ("x1", "my")]
+
+
+def _crossings(x, y):
+    """How often a ray to the right of (x, y) crosses the sides of panel p."""
+    at = {"x1": "p.x1", "x2": "p.x2", "y1": "p.y1", "y2": "p.y2", "mx": "((p.x1 + p.x2) / 2.0::DOUBLE)", "my": "((p.y1 + p.y2) / 2.0::DOUBLE)"}
+    sides = [(at[a], at[b], at[c], at[d]) for (a, b), (c, d) in zip(_DIAMOND, _DIAMOND[1:] + _DIAMOND[:1], strict=True)]
+    return " + ".join(f"CASE WHEN ({b} > {y}) <> ({d} > {y}) AND {x} < {a} + ({c} - {a}) * (({y} - {b}) / CAST({d} - {b} AS DOUBLE)) THEN 1 ELSE 0 END" for a, b, c, d in sides)
+
+
+_INSIDE_DIAMOND = f" AND ({_crossings('(t.x1 + t.x2) / 2.0::DOUBLE', '(t.y1 + t.y2) / 2.0::DOUBLE')}) % 2 = 1 GROUP BY ALL),"
+
+
+@query("crop_windows_poly", ctes("images", "gt_boxes") + CROPS.replace(" GROUP BY ALL),", _INSIDE_DIAMOND, 1) + " SELECT * FROM crops")
+def crop_windows_poly(spark, sf_dir):
+    panels, tags = _classed(spark, sf_dir)
+    at = {c: F.col(c).cast("double") for c in tiling.CORNERS} | {"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2}
+    panels = panels.withColumn("poly", F.array(*(F.struct(at[x].alias("x"), at[y].alias("y")) for x, y in _DIAMOND)))
+    return tiling.crop_windows(panels, tags, view(spark, sf_dir, "images"))
+
+
 BOXED = 640
 
 
@@ -149,14 +171,14 @@ def crop_letterbox_labels(spark, sf_dir):
     return tiling.letterbox(crop_windows(spark, sf_dir), panels.unionByName(tags), BOXED)
 
 
-def _held(c, side, whole):
-    return f"CASE WHEN x0 IS NULL THEN {whole} ELSE greatest(0, least({c}, {side} - 1)) END AS {c}"
+def _held(c, side, missing):
+    return f"greatest(0, least(coalesce(r.{c}, {missing}), {side} - 1)) AS {c}"
 
 
-MANIFEST = f", manifest AS (SELECT * FROM (SELECT image_id, {_held('x0', 'width', 0)}, {_held('y0', 'height', 0)}, {_held('x1', 'width', 'width - 1')}, {_held('y1', 'height', 'height - 1')}, x0 IS NULL AS whole FROM (SELECT image_id, x0 AS x0, y0, x1, y1 FROM rois) r JOIN images USING (image_id)) WHERE x1 > x0 AND y1 > y0)"
+MANIFEST = f", manifest AS (SELECT * FROM (SELECT image_id, {_held('x0', 'width', 0)}, {_held('y0', 'height', 0)}, {_held('x1', 'width', 'width - 1')}, {_held('y1', 'height', 'height - 1')}, r.x0 IS NULL AND r.y0 IS NULL AND r.x1 IS NULL AND r.y1 IS NULL AS whole FROM rois r JOIN images USING (image_id)) WHERE x1 >= x0 AND y1 >= y0)"
 
 
-@query("manifest_boxes", ctes("rois", "images") + MANIFEST.replace("CASE WHEN x0 IS NULL", "CASE WHEN r.x0 IS NULL").replace("x0 IS NULL AS whole", "r.x0 IS NULL AS whole") + " SELECT * FROM manifest")
+@query("manifest_boxes", ctes("rois", "images") + MANIFEST + " SELECT * FROM manifest")
 def manifest_boxes(spark, sf_dir):
     return tiling.manifest_boxes(view(spark, sf_dir, "rois"), view(spark, sf_dir, "images"))
 
@@ -173,8 +195,7 @@ def _label(axis, n):
 
 
 REGION = f"r.image_id, b.box_id, b.cls, {_label('x', 'w')}, {_label('y', 'h')}"
-FIXED = MANIFEST.replace("CASE WHEN x0 IS NULL", "CASE WHEN r.x0 IS NULL").replace("x0 IS NULL AS whole", "r.x0 IS NULL AS whole")
-ROIS = ctes("rois", "images", "gt_boxes") + FIXED
+ROIS = ctes("rois", "images", "gt_boxes") + MANIFEST
 SHARE_OK = f"{_INTER} > 0 AND {_INTER} / greatest(CAST((b.x2 - b.x1) * (b.y2 - b.y1) AS DOUBLE), 1e-6) >= {VISIBLE}"
 
 
