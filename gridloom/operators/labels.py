@@ -20,7 +20,7 @@ def _number(token: Column) -> Column:
 
 def rounded_class(token: Column) -> Column:
     """A class id from text such as 1 or 1.0; halves go to the even number."""
-    return F.bround(_number(token)).cast("int")
+    return F.bround(_number(token)).try_cast("int")
 
 
 def whole_class(token: Column) -> Column:

@@ -13,10 +13,11 @@ PAIR = "array<struct<iou:double,det_id:bigint,box_id:bigint>>"
 CORNERS = ("x1", "y1", "x2", "y2")
 
 
-def candidate_pairs(preds: DataFrame, gts: DataFrame, least: float, keys: Sequence[str] = ("image_id",), mode: str = CONTINUOUS, carry: Sequence[str] = ()) -> DataFrame:
+def candidate_pairs(preds: DataFrame, gts: DataFrame, least: float, keys: Sequence[str] = ("image_id",), mode: str = CONTINUOUS, carry: Sequence[str] = (), corners: bool = False) -> DataFrame:
     """Detection x truth pairs within an image whose IoU is at least ``least`` (over 0).
 
-    ``carry`` names further columns of ``preds`` that a pair keeps. An equi-join on ``keys`` with the overlap test in the join condition. For images of thousands of boxes use
+    ``carry`` names further columns of ``preds`` that a pair keeps; with ``corners`` it keeps both boxes (p_x1, ..., g_y2). An
+    equi-join on ``keys`` with the overlap test in the join condition. For images of thousands of boxes use
     ``candidate_pairs_by_cell``, which also splits an image.
     """
     p, g = preds.alias("p"), gts.alias("g")
@@ -24,7 +25,8 @@ def candidate_pairs(preds: DataFrame, gts: DataFrame, least: float, keys: Sequen
     near = [F.col(f"p.{k}") == F.col(f"g.{k}") for k in keys]
     near += [F.col("p.x1") < F.col("g.x2") + touch, F.col("g.x1") < F.col("p.x2") + touch, F.col("p.y1") < F.col("g.y2") + touch, F.col("g.y1") < F.col("p.y2") + touch]
     value = iou(tuple(f"p.{c}" for c in CORNERS), tuple(f"g.{c}" for c in CORNERS), mode)
-    return p.join(g, near).select(*(f"p.{k}" for k in (*carry, *keys)), "p.det_id", "g.box_id", "p.score", value.alias("iou")).where((F.col("iou") >= least) & (F.col("iou") > 0))
+    boxes = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "pg" for c in CORNERS] if corners else []
+    return p.join(g, near).select(*(f"p.{k}" for k in (*carry, *keys)), "p.det_id", "g.box_id", "p.score", value.alias("iou"), *boxes).where((F.col("iou") >= least) & (F.col("iou") > 0))
 
 
 def candidate_pairs_by_cell(preds: DataFrame, gts: DataFrame, least: float, cell: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -67,7 +69,7 @@ def mutual_best_matches(pairs: DataFrame, keys: Sequence[str] = ("image_id",)) -
 
     Each round is written out to cut the lineage. As the order is strict and total, the set equals the greedy pass's.
     """
-    from gridloom.plans.tables import written
+    from gridloom.sources.tables import written
 
     taken, left = None, written(pairs.select(*keys, "det_id", "box_id", "iou"))
     while not left.isEmpty():

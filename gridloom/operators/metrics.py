@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.boxes import density_bin, density_order
 from gridloom.operators.match import candidate_pairs, greedy_matches
+from gridloom.operators.splits import exact_quantile
 
 #: Where nothing is known of an image's density.
 UNKNOWN_BIN = "6-10"
@@ -19,22 +20,32 @@ def at_thresholds(df: DataFrame, values: Sequence[float], name: str) -> DataFram
     return df.select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name), "*")
 
 
-def image_counts(images: DataFrame, gts: DataFrame, preds: DataFrame, matches: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Rows (keys, tp, fp, fn, n_gt, n_pred): one for each row of ``images``, which has all of ``keys``; nothing found gives 0."""
+def image_counts(images: DataFrame, gts: DataFrame, preds: DataFrame, matches: DataFrame, keys: Sequence[str] = ("image_id",), small: DataFrame | None = None) -> DataFrame:
+    """Rows (keys, tp, fp, fn, n_gt, n_pred): one for each row of ``images``, which has all of ``keys``; nothing found gives 0.
+
+    With ``small`` (image_id, box_id), a column small_tp counts the matches of these truth boxes.
+    """
     keys = list(keys)
     gt_keys = [k for k in keys if k in gts.columns]
     n_gt = gts.groupBy(*gt_keys).agg(F.count(F.lit(1)).alias("n_gt"))
     n_pred = preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pred"))
-    tp = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("tp"))
-    out = images.join(n_gt, gt_keys, "left").join(n_pred, keys, "left").join(tp, keys, "left").fillna(0, ["n_gt", "n_pred", "tp"])
+    tp = [F.count(F.lit(1)).alias("tp")]
+    if small is not None:
+        matches, tp = matches.join(small.select("image_id", "box_id", F.lit(1).alias("_small")), ["image_id", "box_id"], "left"), [*tp, F.count("_small").alias("small_tp")]
+    tp = matches.groupBy(*keys).agg(*tp)
+    out = images.join(n_gt, gt_keys, "left").join(n_pred, keys, "left").join(tp, keys, "left").fillna(0)
     return out.withColumns({"fp": F.col("n_pred") - F.col("tp"), "fn": F.col("n_gt") - F.col("tp")})
 
 
 def totals(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Recall, precision, false positives and detections an image from per-image counts."""
     sums = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("images"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "n_gt", "n_pred")))
+    return _rates(sums, by)
+
+
+def _rates(sums: DataFrame, by: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
     return sums.select(
-        *by, "images", "tp", "fp", "fn",
+        *by, *more, "images", "tp", "fp", "fn",
         (F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))).alias("recall"), (F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1))).alias("precision"),
         (F.col("fp") / F.greatest("images", F.lit(1))).alias("fp_per_image"), (F.col("n_pred") / F.greatest("images", F.lit(1))).alias("preds_per_image"),
     )
@@ -53,23 +64,31 @@ def bin_metrics(binned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def worst_bin(bins: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The bin of least recall among bins with truth and a recall under 1, the first in bin order on ties; else (1.0, null)."""
-    low = (F.col("n_gt") > 0) & (F.col("recall") < 1.0)
-    found = bins.groupBy(*by).agg(F.min(F.when(low, F.struct("recall", density_order(F.col("bin")).alias("at"), "bin"))).alias("w"))
+    found = bins.groupBy(*by).agg(_worst().alias("w"))
     return found.select(*by, F.coalesce("w.recall", F.lit(1.0)).alias("worst_bin_recall"), F.col("w.bin").alias("worst_bin"))
 
 
+def _worst() -> Column:
+    low = (F.col("n_gt") > 0) & (F.col("recall") < 1.0)
+    return F.min(F.when(low, F.struct("recall", density_order(F.col("bin")).alias("at"), "bin")))
+
+
+def small_truth(gts: DataFrame) -> DataFrame:
+    """Truth (image_id, box_id) whose area is at most the first quartile of all truth (linear interpolation)."""
+    sized = box_areas(gts)
+    return sized.join(F.broadcast(exact_quantile(sized, "area", 0.25)), F.col("area") <= F.col("quantile")).select("image_id", "box_id")  # one row
+
+
 def box_areas(gts: DataFrame) -> DataFrame:
     return gts.withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
 
 
 def small_recall(gts: DataFrame, matches: DataFrame, by: Sequence[str] = (), values: DataFrame | None = None) -> DataFrame:
-    """Recall over truth whose area is at most the first quartile of all truth (linear interpolation).
+    """Recall over ``small_truth``.
 
     ``values``: one row for each setting of ``by``, so that a setting without matches is reported too.
     """
-    sized = box_areas(gts)
-    limit = sized.agg(F.expr("percentile(area, 0.25)").alias("p25"))
-    small = sized.join(F.broadcast(limit), F.col("area") <= F.col("p25")).select("image_id", "box_id")  # one row
+    small = small_truth(gts)
     total = small.agg(F.count(F.lit(1)).alias("small_gt"))
     found = matches.join(small, ["image_id", "box_id"], "left_semi").groupBy(*by).agg(F.count(F.lit(1)).alias("small_tp"))
     base = values.join(found, list(by), "left") if by else found
@@ -78,16 +97,20 @@ def small_recall(gts: DataFrame, matches: DataFrame, by: Sequence[str] = (), val
 
 
 def sweep(images: DataFrame, gts: DataFrame, scored: DataFrame, pairs: DataFrame, analysis: DataFrame, name: str, values: Sequence[float]) -> DataFrame:
-    """One row for each threshold: totals, worst bin and small-object recall, from one job.
+    """One row for each threshold: totals, worst bin and small-object recall, from one pass over the matches.
 
     ``scored`` and ``pairs`` carry the threshold column ``name``: the detections and the candidate pairs that count at it.
     """
-    matches = greedy_matches(pairs, [name, "image_id"])
+    small = small_truth(gts)
     every = at_thresholds(images.select("image_id"), values, name)
-    counts = image_counts(every, gts, scored, matches, [name, "image_id"])
-    settings = at_thresholds(images.sparkSession.range(1), values, name).select(name)
-    worst = worst_bin(bin_metrics(with_bins(counts, analysis), [name]), [name])
-    return totals(counts, [name]).join(worst, name).join(small_recall(gts, matches, [name], settings), name)
+    counts = image_counts(every, gts, scored, greedy_matches(pairs, [name, "image_id"]), [name, "image_id"], small)
+    summed = ("tp", "fp", "fn", "n_gt", "n_pred", "small_tp")
+    bins = with_bins(counts, analysis).groupBy(name, "bin").agg(F.count(F.lit(1)).alias("images"), *(F.sum(c).alias(c) for c in summed))
+    bins = bins.withColumn("recall", F.when(F.col("n_gt") > 0, F.col("tp") / F.col("n_gt")))
+    whole = bins.groupBy(name).agg(*(F.sum(c).alias(c) for c in ("images", *summed)), _worst().alias("w"))
+    whole = whole.withColumns({"worst_bin_recall": F.coalesce("w.recall", F.lit(1.0)), "worst_bin": F.col("w.bin")}).drop("w")
+    out = _rates(whole, [name], ["worst_bin_recall", "worst_bin", "small_tp"]).crossJoin(F.broadcast(small.agg(F.count(F.lit(1)).alias("small_gt"))))  # one row
+    return out.withColumn("small_recall", F.col("small_tp") / F.greatest("small_gt", F.lit(1)))
 
 
 def conf_sweep(images: DataFrame, gts: DataFrame, preds: DataFrame, analysis: DataFrame, confs: Sequence[float], least: float = 0.4) -> DataFrame:

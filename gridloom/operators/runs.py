@@ -23,6 +23,12 @@ def experiment_grid(spark: SparkSession, lrs: Sequence[str], wds: Sequence[str],
     return grid.select(number.cast("long").alias("exp_num"), experiment_id(F.col("lr0"), F.col("weight_decay"), F.col("cls_gain")).alias("experiment_id"), *(F.col(c).cast("double").alias(c) for c in ("lr0", "weight_decay", "cls_gain")))
 
 
+def progress(grid: DataFrame, runs: DataFrame) -> DataFrame:
+    """The grid with the number of runs that each of its experiments has."""
+    done = runs.groupBy("exp_num").agg(F.count(F.lit(1)).alias("runs"))
+    return grid.join(done, "exp_num", "left").fillna(0, ["runs"])
+
+
 def promote(runs: DataFrame, gain: float = 0.05, most: int = 3) -> DataFrame:
     """The best runs whose worst-bin recall beats the median by ``gain`` with at most the median of false positives.
 

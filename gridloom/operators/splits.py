@@ -33,7 +33,7 @@ def exact_rank(df: DataFrame, key: str, ties: Sequence[str], name: str = "rank",
 
 
 def exact_quantile(df: DataFrame, value: str, share: float) -> DataFrame:
-    """One row (quantile) of a column of whole numbers, interpolated linearly between neighbours like ``percentile``.
+    """One row (quantile) of a column of numbers, interpolated linearly between neighbours like ``percentile``.
 
     The values are counted, ranked by buckets and only the two that are wanted are taken: no task holds all distinct values.
     """

@@ -87,11 +87,9 @@ binned_recall AS (SELECT *, CASE WHEN n_gt > 0 THEN CAST(tp AS DOUBLE) / n_gt EN
 @query("iou_pairs", ctes("gt_boxes", "pred_boxes") + f" SELECT p.image_id, p.det_id, g.box_id, {iou_sql('p', 'g')} AS iou, {iou_sql('p', 'g', INCLUSIVE)} AS iou_inclusive, {iou_sql('p', 'g', CLIPPED)} AS iou_clipped FROM pred_boxes p JOIN gt_boxes g ON p.image_id = g.image_id AND {TOUCH} WHERE p.score >= {CONF}")
 def iou_pairs(spark, sf_dir):
     gts, preds = _base(spark, sf_dir)
-    pairs = match.candidate_pairs(preds.where(F.col("score") >= CONF), gts, 0.0).select("image_id", "det_id", "box_id", "iou")
-    a, b = preds.select("image_id", "det_id", *(F.col(c).alias(f"p_{c}") for c in match.CORNERS)), gts.select("image_id", "box_id", *(F.col(c).alias(f"g_{c}") for c in match.CORNERS))
+    pairs = match.candidate_pairs(preds.where(F.col("score") >= CONF), gts, 0.0, corners=True)
     boxes = tuple(f"p_{c}" for c in match.CORNERS), tuple(f"g_{c}" for c in match.CORNERS)
-    out = pairs.join(a, ["image_id", "det_id"]).join(b, ["image_id", "box_id"])
-    return out.select("image_id", "det_id", "box_id", "iou", match.iou(*boxes, INCLUSIVE).alias("iou_inclusive"), match.iou(*boxes, CLIPPED).alias("iou_clipped"))
+    return pairs.select("image_id", "det_id", "box_id", "iou", match.iou(*boxes, INCLUSIVE).alias("iou_inclusive"), match.iou(*boxes, CLIPPED).alias("iou_clipped"))
 
 
 @query("match_boxes", MATCHED + f""" SELECT image_id, 'matched' AS status, det_id, box_id, iou FROM matched
@@ -199,10 +197,7 @@ SELECT t.*, found.n AS small_tp FROM t CROSS JOIN found""")
 def stress_eval(spark, sf_dir):
     counts, gts, matches = _counts(spark, sf_dir)
     part = counts.where("split = 'val'")
-    small = metrics.box_areas(gts)
-    limit = small.agg(F.expr("percentile(area, 0.25)").alias("p25"))
-    small = small.join(F.broadcast(limit), F.col("area") <= F.col("p25")).select("image_id", "box_id")  # one row
-    found = matches.join(small, ["image_id", "box_id"], "left_semi").join(part.select("image_id"), "image_id", "left_semi").agg(F.count(F.lit(1)).alias("small_tp"))
+    found = matches.join(metrics.small_truth(gts), ["image_id", "box_id"], "left_semi").join(part.select("image_id"), "image_id", "left_semi").agg(F.count(F.lit(1)).alias("small_tp"))
     return metrics.totals(part).crossJoin(F.broadcast(found))  # one row
 
 

@@ -75,9 +75,13 @@ SELECT CAST(floor(l_orderkey / 40) AS BIGINT) AS image_id, (l_partkey * 7 + l_su
   CASE WHEN l_partkey % 4 = 0 THEN (l_suppkey * 29) % 256 ELSE (l_partkey * 5) % 256 END AS b
 FROM lineitem""",
     "runs": """
-SELECT CAST(n_nationkey AS BIGINT) AS exp_num, 'A' AS phase,
-  CAST((n_nationkey * 37) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS worst_bin_recall, CAST((n_nationkey * 53) % 90 AS DOUBLE) / CAST(100 AS DOUBLE) AS fp_per_image
-FROM nation""",
+SELECT CAST(o_orderkey AS BIGINT) AS exp_num, 'A' AS phase,
+  CAST((o_orderkey * 37) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS worst_bin_recall, CAST((o_orderkey * 53) % 90 AS DOUBLE) / CAST(100 AS DOUBLE) AS fp_per_image
+FROM orders""",
+    "paths": """
+SELECT concat('/data/', CASE image_id % 7 WHEN 1 THEN 'pred' WHEN 2 THEN 'run_12' WHEN 3 THEN 'pred_old' WHEN 4 THEN 'pdf_pages' WHEN 5 THEN 'predicted' ELSE sheet END, '/', CAST(image_id AS STRING), '.v1',
+  CASE image_id % 5 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPEG' WHEN 2 THEN '.txt' WHEN 3 THEN '.tiff' ELSE '' END) AS path, width AS length
+FROM images""",
 }
 
 

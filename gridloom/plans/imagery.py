@@ -101,11 +101,11 @@ def _values(name, items):
     return f"(VALUES {', '.join(f'({i}, {chr(39)}{v}{chr(39)})' for i, v in enumerate(items))}) {name}(i, v)"
 
 
-@query("experiment_grid", f"SELECT CAST((a.i * 3 + b.i) * 3 + c.i + 1 AS BIGINT) AS exp_num, replace('lr' || a.v || '_wd' || b.v || '_cls' || c.v, '.', 'p') AS experiment_id, CAST(a.v AS DOUBLE) AS lr0, CAST(b.v AS DOUBLE) AS weight_decay, CAST(c.v AS DOUBLE) AS cls_gain, (SELECT count(*) FROM nation) AS runs FROM {_values('a', LRS)}, {_values('b', WDS)}, {_values('c', GAINS)}")
+@query("experiment_grid", ctes("runs") + f", grid AS (SELECT CAST((a.i * 3 + b.i) * 3 + c.i + 1 AS BIGINT) AS exp_num, replace('lr' || a.v || '_wd' || b.v || '_cls' || c.v, '.', 'p') AS experiment_id, CAST(a.v AS DOUBLE) AS lr0, CAST(b.v AS DOUBLE) AS weight_decay, CAST(c.v AS DOUBLE) AS cls_gain FROM {_values('a', LRS)}, {_values('b', WDS)}, {_values('c', GAINS)}) SELECT grid.*, (SELECT count(*) FROM runs WHERE runs.exp_num % 29 + 1 = grid.exp_num) AS runs FROM grid")
 def experiment_grid(spark, sf_dir):
-    """The grid, beside the number of runs that are already there."""
-    done = view(spark, sf_dir, "runs").agg(F.count(F.lit(1)).alias("runs"))
-    return runs.experiment_grid(spark, LRS, WDS, GAINS).crossJoin(F.broadcast(done))  # one row
+    """The grid, and how many runs each of its experiments already has."""
+    done = view(spark, sf_dir, "runs").select((F.col("exp_num") % 29 + 1).alias("exp_num"))
+    return runs.progress(runs.experiment_grid(spark, LRS, WDS, GAINS), done)
 
 
 @query("promote_runs", ctes("runs") + ", base AS (SELECT median(worst_bin_recall) AS r, median(fp_per_image) AS f, count(*) AS n FROM runs), judged AS (SELECT runs.*, worst_bin_recall - r >= 0.05::DOUBLE AND fp_per_image <= f AS qualified FROM runs, base WHERE n >= 3) SELECT * FROM judged WHERE qualified OR NOT (SELECT bool_or(qualified) FROM judged) ORDER BY worst_bin_recall DESC, fp_per_image, exp_num LIMIT 3")
@@ -156,7 +156,30 @@ def augment_labels(spark, sf_dir):
     return augment.transform_polygons(rows)
 
 
-@query("list_images")
+def _moved(axis, side):
+    return {n: f"least(greatest(scale * ({axis}{n} - {side} / 2.0::DOUBLE) + {side} / 2.0::DOUBLE + d{axis} * {side}, 0.0::DOUBLE), CAST({side} AS DOUBLE))" for n in (1, 2)}
+
+
+_X, _Y = _moved("x", "width"), _moved("y", "height")
+
+
+@query("augment_fixed", ctes("gt_boxes", "images") + f""", t AS (SELECT image_id, count(*) AS n FROM gt_boxes WHERE pk % 4 = 0 GROUP BY image_id),
+n AS (SELECT i.image_id, width, height, 2 + CASE WHEN coalesce(n, 0) >= 2 THEN 1 ELSE 0 END + CASE WHEN coalesce(n, 0) >= 4 THEN 2 ELSE 0 END AS copies FROM images i LEFT JOIN t USING (image_id)),
+copies AS (SELECT image_id, width, height, aug, 1.0::DOUBLE + aug * 0.25::DOUBLE AS scale, aug * 0.125::DOUBLE AS dx, -0.0625::DOUBLE AS dy FROM n JOIN (SELECT CAST(unnest(range(5)) AS INTEGER) AS aug) a ON aug < copies),
+moved AS (SELECT image_id, aug, box_id, cls, {_X[1]} AS x1, {_Y[1]} AS y1, {_X[2]} AS x2, {_Y[2]} AS y2 FROM copies JOIN gt_boxes USING (image_id)) SELECT * FROM moved WHERE x2 > x1 AND y2 > y1 AND (x2 - x1) * (y2 - y1) >= 4""")
+def augment_fixed(spark, sf_dir):
+    """``augment_labels`` with parameters that depend on the number of the copy alone."""
+    b, images = view(spark, sf_dir, "gt_boxes"), view(spark, sf_dir, "images")
+    tags = b.where("pk % 4 = 0").groupBy("image_id").agg(F.count(F.lit(1)).alias("tags"))
+    copies = augment.fan_out(images.join(tags, "image_id", "left").fillna(0, ["tags"]), 2)
+    copies = copies.withColumns({"angle": F.lit(0.0), "scale": F.lit(1.0) + F.col("aug") * F.lit(0.25), "dx": F.col("aug") * F.lit(0.125), "dy": F.lit(-0.0625)})
+    rows = copies.join(b.select("image_id", "box_id", "cls", bbox_poly(tiling.CORNERS).alias("poly")), "image_id")
+    return augment.transform_polygons(rows)
+
+
+IMAGES = ", ".join(f"'{t}'" for t in files.IMAGE_TYPES)
+
+
+@query("list_images", ctes("paths") + rf", f AS (SELECT path, length, string_split(path, '/')[-1] AS name FROM paths) SELECT path, length, regexp_replace(name, '\.[^.]*$', '') AS stem, lower(regexp_extract(name, '\.([^.]*)$', 1)) AS ext FROM f WHERE lower(regexp_extract(name, '\.([^.]*)$', 1)) IN ({IMAGES}) AND NOT regexp_matches(path, '{files.OUTPUT_FOLDERS}')")
 def list_images(spark, sf_dir):
-    """The inventory of the data files under ``sf_dir``, earlier output folders left out."""
-    return files.inventory(spark, sf_dir, ("parquet",))
+    return files.listed(view(spark, sf_dir, "paths"))

@@ -8,7 +8,7 @@ from gridloom.functions.boxes import DENSITY_SQL, ORDER_SQL
 from gridloom.operators import splits
 from gridloom.plans.fixtures import ctes, view
 from gridloom.plans.registry import Registry
-from gridloom.plans.tables import written
+from gridloom.sources.tables import written
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql

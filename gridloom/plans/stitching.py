@@ -9,6 +9,7 @@ from gridloom.operators import match, metrics, stitch
 from gridloom.plans.evaluation import CONF, IOUS, TOUCH, iou_sql, sweep_sql
 from gridloom.plans.fixtures import VIEWS, ctes, view
 from gridloom.plans.registry import Registry
+from gridloom.sources.tables import written
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -206,5 +207,6 @@ def stitch_training(spark, sf_dir):
 def sweep_iou(spark, sf_dir):
     gts, preds = view(spark, sf_dir, "gt_boxes"), _preds(spark, sf_dir)
     kept = stitch.nms(metrics.at_thresholds(preds, IOUS, "iou_thr"), F.col("iou_thr"), CLIPPED, ["iou_thr", "image_id"])
+    kept = written(kept)  # counted and matched
     pairs = match.candidate_pairs(kept, gts, min(IOUS), carry=["iou_thr"]).where("iou >= iou_thr")
     return metrics.sweep(view(spark, sf_dir, "images"), gts, kept, pairs, view(spark, sf_dir, "analysis"), "iou_thr", IOUS)

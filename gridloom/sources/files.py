@@ -16,7 +16,11 @@ MANIFEST = "image string, src_label string, roi_image string, roi_label string,
 
 def inventory(spark: SparkSession, folder: str, types: Sequence[str] = IMAGE_TYPES) -> DataFrame:
     """Rows (path, length, stem, ext) of the files below a folder; their contents are not read. Empty files are not listed."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    return listed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length"), types)
+
+
+def listed(found: DataFrame, types: Sequence[str] = IMAGE_TYPES) -> DataFrame:
+    """Rows (path, length, stem, ext) of those paths that have one of the extensions, in any case, and lie in no output folder."""
     name = F.element_at(F.split("path", "/"), -1)
     out = found.withColumns({"stem": F.regexp_replace(name, r"\.[^.]*$", ""), "ext": F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))})
     return out.where(F.col("ext").isin(*types) & ~F.col("path").rlike(OUTPUT_FOLDERS))
@@ -25,10 +29,11 @@ def inventory(spark: SparkSession, folder: str, types: Sequence[str] = IMAGE_TYP
 def label_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """Rows (path, stem, size) of all label files, the empty ones too: an empty label is a negative sample.
 
-    DataFrame sources leave files of no bytes out, so this one lists whole text files.
+    DataFrame sources leave files of no bytes out, so this one asks the file system for names and sizes; contents are not read.
     """
-    rows = spark.sparkContext.wholeTextFiles(f"{folder}/*.txt").mapValues(len)
-    out = spark.createDataFrame(rows, "path string, size long")
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, "*.txt"))
+    out = spark.createDataFrame([(f.getPath().toString(), f.getLen()) for f in found or []], "path string, size long")
     return out.withColumn("stem", F.regexp_extract("path", r"([^/]*)\.txt$", 1))
 
 
@@ -44,8 +49,8 @@ def lines_of(files: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a region manifest (JSON lines); blank lines and records that lack a path go."""
-    return spark.read.schema(MANIFEST).json(path).where("image IS NOT NULL AND roi_image IS NOT NULL AND roi_label IS NOT NULL")
+    """Records of a region manifest (JSON lines); blank lines and records that lack a path, or have an empty one, go."""
+    return spark.read.schema(MANIFEST).json(path).where("image != '' AND roi_image != '' AND roi_label != ''")
 
 
 def pixels(images: DataFrame) -> DataFrame:

@@ -150,3 +150,55 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert a == b
     per = {r["tags"]: r["count"] for r in augment.fan_out(images, 2).groupBy("tags").count().collect()}
     assert per[0] == 7 * 2 and per[2] == 7 * 3 and per[5] == 6 * 5
+
+
+def test_class_rules_and_strict_reading(spark):
+    from gridloom.operators import labels
+
+    lines = spark.createDataFrame([(1, n, t) for n, t in enumerate(["0 .5 .5 .1 .1", "0.7 .5 .5 .1 .1", "1.0 .5 .5 .1 .1", "2.5 .5 .5 .1 .1", "-0 .5 .5 .1 .1", "x .5 .5 .1 .1", "0 .5", "", "nan .5 .5 .1 .1"])], "image_id long, line_no long, line string")
+    read = lambda rule: {r["line_no"]: r["cls"] for r in labels.parse_labels(lines, rule=rule).collect()}
+    assert {k: v for k, v in read("rounded").items() if k != 8} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 0}
+    assert read("whole") == {0: 0, 4: 0}
+    assert {k: v for k, v in read("truncated").items() if k != 8} == {0: 0, 1: 0, 2: 1, 3: 2, 4: 0}
+    assert labels.parse_labels(lines.where("line_no IN (0, 6, 7)"), strict=True).count() == 1
+    with pytest.raises(Exception, match="unreadable label line of image 1: x"):
+        labels.parse_labels(lines.where("line_no < 6"), strict=True).collect()
+
+
+def test_points_in_polygons(spark):
+    from gridloom.functions.boxes import in_polygon
+
+    star = [(0, 0), (10, 0), (10, 10), (5, 2), (0, 10)]
+    df = spark.createDataFrame([([{"x": float(x), "y": float(y)} for x, y in star], px, py) for px, py in ((5.0, 1.0), (5.0, 5.0), (1.0, 5.0), (11.0, 1.0))], "poly array<struct<x:double,y:double>>, px double, py double")
+    assert [r[0] for r in df.select(in_polygon(df["poly"], df["px"], df["py"])).collect()] == [True, False, True, False]
+
+
+def test_hue_saturation_and_value(spark):
+    from gridloom.operators import colors
+
+    df = spark.createDataFrame([(255, 0, 0), (0, 255, 0), (0, 0, 255), (0, 0, 0), (128, 128, 128), (255, 0, 128)], "r int, g int, b int")
+    got = [tuple(r) for r in df.select(*(v.alias(n) for n, v in colors.hsv().items())).collect()]
+    assert got == [(0, 255, 255), (60, 255, 255), (120, 255, 255), (0, 0, 0), (0, 0, 128), (165, 255, 255)]
+
+
+def test_exact_quantile_and_rank_within(spark):
+    from gridloom.operators import splits
+
+    rng = random.Random(1)
+    values = [rng.choice([5, 5, 9000, rng.randrange(100_000)]) for _ in range(501)]
+    df = spark.createDataFrame([(i, v, "ab"[i % 2]) for i, v in enumerate(values)], "image_id long, v long, bin string")
+    for share in (0.0, 0.25, 0.3, 0.5, 1.0):
+        assert splits.exact_quantile(df, "v", share).first()[0] == pytest.approx(df.selectExpr(f"percentile(v, {share})").first()[0])
+    assert splits.exact_quantile(df.where("v < 0"), "v", 0.5).collect() in ([], [(None,)])
+    ranked = splits.exact_rank(df, "v", ["image_id"], "nth", within=["bin"]).collect()
+    want = {i: n for b in "ab" for n, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values) if "ab"[i % 2] == b), 1)}
+    assert {r["image_id"]: r["nth"] for r in ranked} == want
+
+
+def test_regions_with_missing_corners(spark):
+    from gridloom.operators import tiling
+
+    rois = spark.createDataFrame([(1, None, None, None, None), (2, None, 3, 9, 3), (3, 5, 5, 4, 9), (4, 7, None, None, 500), (5, 20, 2, 20, 8)], "image_id long, x0 long, y0 long, x1 long, y1 long")
+    images = spark.createDataFrame([(i, 100, 50) for i in range(1, 6)], "image_id long, width long, height long")
+    got = sorted(tuple(r) for r in tiling.manifest_boxes(rois, images).collect())
+    assert got == [(1, 0, 0, 99, 49, True), (2, 0, 3, 9, 3, False), (4, 7, 0, 99, 49, False), (5, 20, 2, 20, 8, False)]
