@@ -173,9 +173,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row of each group stays: the one with the smallest doc_id, null after all others.
 
-    Rows with a null doc_id and different texts under one doc_id are told apart; of repeated rows that stay one is left.
+    Rows with a null doc_id and different texts under one doc_id are told apart; of repeated rows that stay one is left. Other
+    columns, of whatever name, are passed on.
     """
-    told = told_apart(docs)
+    told = told_apart(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
     prints = cut(fingerprints(told, width), "prints")
     grouped = cut(prints.join(_labelled(prints).select("fp", "comp"), "fp").groupBy("comp", "doc_id", "_copy").agg(F.count(F.lit(1)).alias("n")), "grouped")
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_copy")
@@ -184,7 +185,7 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_copy") == F.col("_same"))
     stay = told.join(judged.where("NOT kept OR n > 1"), same, "left_anti")
     repeated = told.join(judged.where("kept AND n > 1"), same, "left_semi").dropDuplicates(["doc_id", "_copy"])
-    return stay.unionByName(repeated).select(*docs.columns)
+    return stay.unionByName(repeated).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 QUERIES = {"op1_simhash": op1_simhash}

@@ -104,7 +104,7 @@ class ShardReader:
             raise ValueError("not a token shard")
         stream.seek(index_at)
         self.index = list(INDEX.iter_unpack(stream.read(index_size)))
-        self.codec = pa.Codec("zstd")
+        self.codec, self.bloom = pa.Codec("zstd"), None
 
     def _block(self, nth: int) -> Iterator[tuple[bytes, bytes]]:
         _, offset, stored, plain, _, _ = self.index[nth]
@@ -123,9 +123,10 @@ class ShardReader:
                 yield id_of(key), value
 
     def may_hold(self, doc_id: int) -> bool:
-        self.stream.seek(self.bloom_at)
-        bloom = self.stream.read(self.bloom_size)
-        return all(bloom[at >> 3] >> (at & 7) & 1 for at in _bloom_places(key_of(doc_id), self.bloom_size * 8))
+        if self.bloom is None:  # read at the first lookup and kept
+            self.stream.seek(self.bloom_at)
+            self.bloom = self.stream.read(self.bloom_size)
+        return all(self.bloom[at >> 3] >> (at & 7) & 1 for at in _bloom_places(key_of(doc_id), self.bloom_size * 8))
 
     def lookup(self, doc_id: int) -> list[bytes]:
         """The values of a doc_id: none, one, or all of its repeated rows."""
@@ -143,11 +144,16 @@ class ShardReader:
         return found
 
 
+def arrow_uri(path: str) -> str:
+    scheme, there, rest = path.partition("://")
+    return f"s3://{rest}" if there and scheme in ("s3a", "s3n") else path
+
+
 def open_file(path: str, write: bool = False):
-    """A binary stream on any file system that Arrow knows (local, HDFS, S3, ...)."""
+    """A binary stream on any file system that Arrow knows (local, HDFS, S3, ...). Spark's s3a is Arrow's s3."""
     from pyarrow import fs
 
-    system, at = fs.FileSystem.from_uri(path)
+    system, at = fs.FileSystem.from_uri(arrow_uri(path))
     if not write:
         return system.open_input_file(at)
     system.create_dir(at.rpartition("/")[0], recursive=True)

@@ -102,3 +102,11 @@ def test_one_row_of_a_group_stays_whatever_its_id(spark):
     rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (2, texts[1]), (2, texts[2]), (3, texts[2]), (None, texts[0]), (None, texts[3]), (None, texts[3]), (None, texts[4])]
     got = simhash.keep_one(docs(spark, rows)).select("doc_id", "text").collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", texts[0]), ("2", texts[1]), ("2", texts[2]), ("None", texts[3]), ("None", texts[4])])
+
+
+def test_keep_one_passes_columns_of_any_name_on(spark):
+    text = "a text of some words that two documents share, word by word"
+    rows = [(1, text, 5, 6, 7), (2, text, 8, 9, 10), (None, "another text altogether, of other words", 1, 2, 3)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _copy long, _doc long, row long"))
+    assert got.columns == ["doc_id", "text", "_copy", "_doc", "row"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([rows[0], rows[2]], key=str)

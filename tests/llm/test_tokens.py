@@ -68,3 +68,7 @@ def test_query_equals_plain_encoding(spark):
     assert got == sorted(want)
     empty = tokens.write_shards(docs(spark, []), new_path(spark, "t"), public_path("byte_bpe_50k.json"))
     assert tokens.token_spans(empty).collect() == []
+
+
+def test_schemes_of_spark_and_arrow():
+    assert tokens.arrow_uri("s3a://b/x/y.sst") == "s3://b/x/y.sst" and tokens.arrow_uri("file:///tmp/x") == "file:///tmp/x" and tokens.arrow_uri("/tmp/x") == "/tmp/x"
