@@ -1,4 +1,4 @@
-"""Links between near-duplicate texts from MinHash signatures, with DataFrame operations only.
+"""Links between near-duplicate texts from MinHash signatures, with DataFrame operations.
 
 A signature (key, m0, m1, ...) holds minima of 21 bits, three to a long. ``bands`` name the minima that make a bucket each; texts
 that share a bucket are candidates.
@@ -31,7 +31,7 @@ from gridloom.llm.components import components
 from gridloom.llm.scratch import cut
 
 Texts = Callable[[DataFrame], DataFrame]
-Shingles = Callable[[Column], Column]
+Alike = Callable[[DataFrame], DataFrame]
 
 #: Rows of a counted table that may be broadcast (two longs each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -46,12 +46,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.get(F.transform(counted, lambda c: c["both"] / (c["n"] - c["both"])), F.lit(0))
 
 
-def packed(minima: list[Column]) -> list[Column]:
-    """Columns m0, m1, ... that hold three minima of ``FIELD`` bits each."""
-    words = [reduce(Column.bitwiseOR, (F.shiftleft(m, FIELD * i) for i, m in enumerate(minima[at : at + 3]))) for at in range(0, len(minima), 3)]
-    return [w.alias(f"m{i}") for i, w in enumerate(words)]
-
-
 def minimum(i: int, side: str = "") -> Column:
     return F.shiftrightunsigned(f"{side}m{i // 3}", FIELD * (i % 3)).bitwiseAND(F.lit((1 << FIELD) - 1))
 
@@ -92,12 +86,11 @@ def likely(pairs: DataFrame, signed: DataFrame, count: int, fewest: int) -> Data
     return cut(pairs.where(_equal(count, "a_", "b_") >= fewest).select("a", "b"), "likely")
 
 
-def verified(pairs: DataFrame, texts: Texts, shingles: Shingles, least: float) -> DataFrame:
-    """The pairs (a, b) of a written table whose exact similarity is ``least`` or more; a written table."""
+def verified(pairs: DataFrame, texts: Texts, alike: Alike) -> DataFrame:
+    """The pairs (a, b) of a written table that ``alike`` keeps; a written table."""
     found = cut(texts(cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")), "texts")
     left, right = found.select(F.col("key").alias("a"), F.col("text").alias("left")), found.select(F.col("key").alias("b"), F.col("text").alias("right"))
-    alike = jaccard(shingles(F.col("left")), shingles(F.col("right"))) >= least
-    return cut(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "links")
+    return cut(alike(pairs.join(left, "a").join(right, "b")).select("a", "b"), "links")
 
 
 def _unsettled(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -120,11 +113,11 @@ def _neighbours(unsettled: DataFrame, signed: DataFrame, count: int, fewest: int
     return cut(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "near")
 
 
-def near_components(signed: DataFrame, bands: list[list[int]], texts: Texts, shingles: Shingles, least: float) -> DataFrame:
+def near_components(signed: DataFrame, bands: list[list[int]], texts: Texts, alike: Alike, least: float) -> DataFrame:
     """Rows (node, comp) of the texts that have a link, a similarity of ``least`` or more; comp is the smallest key joined.
 
     ``signed`` is a written table of signatures (a key may repeat), ``texts`` gives one (key, text) for each key of a written
-    table, ``shingles`` a text's set of shingle hashes.
+    table, ``alike`` those of the rows (a, b, left, right) whose texts have the exact similarity.
     """
     count, rows = 1 + max(i for b in bands for i in b), max(map(len, bands))
     each = F.array(*(F.xxhash64(F.lit(n), *(minimum(i) for i in b)) for n, b in enumerate(bands)))
@@ -132,10 +125,10 @@ def near_components(signed: DataFrame, bands: list[list[int]], texts: Texts, shi
     leaders = cut(buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader != last").select("bucket", "leader"), "leaders")
     members = cut(buckets.join(few(leaders), "bucket").select("bucket", "key", "leader"), "members")
     first = members.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
-    links = verified(likely(first, signed, count, fewest_equal(count, rows, least)), texts, shingles, least)
+    links = verified(likely(first, signed, count, fewest_equal(count, rows, least)), texts, alike)
     comp = cut(components(links, "a", "b"), "comp")
     near = _neighbours(_unsettled(members.select("bucket", "key"), comp), signed, count, fewest_equal(count, rows, least))
-    found = verified(near, texts, shingles, least)
+    found = verified(near, texts, alike)
     return comp if found.isEmpty() else cut(components(links.unionByName(found), "a", "b"), "comp")
 
 
