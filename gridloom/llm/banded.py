@@ -1,4 +1,4 @@
-"""Links between near-duplicate texts from MinHash signatures, with DataFrame operations.
+"""Links between near-duplicate texts from MinHash signatures.
 
 A signature (key, m0, m1, ...) holds minima of 21 bits, three to a long. ``bands`` name the minima that make a bucket each; texts
 that share a bucket are candidates.
@@ -24,6 +24,8 @@ from collections.abc import Callable
 from functools import reduce
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,7 @@ BROADCAST_ROWS = 1_000_000
 NEIGHBOURS = 6
 RARE = 100_000
 FIELD = 21
+_odd = np.uint64(0x9E3779B97F4A7C15)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -55,6 +58,24 @@ def affine_bands(order: int, classes: int) -> list[list[int]]:
     return [[x * order + (slope * x + at) % order for x in range(order)] for slope in range(classes) for at in range(order)]
 
 
+def bucketed(signed: DataFrame, bands: list[list[int]]) -> DataFrame:
+    """Rows (key, bucket), one for each band of a signature. As one expression the bands make a method that the JVM leaves uncompiled."""
+    words = [c for c in signed.columns if c != "key"]
+
+    def run(batches):
+        for batch in batches:
+            held = [batch[w].to_numpy().view(np.uint64) for w in words]
+            minima = [held[i // 3] >> np.uint64(FIELD * (i % 3)) & np.uint64((1 << FIELD) - 1) for i in range(3 * len(words))]
+            for n, band in enumerate(bands):
+                x = np.full(batch.num_rows, n + 1, np.uint64)
+                for i in band:
+                    x = (x * _odd) ^ minima[i]
+                    x = (x ^ (x >> np.uint64(32))) * _odd
+                yield pa.RecordBatch.from_arrays([batch["key"], pa.array((x ^ (x >> np.uint64(29))).view(np.int64))], ["key", "bucket"])
+
+    return signed.mapInArrow(run, "key long, bucket long")
+
+
 def few(df: DataFrame) -> DataFrame:
     """``df`` marked for a broadcast if it has at most ``BROADCAST_ROWS`` rows; it should be a written table."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -120,8 +141,7 @@ def near_components(signed: DataFrame, bands: list[list[int]], texts: Texts, ali
     table, ``alike`` those of the rows (a, b, left, right) whose texts have the exact similarity.
     """
     count, rows = 1 + max(i for b in bands for i in b), max(map(len, bands))
-    each = F.array(*(F.xxhash64(F.lit(n), *(minimum(i) for i in b)) for n, b in enumerate(bands)))
-    buckets = signed.select("key", F.explode(each).alias("bucket"))
+    buckets = bucketed(signed, bands)
     leaders = cut(buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader != last").select("bucket", "leader"), "leaders")
     members = cut(buckets.join(few(leaders), "bucket").select("bucket", "key", "leader"), "members")
     first = members.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
