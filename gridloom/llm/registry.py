@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, langid, lines, media, packing, passages, quality, simhash, tokens, urls
+from gridloom.llm import decontaminate, langid, lines, media, packing, passages, quality, shards, simhash, tokens, urls
 
-MODULES = [simhash, media, tokens, quality, passages, urls, packing, langid, lines, decontaminate]
+MODULES = [simhash, media, tokens, quality, passages, urls, packing, langid, lines, decontaminate, shards]
 
 
 def queries() -> dict:
