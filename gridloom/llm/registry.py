@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, langid, lines, media, packing, passages, quality, search, shards, simhash, tokens, urls
+from gridloom.llm import decontaminate, langid, lines, media, packing, passages, quality, search, shards, simhash, spelling, tokens, urls
 
-MODULES = [simhash, media, tokens, quality, passages, urls, packing, langid, lines, decontaminate, search, shards]
+MODULES = [simhash, media, tokens, quality, passages, urls, packing, langid, lines, decontaminate, spelling, search, shards]
 
 
 def queries() -> dict:
