@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.boxes import poly_bbox
+from gridloom.operators.polygons import RING, box_window, ring_window, with_part
+
 
 def fan_out(images: DataFrame, augs: int) -> DataFrame:
     """Rows (image_id, aug): ``augs`` copies, one more for two tags or more, two more for four or more."""
@@ -22,24 +25,43 @@ def drawn(copies: DataFrame, seed: int, angle: float, scale: float, shift: float
     return copies.withColumns({"angle": draw(seed, "angle", -angle, angle), "scale": draw(seed, "scale", 1 - scale, 1 + scale), "dx": draw(seed, "dx", -shift, shift), "dy": draw(seed, "dy", -shift, shift)})
 
 
-def transform_polygons(rows: DataFrame, least_area: float = 4.0) -> DataFrame:
-    """Polygons (``poly``) turned by ``angle`` degrees and scaled about the image's centre, shifted by shares of its sides.
+def transform_polygons(rows: DataFrame, target: int | None = None, tag_class: int = 1, least_area: float = 4.0) -> DataFrame:
+    """Labels (image_id, aug, box_id, cls, x1, y1, x2, y2, poly) of polygons turned by ``angle`` degrees and scaled about the centre,
+    then shifted by shares (``dx``, ``dy``) of the sides. Columns cos and sin, if there, are taken instead of the angle.
 
-    Output: the box of what is left within the image. Boxes under ``least_area`` square pixels or without a side go; class 0
-    needs three corners or more.
+    Without ``target`` the frame is the image. With it, an image is first fitted into a square of that side, its sides truncated
+    to whole pixels, and centred. Panels (all classes but ``tag_class``) need three corners or more; each is clipped to the frame
+    and to the moved image within it, and its label is the largest part with its box. A tag is the box of its moved corners,
+    held to the frame. Boxes under ``least_area`` square pixels or without a side go. Corners are rounded to 1e-6 pixel.
     """
-    a, b = F.col("scale") * F.cos(F.radians("angle")), F.col("scale") * F.sin(F.radians("angle"))
-    mx, my = F.col("width") / 2, F.col("height") / 2
-    sx, sy = F.col("dx") * F.col("width"), F.col("dy") * F.col("height")
+    turn = {n: F.col(n) if n in rows.columns else f(F.radians("angle")) for n, f in (("cos", F.cos), ("sin", F.sin))}
+    a, b = F.col("scale") * turn["cos"], F.col("scale") * turn["sin"]
+    if target is None:
+        fit, side, content, off = F.lit(1.0), (F.col("width"), F.col("height")), (F.col("width"), F.col("height")), (F.lit(0), F.lit(0))
+    else:
+        fit, side = F.least(F.lit(float(target)) / F.col("height"), F.lit(float(target)) / F.col("width")), (F.lit(target), F.lit(target))
+        content = tuple((F.col(c) * fit).cast("long") for c in ("width", "height"))
+        off = tuple(F.floor((F.lit(target) - c) / 2) for c in content)
+    named = {"_fit": fit, "_a": a, "_b": b, "_sx": side[0].cast("double"), "_sy": side[1].cast("double"), "_cw": content[0], "_ch": content[1], "_ox": off[0], "_oy": off[1]}
+    out = rows.where((F.col("cls") == tag_class) | (F.size("poly") >= 3)).withColumns(named)
 
-    def moved(p):
-        x, y = p["x"] - mx, p["y"] - my
-        return F.struct((a * x + b * y + mx + sx).alias("x"), (a * y - b * x + my + sy).alias("y"))
+    def moved(px, py):
+        x, y = px - F.col("_sx") / 2, py - F.col("_sy") / 2
+        return F.struct((F.col("_a") * x + F.col("_b") * y + F.col("_sx") / 2 + F.col("dx") * F.col("_sx")).alias("x"), (F.col("_a") * y - F.col("_b") * x + F.col("_sy") / 2 + F.col("dy") * F.col("_sy")).alias("y"))
 
-    out = rows.where("cls <> 0 OR size(poly) >= 3").withColumn("poly", F.transform("poly", moved))
+    low, high = (F.col("_ox"), F.col("_oy")), (F.col("_ox") + F.col("_cw"), F.col("_oy") + F.col("_ch"))
+    quad = F.array(*(moved(x, y) for x, y in ((low[0], low[1]), (high[0], low[1]), (high[0], high[1]), (low[0], high[1]))))
+    ring = F.transform("poly", lambda p: moved(p["x"] * F.col("_fit") + F.col("_ox"), p["y"] * F.col("_fit") + F.col("_oy"))).cast(RING)
+    window = F.concat(box_window(F.lit(0), F.lit(0), F.col("_sx"), F.col("_sy")), ring_window(quad))
+    out = out.select(*(c for c in out.columns if c != "poly"), F.explode(F.array(F.struct(ring.alias("poly"), window.alias("window")))).alias("_moved"))
+    out = with_part(out, F.when(F.col("cls") != tag_class, F.col("_moved.poly")), F.col("_moved.window"))
+    out = out.where((F.col("cls") == tag_class) | (F.col("_part.parts") > 0)).withColumns({"poly": F.col("_moved.poly"), "_part": F.col("_part.ring")})
 
-    def held(f, axis, side):
-        return F.least(F.greatest(f(F.transform("poly", lambda p: p[axis])), F.lit(0.0)), F.col(side).cast("double"))
+    def held(v, axis):
+        return F.least(F.greatest(v, F.lit(0.0)), F.col(f"_s{axis}"))
 
-    out = out.withColumns({"x1": held(F.array_min, "x", "width"), "y1": held(F.array_min, "y", "height"), "x2": held(F.array_max, "x", "width"), "y2": held(F.array_max, "y", "height")})
-    return out.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) >= least_area)).select("image_id", "aug", "box_id", "cls", "x1", "y1", "x2", "y2")
+    boxed = {}
+    for c, own, ring in zip(("x1", "y1", "x2", "y2"), poly_bbox("poly"), poly_bbox("_part"), strict=True):
+        boxed[c] = F.round(F.when(F.col("cls") == tag_class, held(own, c[0])).otherwise(ring), 6) + F.lit(0.0)
+    out = out.withColumns(boxed).where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) >= least_area))
+    return out.select("image_id", "aug", "box_id", "cls", "x1", "y1", "x2", "y2", F.col("_part").alias("poly"))

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.boxes import in_polygon, overlap
+from gridloom.functions.boxes import bbox_poly, in_polygon, overlap, poly_bbox
+from gridloom.operators.cells import meet, touched
+from gridloom.operators.polygons import RING, box_window, signed_area, with_part
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -58,24 +60,47 @@ def mining_grid(images: DataFrame, tile: int, share: float = 0.8) -> DataFrame:
 
 def empty_tiles(tiles: DataFrame, boxes: DataFrame, tile: int) -> DataFrame:
     """Tiles that no box touches; intervals are closed, so a shared edge is a touch."""
-    t, b = tiles.alias("t"), boxes.alias("b")
-    near = (F.col("t.image_id") == F.col("b.image_id")) & (F.col("b.x1") <= F.col("t.tx") + tile) & (F.col("b.x2") >= F.col("t.tx")) & (F.col("b.y1") <= F.col("t.ty") + tile) & (F.col("b.y2") >= F.col("t.ty"))
-    return t.join(b, near, "left_anti")
+    keys = ["image_id", "tx", "ty"]
+    met = touched(tiles, boxes, ("tx", "ty", F.col("tx") + tile, F.col("ty") + tile), CORNERS, keys, cell=tile)
+    return tiles.join(met, keys, "left_anti")
+
+
+def _outlined(boxes: DataFrame) -> DataFrame:
+    """image_id, box_id, cls, the corners and, if there, poly; the corners of a row with a polygon of three points or more are the
+    polygon's, other polygons count as none."""
+    if "poly" not in boxes.columns:
+        return boxes.select("image_id", "box_id", "cls", *CORNERS)
+    b = boxes.withColumn("poly", F.when(F.size("poly") >= 3, F.col("poly").cast(RING)))
+    return b.select("image_id", "box_id", "cls", *(F.coalesce(v, F.col(c)).alias(c) for v, c in zip(poly_bbox("poly"), CORNERS, strict=True)), "poly")
+
+
+def _cut_to(met: DataFrame, window: tuple[Column, Column, Column, Column]) -> DataFrame:
+    """Rows with their corners held to a window. Polygons are clipped: the corners are those of the largest part, the column area
+    is that part's, and rows without a part go; the area of other rows is their box's."""
+    low = {c: F.greatest(c, w) if c.endswith("1") else F.least(c, w) for c, w in zip(CORNERS, window, strict=True)}
+    if "poly" not in met.columns:
+        return met.withColumns(low).withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
+    cut = with_part(met, F.col("poly"), box_window(*window)).where("_part IS NULL OR _part.parts > 0").withColumn("poly", F.col("_part.ring"))
+    ring = dict(zip(CORNERS, poly_bbox("poly"), strict=True))
+    cut = cut.withColumns({c: F.coalesce(ring[c], low[c]) for c in CORNERS})
+    return cut.withColumn("area", F.coalesce(F.abs(signed_area(F.col("poly"))), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))))
 
 
 def tile_labels(tiles: DataFrame, boxes: DataFrame, tile: int, least: float = 0.0015) -> DataFrame:
-    """Boxes clipped to the tiles they overlap, normalised by the tile; parts under ``least`` of a tile go.
+    """Boxes clipped to the tiles they overlap, normalised by the tile; parts whose box is under ``least`` of a tile go.
 
-    Tiles of the same place count once. Corners of the clipped box are kept in image pixels beside the label.
+    Tiles of the same place count once. Where ``boxes`` has a column poly (corners in pixels), a label is the box of the largest
+    part of its polygon within the tile, and poly holds that part, normalised; a row without a polygon is its box.
     """
-    t, b = tiles.select("image_id", "tx", "ty").dropDuplicates(["image_id", "ty", "tx"]).alias("t"), boxes.alias("b")
-    near = (F.col("t.image_id") == F.col("b.image_id")) & (F.col("b.x1") < F.col("t.tx") + tile) & (F.col("b.x2") > F.col("t.tx")) & (F.col("b.y1") < F.col("t.ty") + tile) & (F.col("b.y2") > F.col("t.ty"))
-    cut = t.join(b, near).select("t.image_id", "tx", "ty", "box_id", "cls", F.greatest("x1", "tx").alias("x1"), F.greatest("y1", "ty").alias("y1"), F.least("x2", F.col("tx") + tile).alias("x2"), F.least("y2", F.col("ty") + tile).alias("y2"))
-    label = cut.withColumns({
+    t, b = tiles.select("image_id", "tx", "ty").dropDuplicates(["image_id", "ty", "tx"]), _outlined(boxes)
+    window = (F.col("tx"), F.col("ty"), F.col("tx") + tile, F.col("ty") + tile)
+    met = meet(t, b, window, CORNERS, cell=tile).where((F.col("x1") < window[2]) & (F.col("x2") > window[0]) & (F.col("y1") < window[3]) & (F.col("y2") > window[1]))
+    label = _cut_to(met, window).withColumns({
         "cx": ((F.col("x1") + F.col("x2")) / 2 - F.col("tx")) / tile, "cy": ((F.col("y1") + F.col("y2")) / 2 - F.col("ty")) / tile,
         "w": (F.col("x2") - F.col("x1")) / tile, "h": (F.col("y2") - F.col("y1")) / tile,
     })
-    return label.where(F.col("w") * F.col("h") >= least).select("image_id", "tx", "ty", "box_id", "cls", "cx", "cy", "w", "h")
+    local = [F.transform("poly", lambda p: F.struct(((p["x"] - F.col("tx")) / tile).alias("x"), ((p["y"] - F.col("ty")) / tile).alias("y"))).alias("poly")] if "poly" in boxes.columns else []
+    return label.where(F.col("w") * F.col("h") >= least).select("image_id", "tx", "ty", "box_id", "cls", "cx", "cy", "w", "h", *local)
 
 
 def retile(tiles: DataFrame, boxes: DataFrame, images: DataFrame, tile: int, least_share: float) -> DataFrame:
@@ -109,13 +134,13 @@ def crop_windows(panels: DataFrame, tags: DataFrame, images: DataFrame, pad: flo
     Where ``panels`` has a column poly (corners in pixels), a centre must lie in the polygon, by the even-odd rule, as well as in
     its box; a row without a polygon is its box.
     """
-    p = panels.where("x2 - x1 >= 1 AND y2 - y1 >= 1").select("image_id", F.col("box_id").alias("panel_id"), *(F.col(c).alias(f"p{c}") for c in CORNERS), *(["poly"] if "poly" in panels.columns else [])).alias("p")
-    t = tags.select("image_id", *CORNERS).alias("t")
-    cx, cy = (F.col("t.x1") + F.col("t.x2")) / 2, (F.col("t.y1") + F.col("t.y2")) / 2
-    inside = (F.col("p.image_id") == F.col("t.image_id")) & (cx > F.col("px1")) & (cx < F.col("px2")) & (cy > F.col("py1")) & (cy < F.col("py2"))
+    p = panels.where("x2 - x1 >= 1 AND y2 - y1 >= 1").select("image_id", F.col("box_id").alias("panel_id"), *(F.col(c).alias(f"p{c}") for c in CORNERS), *(["poly"] if "poly" in panels.columns else []))
+    cx, cy = F.col("tcx"), F.col("tcy")
+    t = tags.select("image_id", *CORNERS, ((F.col("x1") + F.col("x2")) / 2).alias("tcx"), ((F.col("y1") + F.col("y2")) / 2).alias("tcy"))
+    inside = (cx > F.col("px1")) & (cx < F.col("px2")) & (cy > F.col("py1")) & (cy < F.col("py2"))
     if "poly" in panels.columns:
         inside = inside & (F.col("poly").isNull() | in_polygon(F.col("poly"), cx, cy))
-    held = p.join(t, inside).groupBy("p.image_id", "panel_id").agg(F.min("x1").alias("tx1"), F.min("y1").alias("ty1"), F.max("x2").alias("tx2"), F.max("y2").alias("ty2"), F.count(F.lit(1)).alias("tags"))
+    held = meet(p, t, ("px1", "py1", "px2", "py2"), ("tcx", "tcy", "tcx", "tcy")).where(inside).groupBy("image_id", "panel_id").agg(F.min("x1").alias("tx1"), F.min("y1").alias("ty1"), F.max("x2").alias("tx2"), F.max("y2").alias("ty2"), F.count(F.lit(1)).alias("tags"))
     out = panels.where("x2 - x1 >= 1 AND y2 - y1 >= 1").select("image_id", F.col("box_id").alias("panel_id"), *CORNERS).join(held, ["image_id", "panel_id"], "left").join(images.select("image_id", "width", "height"), "image_id")
     w, h = (F.col("x2") - F.col("x1")) * F.lit(pad), (F.col("y2") - F.col("y1")) * F.lit(pad)
     out = out.select(
@@ -129,18 +154,24 @@ def crop_windows(panels: DataFrame, tags: DataFrame, images: DataFrame, pad: flo
 def letterbox(crops: DataFrame, boxes: DataFrame, target: int) -> DataFrame:
     """Labels of the boxes that overlap a crop, in the square of ``target`` pixels into which the crop is fitted and centred.
 
-    Parts of under one square pixel, or of a normalised side under 1e-4, go.
+    Parts of under one square pixel, or of a normalised side under 1e-4, go. Where ``boxes`` has a column poly (corners in
+    pixels), a row of class 0 is clipped as a polygon, its area is that of the largest part, and poly holds the part (of a row
+    without a polygon, its box) in the square; poly is null for other classes, which are boxes.
     """
-    c, b = crops.alias("c"), boxes.alias("b")
-    near = (F.col("c.image_id") == F.col("b.image_id")) & (F.col("b.x1") < F.col("cx2")) & (F.col("b.x2") > F.col("cx1")) & (F.col("b.y1") < F.col("cy2")) & (F.col("b.y2") > F.col("cy1"))
-    cut = c.join(b, near).select("c.image_id", "panel_id", "box_id", "cls", "cx1", "cy1", "cx2", "cy2", F.greatest("x1", "cx1").alias("x1"), F.greatest("y1", "cy1").alias("y1"), F.least("x2", "cx2").alias("x2"), F.least("y2", "cy2").alias("y2"))
-    cut = cut.where("(x2 - x1) * (y2 - y1) >= 1").withColumns({"cw": F.col("cx2") - F.col("cx1"), "ch": F.col("cy2") - F.col("cy1")})
+    b = _outlined(boxes.withColumn("poly", F.when(F.col("cls") == 0, F.col("poly"))) if "poly" in boxes.columns else boxes)
+    window = tuple(map(F.col, ("cx1", "cy1", "cx2", "cy2")))
+    met = meet(crops.select("image_id", "panel_id", "cx1", "cy1", "cx2", "cy2"), b, window, CORNERS).where("x1 < cx2 AND x2 > cx1 AND y1 < cy2 AND y2 > cy1")
+    cut = _cut_to(met, window).where("area >= 1").withColumns({"cw": F.col("cx2") - F.col("cx1"), "ch": F.col("cy2") - F.col("cy1")})
     cut = cut.withColumn("scale", F.lit(float(target)) / F.greatest("cw", "ch"))
     cut = cut.withColumns({"left": F.floor((F.lit(target) - (F.col("cw") * F.col("scale")).cast("long")) / 2), "top": F.floor((F.lit(target) - (F.col("ch") * F.col("scale")).cast("long")) / 2)})
+    local = []
+    if "poly" in boxes.columns:
+        ring = F.when(F.col("cls") == 0, F.coalesce("poly", bbox_poly(tuple(F.col(c).cast("double") for c in CORNERS))))
+        local = [F.transform(ring, lambda p: F.struct((((p["x"] - F.col("cx1")) * F.col("scale") + F.col("left")) / target).alias("x"), (((p["y"] - F.col("cy1")) * F.col("scale") + F.col("top")) / target).alias("y"))).alias("poly")]
     out = cut.select(
         "image_id", "panel_id", "box_id", "cls",
         ((((F.col("x1") + F.col("x2")) / 2 - F.col("cx1")) * F.col("scale") + F.col("left")) / target).alias("cx"), ((((F.col("y1") + F.col("y2")) / 2 - F.col("cy1")) * F.col("scale") + F.col("top")) / target).alias("cy"),
-        ((F.col("x2") - F.col("x1")) * F.col("scale") / target).alias("w"), ((F.col("y2") - F.col("y1")) * F.col("scale") / target).alias("h"),
+        ((F.col("x2") - F.col("x1")) * F.col("scale") / target).alias("w"), ((F.col("y2") - F.col("y1")) * F.col("scale") / target).alias("h"), *local,
     )
     return out.where("w >= 1e-4 AND h >= 1e-4")
 
@@ -164,7 +195,7 @@ def roi_labels(rois: DataFrame, boxes: DataFrame, least: float = 0.0, by_centre:
     A box stays if at least ``least`` of it is visible, or, with ``by_centre``, if its centre lies in the region.
     """
     r, b = rois.select("image_id", F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1")), boxes.select("image_id", "box_id", "cls", *CORNERS)
-    met = r.join(b, "image_id").withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2, "inter": overlap(("rx0", "ry0", "rx1", "ry1"), CORNERS)})
+    met = meet(r, b, ("rx0", "ry0", "rx1", "ry1"), CORNERS).withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2, "inter": overlap(("rx0", "ry0", "rx1", "ry1"), CORNERS)})
     share = F.col("inter") / F.greatest((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), F.lit(1e-6))
     inside = F.col("cx").between(F.col("rx0"), F.col("rx1")) & F.col("cy").between(F.col("ry0"), F.col("ry1")) & F.lit(by_centre)
     kept = met.where(((F.col("inter") > 0) & (share >= least)) | inside)
@@ -188,40 +219,14 @@ def roi_labels_nearest(rois: DataFrame, boxes: DataFrame, least: float) -> DataF
     """``roi_labels`` without the centre rule; a region that loses all its boxes keeps the one that overlaps it most."""
     kept = roi_labels(rois, boxes, least, by_centre=False)
     r = rois.select("image_id", F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1")).join(kept.select("image_id").distinct(), "image_id", "left_anti")
-    met = r.join(boxes.select("image_id", "box_id", "cls", *CORNERS), "image_id").withColumn("inter", overlap(("rx0", "ry0", "rx1", "ry1"), CORNERS)).where("inter > 0")
+    met = meet(r, boxes.select("image_id", "box_id", "cls", *CORNERS), ("rx0", "ry0", "rx1", "ry1"), CORNERS).withColumn("inter", overlap(("rx0", "ry0", "rx1", "ry1"), CORNERS)).where("inter > 0")
     nth = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("inter"), "box_id"))
     best = met.withColumn("_nth", nth).where("_nth = 1")
     return kept.withColumn("forced", F.lit(False)).unionByName(_in_region(best).withColumn("forced", F.lit(True)))
 
 
 def clip_polygons(polys: DataFrame, keys: Sequence[str], window: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
-    """Polygons (array of (x, y) structs in ``poly``) clipped to their row's window, one half-plane after the other.
-
-    Exact for convex polygons; a concave one cut into parts comes back as one ring, whose box covers all parts. Fewer than three
-    corners left: the row goes.
-    """
-    ring = "array<struct<x:double,y:double>>"
-
-    def half(poly: Column, axis: str, bound: str, upper: bool) -> Column:
-        other = "y" if axis == "x" else "x"
-        edges = F.transform(poly, lambda p, i: F.struct(p.alias("b"), F.when(i == 0, F.element_at(poly, -1)).otherwise(F.get(poly, i - 1)).alias("a")))
-
-        def inside(p):
-            return p[axis] <= F.col(bound) if upper else p[axis] >= F.col(bound)
-
-        def crossing(e):
-            share = (F.col(bound) - e["a"][axis]) / (e["b"][axis] - e["a"][axis])
-            at = e["a"][other] + share * (e["b"][other] - e["a"][other])
-            values = {axis: F.col(bound).cast("double"), other: at}
-            return F.struct(values["x"].alias("x"), values["y"].alias("y"))
-
-        def step(done, e):
-            end = F.array(F.struct(e["b"]["x"].alias("x"), e["b"]["y"].alias("y")))
-            return F.concat(done, F.when(inside(e["a"]) & inside(e["b"]), end).when(inside(e["a"]), F.array(crossing(e))).when(inside(e["b"]), F.concat(F.array(crossing(e)), end)).otherwise(F.array().cast(ring)))
-
-        return F.when(F.size(poly) == 0, poly).otherwise(F.aggregate(edges, F.array().cast(ring), step))
-
-    out = polys.withColumn("poly", F.col("poly").cast(ring))
-    for axis, bound, upper in (("x", window[0], False), ("x", window[2], True), ("y", window[1], False), ("y", window[3], True)):
-        out = out.withColumn("poly", half(F.col("poly"), axis, bound, upper))
-    return out.where(F.size("poly") >= 3).select(*keys, "poly")
+    """Polygons (array of (x, y) structs in ``poly``) clipped to their row's window: the largest part, and how many ``parts``
+    there are. Rows without a part go."""
+    out = with_part(polys, F.col("poly"), box_window(*map(F.col, window)))
+    return out.where("_part.parts > 0").select(*keys, F.col("_part.ring").alias("poly"), F.col("_part.parts").alias("parts"))

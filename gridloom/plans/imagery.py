@@ -153,11 +153,17 @@ def augment_labels(spark, sf_dir):
     tags = b.where("pk % 4 = 0").groupBy("image_id").agg(F.count(F.lit(1)).alias("tags"))
     copies = augment.drawn(augment.fan_out(images.join(tags, "image_id", "left").fillna(0, ["tags"]), 2), 17, 8.0, 0.1, 0.05)
     rows = copies.join(b.select("image_id", "box_id", "cls", bbox_poly(tiling.CORNERS).alias("poly")), "image_id")
-    return augment.transform_polygons(rows)
+    return augment.transform_polygons(rows).drop("poly")
 
 
 def _moved(axis, side):
-    return {n: f"least(greatest(scale * ({axis}{n} - {side} / 2.0::DOUBLE) + {side} / 2.0::DOUBLE + d{axis} * {side}, 0.0::DOUBLE), CAST({side} AS DOUBLE))" for n in (1, 2)}
+    """The ends of a panel's side, held to the frame and to the moved image."""
+
+    def at(v):
+        return f"(scale * ({v} - {side} / 2.0::DOUBLE) + {side} / 2.0::DOUBLE + d{axis} * {side})"
+
+    low, high = f"greatest(0.0::DOUBLE, {at(0)})", f"least(CAST({side} AS DOUBLE), {at(side)})"
+    return {n: f"round(least(greatest({at(f'{axis}{n}')}, {low}), {high}), 6)" for n in (1, 2)}
 
 
 _X, _Y = _moved("x", "width"), _moved("y", "height")
@@ -174,7 +180,59 @@ def augment_fixed(spark, sf_dir):
     copies = augment.fan_out(images.join(tags, "image_id", "left").fillna(0, ["tags"]), 2)
     copies = copies.withColumns({"angle": F.lit(0.0), "scale": F.lit(1.0) + F.col("aug") * F.lit(0.25), "dx": F.col("aug") * F.lit(0.125), "dy": F.lit(-0.0625)})
     rows = copies.join(b.select("image_id", "box_id", "cls", bbox_poly(tiling.CORNERS).alias("poly")), "image_id")
-    return augment.transform_polygons(rows)
+    return augment.transform_polygons(rows).drop("poly")
+
+
+TARGET = 640
+#: cos and sin of a turn with whole numbers (3, 4, 5), to either side.
+COS, SIN = 0.8, 0.6
+
+
+def _turned(x, y):
+    """SQL of a moved point: fitted coordinates within the square -> the frame."""
+    half = TARGET / 2
+    px, py = f"(({x}) - {half})", f"(({y}) - {half})"
+    return f"{{'x': scale * {COS}::DOUBLE * {px} + scale * turn * {py} + {half} + dx * {TARGET}, 'y': scale * {COS}::DOUBLE * {py} - scale * turn * {px} + {half} + dy * {TARGET}}}"
+
+
+def _side_of(p, h):
+    return f"({h}.a * {p}.x + {h}.b * {p}.y + {h}.c)"
+
+
+_P, _Q, _H = "ring[i]", "ring[i % len(ring) + 1]", "planes[n + 1]"
+_DP, _DQ = _side_of(_P, _H), _side_of(_Q, _H)
+_HALF = f"""flatten(list_transform(range(1, len(ring) + 1), lambda i: list_concat(CASE WHEN {_DP} >= 0 THEN [{_P}] ELSE [] END,
+  CASE WHEN ({_DP} > 0 AND {_DQ} < 0) OR ({_DP} < 0 AND {_DQ} > 0) THEN [{{'x': {_P}.x + {_DP} / ({_DP} - {_DQ}) * ({_Q}.x - {_P}.x), 'y': {_P}.y + {_DP} / ({_DP} - {_DQ}) * ({_Q}.y - {_P}.y)}}] ELSE [] END)))"""
+_AREA = "abs(list_sum(list_transform(range(1, len(ring) + 1), lambda i: ring[i].x * ring[i % len(ring) + 1].y - ring[i % len(ring) + 1].x * ring[i].y))) / 2"
+_EDGE = "list_transform(range(1, 5), lambda i: {'a': quad[i].y - quad[i % 4 + 1].y, 'b': quad[i % 4 + 1].x - quad[i].x, 'c': -((quad[i].y - quad[i % 4 + 1].y) * quad[i].x + (quad[i % 4 + 1].x - quad[i].x) * quad[i].y)})"
+_ENDS = ", ".join(f"list_{f}(list_transform(ring, lambda p: p.{axis})) AS {axis}{n}" for n, f in ((1, "min"), (2, "max")) for axis in "xy")
+
+
+def _unit_held(c):
+    return f"round(CASE cls WHEN 1 THEN least(greatest({c}, 0.0::DOUBLE), {TARGET}.0::DOUBLE) ELSE {c} END, 6) + 0.0::DOUBLE AS {c}"
+
+
+@query("augment_turned", ctes("gt_boxes", "images") + f""", t AS (SELECT image_id, count(*) AS n FROM gt_boxes WHERE pk % 4 = 0 GROUP BY image_id),
+c AS (SELECT i.image_id, width, height, 2 + CASE WHEN coalesce(n, 0) >= 2 THEN 1 ELSE 0 END + CASE WHEN coalesce(n, 0) >= 4 THEN 2 ELSE 0 END AS copies, least({TARGET}.0::DOUBLE / height, {TARGET}.0::DOUBLE / width) AS fit FROM images i LEFT JOIN t USING (image_id)),
+o AS (SELECT *, CAST(trunc(width * fit) AS BIGINT) AS cw, CAST(trunc(height * fit) AS BIGINT) AS ch FROM c),
+f AS (SELECT image_id, fit, aug, 1.0::DOUBLE + aug * 0.25::DOUBLE AS scale, aug * 0.0625::DOUBLE AS dx, -0.03125::DOUBLE AS dy, CASE WHEN aug % 2 = 0 THEN {SIN}::DOUBLE ELSE -{SIN}::DOUBLE END AS turn, CAST(floor(({TARGET} - cw) / 2) AS BIGINT) AS ox, CAST(floor(({TARGET} - ch) / 2) AS BIGINT) AS oy, cw, ch FROM o JOIN (SELECT CAST(unnest(range(5)) AS INTEGER) AS aug) a ON aug < copies),
+q AS (SELECT *, [{_turned('ox', 'oy')}, {_turned('ox + cw', 'oy')}, {_turned('ox + cw', 'oy + ch')}, {_turned('ox', 'oy + ch')}] AS quad FROM f),
+w AS (SELECT *, list_concat([{{'a': 1.0::DOUBLE, 'b': 0.0::DOUBLE, 'c': 0.0::DOUBLE}}, {{'a': -1.0::DOUBLE, 'b': 0.0::DOUBLE, 'c': {TARGET}.0::DOUBLE}}, {{'a': 0.0::DOUBLE, 'b': 1.0::DOUBLE, 'c': 0.0::DOUBLE}}, {{'a': 0.0::DOUBLE, 'b': -1.0::DOUBLE, 'c': {TARGET}.0::DOUBLE}}], {_EDGE}) AS planes FROM q),
+b AS (SELECT image_id, box_id, CAST(pk % 4 = 0 AS INTEGER) AS cls, [{{'x': x1 + 60, 'y': y1}}, {{'x': x2, 'y': y1}}, {{'x': x2, 'y': y2}}, {{'x': x1, 'y': y2}}, {{'x': x1, 'y': y1 + 60}}] AS corners FROM gt_boxes),
+m AS (SELECT image_id, aug, box_id, cls, planes, list_transform(corners, lambda p: {_turned('p.x * fit + ox', 'p.y * fit + oy')}) AS ring FROM w JOIN b USING (image_id)),
+clip AS (SELECT 0 AS n, * FROM m UNION ALL SELECT n + 1, image_id, aug, box_id, cls, planes, {_HALF} FROM clip WHERE n < 8 AND cls = 0),
+e AS (SELECT image_id, aug, box_id, cls, {_ENDS} FROM clip WHERE CASE cls WHEN 1 THEN n = 0 ELSE n = 8 AND len(ring) > 2 AND {_AREA} > 1e-6 END),
+r AS (SELECT image_id, aug, box_id, cls, {', '.join(_unit_held(c) for c in ('x1', 'y1', 'x2', 'y2'))} FROM e)
+SELECT * FROM r WHERE x2 > x1 AND y2 > y1 AND (x2 - x1) * (y2 - y1) >= 4""")
+def augment_turned(spark, sf_dir):
+    """Copies fitted into a square and turned by an exact angle: panels clipped to the moved image, tags as boxes."""
+    b, images = view(spark, sf_dir, "gt_boxes"), view(spark, sf_dir, "images")
+    tags = b.where("pk % 4 = 0").groupBy("image_id").agg(F.count(F.lit(1)).alias("tags"))
+    copies = augment.fan_out(images.join(tags, "image_id", "left").fillna(0, ["tags"]), 2)
+    copies = copies.withColumns({"cos": F.lit(COS), "sin": F.when(F.col("aug") % 2 == 0, SIN).otherwise(-SIN), "scale": F.lit(1.0) + F.col("aug") * F.lit(0.25), "dx": F.col("aug") * F.lit(0.0625), "dy": F.lit(-0.03125)})
+    poly = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((F.col("x1") + 60, F.col("y1")), (F.col("x2"), F.col("y1")), (F.col("x2"), F.col("y2")), (F.col("x1"), F.col("y2")), (F.col("x1"), F.col("y1") + 60))))
+    rows = copies.join(b.select("image_id", "box_id", (F.col("pk") % 4 == 0).cast("int").alias("cls"), poly.alias("poly")), "image_id")
+    return augment.transform_polygons(rows, TARGET).drop("poly")
 
 
 IMAGES = ", ".join(f"'{t}'" for t in files.IMAGE_TYPES)

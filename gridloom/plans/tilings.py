@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridloom.functions import boxes as fb
 from gridloom.operators import tiling
+from gridloom.operators.cells import meet
+from gridloom.operators.polygons import signed_area
 from gridloom.plans.fixtures import ctes, view
 from gridloom.plans.registry import Registry
 
@@ -210,15 +213,80 @@ def roi_labels_nearest(spark, sf_dir):
     return tiling.roi_labels_nearest(manifest_boxes(spark, sf_dir), view(spark, sf_dir, "gt_boxes"), 0.999)
 
 
-@query("clip_polygons")
+#: Shapes of boxes, by their kind: the whole box, one corner cut off (``CUT`` pixels along both sides), and a notch from the top
+#: that leaves ``LEG`` pixels on either side and is ``DEEP`` pixels deep.
+CUT, LEG, DEEP = 60, 70, 120
+
+
+def _shape(kind: Column) -> Column:
+    x1, y1, x2, y2 = (F.col(c).cast("double") for c in tiling.CORNERS)
+
+    def ring(*points):
+        return F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in points))
+
+    cut = ring((x1 + CUT, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1 + CUT))
+    notched = ring((x1, y1), (x1 + LEG, y1), (x1 + LEG, y1 + DEEP), (x2 - LEG, y1 + DEEP), (x2 - LEG, y1), (x2, y1), (x2, y2), (x1, y2))
+    return F.when(kind == 1, cut).when(kind == 2, notched)
+
+
+def _clipped_sql(rows: str, out: str) -> str:
+    """CTEs that add px1, py1, px2, py2, area and parts to ``rows`` (x1, y1, x2, y2, kind and the window wx1, wy1, wx2, wy2), in closed form."""
+    w, h, s = "(c - a)", "(d - b)", "(k - a - b)"
+    lost = f"CASE WHEN {s} <= 0 THEN 0.0::DOUBLE ELSE ({s} * {s} - greatest({s} - {w}, 0) * greatest({s} - {w}, 0) - greatest({s} - {h}, 0) * greatest({s} - {h}, 0)) / 2.0::DOUBLE END"
+    gap = "greatest(least(c, n2) - greatest(a, n1), 0) * greatest(least(d, ny) - b, 0)"
+    left, right = "greatest(least(c, n1) - a, 0)", "greatest(c - greatest(a, n2), 0)"
+    whole = "kind = 0 OR (kind = 2 AND d > ny)"
+    return f"""{out}_r AS (SELECT *, greatest(x1, wx1) AS a, greatest(y1, wy1) AS b, least(x2, wx2) AS c, least(y2, wy2) AS d, x1 + y1 + {CUT} AS k, x1 + {LEG} AS n1, x2 - {LEG} AS n2, y1 + {DEEP} AS ny FROM {rows}),
+{out}_s AS (SELECT *, {left} AS lw, {right} AS rw FROM {out}_r WHERE a < c AND b < d),
+{out} AS (SELECT * EXCLUDE (a, b, c, d, k, n1, n2, ny, lw, rw),
+  CASE WHEN kind = 1 THEN greatest(a, k - d) WHEN {whole} OR lw >= rw THEN a ELSE greatest(a, n2) END AS px1,
+  CASE WHEN kind = 1 THEN greatest(b, k - c) WHEN kind = 2 AND d > ny AND a >= n1 AND c <= n2 THEN greatest(b, ny) ELSE b END AS py1,
+  CASE WHEN kind = 1 OR {whole} OR lw < rw THEN c ELSE least(c, n1) END AS px2, d AS py2,
+  CASE WHEN kind = 1 THEN {w} * {h} - ({lost}) WHEN kind = 0 THEN CAST({w} * {h} AS DOUBLE) WHEN d > ny THEN CAST({w} * {h} - {gap} AS DOUBLE) ELSE CAST(greatest(lw, rw) * {h} AS DOUBLE) END AS area,
+  CASE WHEN kind = 1 THEN CAST(c + d > k AS INTEGER) WHEN {whole} THEN 1 ELSE CAST(lw > 0 AS INTEGER) + CAST(rw > 0 AS INTEGER) END AS parts FROM {out}_s)"""
+
+
+@query("clip_polygons", ctes("images", "gt_boxes") + f""", {GRID}, met AS (SELECT g.image_id, tx, ty, box_id, 1 + pk % 2 AS kind, x1, y1, x2, y2, tx AS wx1, ty AS wy1, tx2 AS wx2, ty2 AS wy2 FROM grid g JOIN gt_boxes b USING (image_id)),
+{_clipped_sql('met', 'done')} SELECT image_id, tx, ty, box_id, parts, area, CAST(px1 AS DOUBLE) AS x1, CAST(py1 AS DOUBLE) AS y1, CAST(px2 AS DOUBLE) AS x2, CAST(py2 AS DOUBLE) AS y2 FROM done WHERE parts > 0""")
 def clip_polygons(spark, sf_dir):
-    """Boxes with one corner cut off, clipped to the tiles they overlap."""
-    tiles = tile_grid(spark, sf_dir).alias("t")
-    b = view(spark, sf_dir, "gt_boxes")
-    poly = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((F.col("x1") + 60, F.col("y1")), (F.col("x2"), F.col("y1")), (F.col("x2"), F.col("y2")), (F.col("x1"), F.col("y2")), (F.col("x1"), F.col("y1") + 60))])
-    b = b.select("image_id", "box_id", *tiling.CORNERS, poly.alias("poly")).alias("b")
-    near = (F.col("t.image_id") == F.col("b.image_id")) & (F.col("x1") < F.col("tx2")) & (F.col("x2") > F.col("tx")) & (F.col("y1") < F.col("ty2")) & (F.col("y2") > F.col("ty"))
-    met = tiles.join(b, near).select("b.image_id", "tx", "ty", "tx2", "ty2", "box_id", "poly")
+    """Boxes with a corner cut off (convex) and with a notch (which can fall into two parts), clipped to the tiles they overlap."""
+    b = view(spark, sf_dir, "gt_boxes").select("image_id", "box_id", *tiling.CORNERS, _shape(1 + F.col("pk") % 2).alias("poly"))
+    met = meet(tile_grid(spark, sf_dir), b, ("tx", "ty", "tx2", "ty2"), tiling.CORNERS, cell=TILE)
     out = tiling.clip_polygons(met, ["image_id", "tx", "ty", "box_id"], ("tx", "ty", "tx2", "ty2"))
     box = fb.poly_bbox("poly")
-    return out.select("image_id", "tx", "ty", "box_id", F.size("poly").alias("corners"), *(v.alias(c) for v, c in zip(box, tiling.CORNERS, strict=True)))
+    return out.select("image_id", "tx", "ty", "box_id", "parts", F.abs(signed_area(F.col("poly"))).alias("area"), *(v.alias(c) for v, c in zip(box, tiling.CORNERS, strict=True)))
+
+
+@query("tile_labels_poly", ctes("images", "gt_boxes") + f""", {GRID}, met AS (SELECT g.image_id, tx, ty, box_id, cls, pk % 3 AS kind, x1, y1, x2, y2, tx AS wx1, ty AS wy1, tx + {TILE} AS wx2, ty + {TILE} AS wy2 FROM (SELECT DISTINCT image_id, tx, ty FROM grid) g JOIN gt_boxes b USING (image_id)),
+{_clipped_sql('met', 'done')}, l AS (SELECT image_id, tx, ty, box_id, cls, ({_d('px1 + px2')} / 2 - tx) / {TILE} AS cx, ({_d('py1 + py2')} / 2 - ty) / {TILE} AS cy, {_d('px2 - px1')} / {TILE} AS w, {_d('py2 - py1')} / {TILE} AS h, CASE WHEN kind > 0 THEN round(area / {TILE} / {TILE}, 12) END AS share FROM done WHERE parts > 0) SELECT * FROM l WHERE w * h >= 0.0015""")
+def tile_labels_poly(spark, sf_dir):
+    """Labels of tiles where a third of the boxes are whole, a third lack a corner and a third have a notch; share is the part's area."""
+    b = view(spark, sf_dir, "gt_boxes").withColumn("poly", _shape(F.col("pk") % 3))
+    out = tiling.tile_labels(tile_grid(spark, sf_dir), b, TILE)
+    return out.withColumn("share", F.round(F.abs(signed_area(F.col("poly"))), 12)).drop("poly")
+
+
+@query("retile_poly", ctes("images", "gt_boxes") + f""", {GRID}, met AS (SELECT g.image_id, tx, ty, box_id, pk % 3 AS kind, x1, y1, x2, y2, tx AS wx1, ty AS wy1, tx + {TILE} AS wx2, ty + {TILE} AS wy2 FROM (SELECT DISTINCT image_id, tx, ty FROM grid) g JOIN gt_boxes b USING (image_id)),
+{_clipped_sql('met', 'done')}, labels AS (SELECT image_id, tx, ty, box_id, ({_d('px1 + px2')} / 2 - tx) / {TILE} AS cx, ({_d('py1 + py2')} / 2 - ty) / {TILE} AS cy, {_d('px2 - px1')} / {TILE} AS w, {_d('py2 - py1')} / {TILE} AS h FROM done WHERE parts > 0),
+best AS (SELECT image_id, tx, ty, w * h AS area, cx, cy FROM labels WHERE w * h >= 0.0015 QUALIFY row_number() OVER (PARTITION BY image_id, tx, ty ORDER BY w * h DESC, box_id) = 1),
+small AS (SELECT image_id, tx, ty, area, {_new('tx', 'width', 'cx')} AS new_tx, {_new('ty', 'height', 'cy')} AS new_ty FROM best JOIN images USING (image_id) WHERE area < {LEAST}),
+again AS (SELECT s.image_id, new_tx, new_ty, pk % 3 AS kind, x1, y1, x2, y2, new_tx AS wx1, new_ty AS wy1, new_tx + {TILE} AS wx2, new_ty + {TILE} AS wy2 FROM (SELECT DISTINCT image_id, new_tx, new_ty FROM small) s JOIN gt_boxes b USING (image_id)),
+{_clipped_sql('again', 'redone')}, found AS (SELECT image_id, new_tx, new_ty, max({_d('px2 - px1')} / {TILE} * ({_d('py2 - py1')} / {TILE})) AS new_area FROM redone WHERE parts > 0 AND {_d('px2 - px1')} / {TILE} * ({_d('py2 - py1')} / {TILE}) >= 0.0015 GROUP BY ALL),
+adopted AS (SELECT image_id, tx, ty, new_tx, new_ty FROM small JOIN found USING (image_id, new_tx, new_ty) WHERE new_area >= greatest(area, {LEAST})),
+placed AS (SELECT b.image_id, b.tx, b.ty, coalesce(new_tx, b.tx) AS new_tx, coalesce(new_ty, b.ty) AS new_ty, new_tx IS NOT NULL AS moved FROM best b LEFT JOIN adopted a ON a.image_id = b.image_id AND a.tx = b.tx AND a.ty = b.ty)
+SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY image_id, new_tx, new_ty ORDER BY moved DESC, ty, tx) = 1""")
+def retile_poly(spark, sf_dir):
+    b = view(spark, sf_dir, "gt_boxes").withColumn("poly", _shape(F.col("pk") % 3))
+    return tiling.retile(tile_grid(spark, sf_dir), b, view(spark, sf_dir, "images"), TILE, LEAST)
+
+
+@query("crop_letterbox_poly", ctes("images", "gt_boxes") + CROPS + f""", drawn AS (SELECT p.*, b.pk % 3 AS kind FROM panels p JOIN gt_boxes b USING (image_id, box_id) UNION ALL SELECT *, 0 AS kind FROM tags),
+met AS (SELECT c.image_id, panel_id, cx1, cy1, cx2 - cx1 AS cw, cy2 - cy1 AS ch, box_id, cls, kind, x1, y1, x2, y2, cx1 AS wx1, cy1 AS wy1, cx2 AS wx2, cy2 AS wy2 FROM crops c JOIN drawn b USING (image_id)), {_clipped_sql('met', 'done')},
+s AS (SELECT *, {BOXED}.0::DOUBLE / greatest(cw, ch) AS scale FROM done WHERE parts > 0 AND area >= 1), o AS (SELECT *, floor(({BOXED} - trunc(cw * scale)) / 2) AS lft, floor(({BOXED} - trunc(ch * scale)) / 2) AS top FROM s),
+l AS (SELECT image_id, panel_id, box_id, cls, (({_d('px1 + px2')} / 2 - cx1) * scale + lft) / {BOXED} AS cx, (({_d('py1 + py2')} / 2 - cy1) * scale + top) / {BOXED} AS cy, (px2 - px1) * scale / {BOXED} AS w, (py2 - py1) * scale / {BOXED} AS h, CASE cls WHEN 0 THEN round(area * scale * scale / {BOXED} / {BOXED}, 6) END AS share FROM o) SELECT * FROM l WHERE w >= 1e-4 AND h >= 1e-4""")
+def crop_letterbox_poly(spark, sf_dir):
+    panels, tags = _classed(spark, sf_dir)
+    kind = view(spark, sf_dir, "gt_boxes").select("image_id", "box_id", (F.col("pk") % 3).alias("kind"))
+    drawn = panels.join(kind, ["image_id", "box_id"]).withColumn("poly", _shape(F.col("kind"))).drop("kind")
+    out = tiling.letterbox(crop_windows(spark, sf_dir), drawn.unionByName(tags, allowMissingColumns=True), BOXED)
+    return out.withColumn("share", F.round(F.abs(signed_area(F.col("poly"))), 6)).drop("poly")
