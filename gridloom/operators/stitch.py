@@ -42,13 +42,16 @@ def nms(dets: DataFrame, most: float | Column, mode: str = INCLUSIVE, keys: Sequ
 
 def anchored(dets: DataFrame, edge: Edge, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Each box with the anchor that it joins: the first earlier anchor with an edge to it, else itself."""
+    return _anchored(_walked(dets, keys), edge, keys)
 
+
+def _anchored(walked: DataFrame, edge: Edge, keys: Sequence[str]) -> DataFrame:
     def step(seen, box):
         anchors = F.filter(seen, lambda s: (s["anchor"] == s["det_id"]) & edge(s, box))
         found = F.coalesce(F.get(anchors, F.lit(0))["det_id"], box["det_id"])
         return F.array_append(seen, F.struct(*(box[c].alias(c) for c in ("det_id", *CORNERS, "score")), found.alias("anchor")))
 
-    folded = _walked(dets, keys).select(*keys, F.aggregate("boxes", F.array().cast(f"array<{MEMBER}>"), step).alias("boxes"))
+    folded = walked.select(*keys, F.aggregate("boxes", F.array().cast(f"array<{MEMBER}>"), step).alias("boxes"))
     return folded.select(*keys, F.inline("boxes"))
 
 
@@ -71,23 +74,28 @@ def merge_minmax(dets: DataFrame, least: float, keys: Sequence[str] = ("image_id
     return members.groupBy(*keys, "anchor").agg(*ends, F.max("score").alias("score")).withColumnRenamed("anchor", "det_id")
 
 
+def _radius(boxes: Column, ratio: float) -> Column:
+    """``ratio`` x the median short side of an array of boxes."""
+    sides = F.array_sort(F.transform(boxes, lambda b: F.least(b["x2"] - b["x1"], b["y2"] - b["y1"])))
+    n = F.size(boxes)
+    return F.get(F.transform(F.array(sides), lambda s: (F.get(s, ((n - 1) / 2).cast("int")) * 0.5 + F.get(s, (n / 2).cast("int")) * 0.5) * ratio), F.lit(0))
+
+
+def _close(a, b, radius: Column) -> Column:
+    """Whether the centres of two boxes lie within a radius, measured in radii."""
+    dx, dy = ((a[f"{c}1"] / radius + a[f"{c}2"] / radius - b[f"{c}1"] / radius - b[f"{c}2"] / radius) / 2 for c in "xy")
+    return dx * dx + dy * dy <= 1.0
+
+
 def merge_center(dets: DataFrame, ratio: float, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Clusters whose centres lie within ``ratio`` x the image's median short side of their anchor's, merged by means.
 
-    Corners are scaled by the radius before the walk, so the fold needs no value of the image beside its boxes.
+    Boxes of an image whose median is 0 stay alone. One pass: the radius comes from the boxes that the walk gathers.
     """
-    radius = F.median(short_side(CORNERS)).over(Window.partitionBy(*keys)) * ratio
-    sized = dets.withColumn("_radius", radius)
-    lone = sized.where("_radius <= 0").select(*keys, "det_id", *(F.col(c).cast("double").alias(c) for c in CORNERS), "score")
-    scaled = sized.where("_radius > 0").withColumns({c: F.col(c) / F.col("_radius") for c in CORNERS})
-
-    def near(a, b):
-        dx, dy = (a["x1"] + a["x2"] - b["x1"] - b["x2"]) / 2, (a["y1"] + a["y2"] - b["y1"] - b["y2"]) / 2
-        return dx * dx + dy * dy <= 1.0
-
-    members = anchored(scaled, near, keys).select(*keys, "det_id", "anchor", "score")
-    back = members.join(dets.select(*keys, "det_id", *CORNERS), [*keys, "det_id"])
-    return _mean(back, keys).select(*keys, "det_id", *CORNERS, "score").unionByName(lone)
+    # a generator computes the radius once an image; as a plain column it would be inlined into the walk
+    walked = _walked(dets, keys).select(*keys, F.inline(F.array(F.struct("boxes", _radius(F.col("boxes"), ratio).alias("_radius")))))
+    near = F.when(F.col("_radius") > 0, F.col("_radius"))  # null: no edge
+    return _mean(_anchored(walked, lambda a, b: F.coalesce(_close(a, b, near), F.lit(False)), keys), keys).select(*keys, "det_id", *CORNERS, "score")
 
 
 def cluster_1d(df: DataFrame, value: Column, delta, keys: Sequence[str], tie: str, name: str = "cluster") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions.boxes import CLIPPED, INCLUSIVE
-from gridloom.operators import match, metrics, stitch
+from gridloom.operators import crowded, match, metrics, stitch
 from gridloom.plans.evaluation import CONF, IOUS, TOUCH, iou_sql, sweep_sql
 from gridloom.plans.fixtures import VIEWS, ctes, view
 from gridloom.plans.registry import Registry
@@ -84,6 +84,33 @@ def merge_center(spark, sf_dir):
     return _plain(stitch.merge_center(_preds(spark, sf_dir), RATIO))
 
 
+#: So many neighbouring images make one crowded sheet, moved by so many pixels against each other.
+SHEET, SHIFT = 100, 230
+_SHEETS = f"""SELECT CAST(floor(image_id / {SHEET}) AS BIGINT) AS image_id, (image_id % {SHEET}) * 1000 + det_id AS det_id, CAST(x1 + dx AS DOUBLE) AS x1, CAST(y1 + dy AS DOUBLE) AS y1, CAST(x2 + dx AS DOUBLE) AS x2, CAST(y2 + dy AS DOUBLE) AS y2, score
+FROM (SELECT *, (image_id % 10) * {SHIFT} AS dx, (CAST(floor(image_id / 10) AS BIGINT) % 10) * {SHIFT} AS dy FROM pred_boxes WHERE score >= {CONF}) q"""
+CROWDED = ctes("pred_boxes") + f", preds AS ({_SHEETS})"
+
+
+def _sheets(spark, sf_dir):
+    return spark.sql(_SHEETS.replace("FROM pred_boxes", "FROM {p}"), p=view(spark, sf_dir, "pred_boxes"))
+
+
+@query("nms_crowded", CROWDED + ", " + nms_ctes("preds", "kept", MERGE) + f" SELECT {COLS} FROM kept")
+def nms_crowded(spark, sf_dir):
+    """Suppression on sheets of a hundred images each, in rounds over edges."""
+    return _plain(crowded.nms(_sheets(spark, sf_dir), MERGE))
+
+
+@query("merge_crowded", CROWDED + ", " + anchor_ctes("preds", "merged", IOU_EDGE, ENDS) + f" SELECT {COLS} FROM merged")
+def merge_crowded(spark, sf_dir):
+    return _plain(crowded.merge_minmax(_sheets(spark, sf_dir), MERGE))
+
+
+@query("merge_center_crowded", CROWDED + ", " + anchor_ctes("preds", "merged", CENTER_EDGE, MEANS) + f" SELECT {COLS} FROM merged")
+def merge_center_crowded(spark, sf_dir):
+    return _plain(crowded.merge_center(_sheets(spark, sf_dir), RATIO))
+
+
 GAP = 60
 
 
