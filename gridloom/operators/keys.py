@@ -21,23 +21,40 @@ def ingest(pending: DataFrame, files: DataFrame, completed: DataFrame, priority:
     return fresh.join(found, "stem", "left").withColumn("status", F.when(F.col("ext").isNull(), "failed").otherwise("ingested"))
 
 
-def natural_key(name: str | Column) -> tuple[Column, Column, Column]:
-    """Prefix, number and page of a name such as ``x12_3``, to sort by."""
+def natural_key(name: str | Column) -> Column:
+    """A text to sort names by as people do: runs of digits as numbers, all else without case.
+
+    The name in lower case, with each run of digits written as a zero byte, how many digits its number has (four of them), and
+    the number. A zero byte sorts before all others, so a name comes before those that go on with a letter, like the list of its
+    runs. Equal keys are names that differ in case or leading zeros only. A null name gives null.
+    """
+    name = F.lower(F.col(name) if isinstance(name, str) else name)
+
+    def run(r):
+        digits = F.regexp_replace(r, "^0+(?=.)", "")
+        return F.when(F.rlike(r, F.lit("^[0-9]")), F.concat(F.lit("\0"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(r)
+
+    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), run), "")
+
+
+def parsed_name(name: str | Column) -> tuple[Column, Column, Column]:
+    """Document, its first number and page of a name such as ``x12_3``: the page is the number after the last ``_``, if the name
+    ends with it."""
     name = F.col(name) if isinstance(name, str) else name
-    return F.regexp_extract(name, r"^([^\d]*)", 1), F.regexp_extract(name, r"^[^\d]*(\d+)", 1).try_cast("long"), F.regexp_extract(name, r"_(\d+)", 1).try_cast("long")
+    return F.regexp_replace(name, r"_\d+$", ""), F.regexp_extract(name, r"^[^\d]*(\d+)", 1).try_cast("long"), F.regexp_extract(name, r"_(\d+)$", 1).try_cast("long")
 
 
 def assign_keys(new: DataFrame, existing: DataFrame, prefix: str = "x") -> DataFrame:
     """Rows (name, new_name): documents numbered on after the largest existing number, in natural order; pages stay together.
 
-    ``new`` and ``existing`` have a column ``name``. Names without a number are left out.
+    ``new`` and ``existing`` have a column ``name``. A document is a name without its page; names with many numbers or none are
+    numbered like all others, and documents that differ in case or leading zeros by their names.
     """
-    _, have, _ = natural_key("name")
-    most = existing.agg(F.coalesce(F.max(have), F.lit(0)).alias("_most"))
-    head, number, page = natural_key("name")
-    parsed = new.select("name", head.alias("head"), number.alias("number"), page.alias("page")).where("number IS NOT NULL")
-    ranked = exact_rank(parsed.select("head", "number").distinct(), "number", ["head"], "nth")
-    out = parsed.join(ranked, ["head", "number"]).crossJoin(F.broadcast(most))  # one row
+    most = existing.agg(F.coalesce(F.max(parsed_name("name")[1]), F.lit(0)).alias("_most"))
+    document, _, page = parsed_name("name")
+    parsed = new.where("name IS NOT NULL").select("name", document.alias("document"), page.alias("page"))
+    placed = exact_rank(parsed.select("document").distinct().withColumn("natural", natural_key("document")), "natural", ["document"], "nth")
+    out = parsed.join(placed, "document").crossJoin(F.broadcast(most))  # one row
     return out.select("name", F.concat(F.lit(prefix), (F.col("_most") + F.col("nth")).cast("string"), F.when(F.col("page").isNotNull(), F.concat(F.lit("_"), F.col("page").cast("string"))).otherwise("")).alias("new_name"))
 
 

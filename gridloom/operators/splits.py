@@ -13,36 +13,25 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.boxes import DENSITY, density_bin, density_order
 from gridloom.operators.labels import tokens, whole_class
+from gridloom.operators.ranks import ranked, running
 
 FIRST_BIN = DENSITY[0][1]
 
 
-def exact_rank(df: DataFrame, key: str, ties: Sequence[str], name: str = "rank", width: int = 64, within: Sequence[str] = ()) -> DataFrame:
-    """The rank (from 1) by (key, ties), over all rows or ``within`` equal values of some columns, without one big partition.
-
-    Rows are ranked within buckets of ``width`` neighbouring keys, and a running sum over the small table of bucket sizes is
-    added. ``key`` is a whole number; the columns of ``within`` are not null.
-    """
-    rows = df.withColumn("_bucket", F.floor(F.col(key) / width))
-    on = [*within, "_bucket"]
-    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*on, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(*on).orderBy(key, *ties))
-    return rows.withColumn("_own", own).join(before, on).withColumn(name, F.col("_own") + F.col("_before")).drop("_bucket", "_own", "_before")
+def exact_rank(df: DataFrame, key: str, ties: Sequence[str], name: str = "rank", within: Sequence[str] = ()) -> DataFrame:
+    """The rank (from 1) by (key, ties), over all rows or ``within`` equal values of some columns, for keys of any type and spread."""
+    return ranked(df, [key, *ties], name, within)
 
 
 def exact_quantile(df: DataFrame, value: str, share: float) -> DataFrame:
     """One row (quantile) of a column of numbers, interpolated linearly between neighbours like ``percentile``.
 
-    The values are counted, ranked by buckets and only the two that are wanted are taken: no task holds all distinct values.
+    The values are counted, their counts summed up by range partitions and only the two that are wanted are taken: no task holds
+    all distinct values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.floor(F.col(value) / 4096))
-    sizes = counts.groupBy("_bucket").agg(F.sum("_n").alias("_sum"))
-    before = sizes.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_bucket").orderBy(value))
-    placed = counts.join(before, "_bucket").select(F.col(value).alias("_value"), "_n", upto.alias("_upto"))
-    at = counts.agg(((F.sum("_n") - 1) * F.lit(float(share))).alias("_at"))  # one row
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(counts, ["_value"], "_n", "_before").select("_value", "_n", (F.col("_before") + F.col("_n")).alias("_upto"))
+    at = placed.agg(((F.sum("_n") - 1) * F.lit(float(share))).alias("_at"))  # one row
     low, high = F.floor("_at"), F.ceil("_at")
     found = placed.join(F.broadcast(at), (F.col("_upto") > low) & (F.col("_upto") - F.col("_n") <= high))
     pick = [F.min(F.when((F.col("_upto") > p) & (F.col("_upto") - F.col("_n") <= p), F.col("_value"))).alias(n) for n, p in (("_low", low), ("_high", high))]
@@ -75,8 +64,8 @@ def sheet_stats(tiles: DataFrame, analysis: DataFrame) -> DataFrame:
 
 
 def hard_sheets(stats: DataFrame) -> DataFrame:
-    """Sheets (a small table: one row each) ranked by largest density, then mean, then name."""
-    return stats.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("max_order"), F.desc("mean"), "sheet")))
+    """Sheets (one row each) ranked by largest density, then mean, then name."""
+    return ranked(stats, [F.desc("max_order"), F.desc("mean"), F.col("sheet")]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def stress_sheets(stats: DataFrame, share: float = 0.12) -> DataFrame:
@@ -91,9 +80,9 @@ def stratified_sample(tiles: DataFrame, target: int, shares: Mapping[str, float]
     quota = F.lit(int(target * default))
     for name, share in shares.items():
         quota = F.when(F.col("bin") == name, int(target * share)).otherwise(quota)
-    ranked = exact_rank(free, key, ["image_id"], "_nth", within=["bin"]).withColumn("_in", F.col("_nth") <= quota)
-    picked, rest = ranked.where("_in").drop("_nth", "_in"), ranked.where("NOT _in").drop("_nth", "_in")
-    counts = ranked.agg(F.count_if("_in").alias("_picked"), F.count_if(~F.col("_in")).alias("_left")).select((F.lit(target) - F.col("_picked")).alias("_short"), "_left")
+    placed = exact_rank(free, key, ["image_id"], "_nth", within=["bin"]).withColumn("_in", F.col("_nth") <= quota)
+    picked, rest = placed.where("_in").drop("_nth", "_in"), placed.where("NOT _in").drop("_nth", "_in")
+    counts = placed.agg(F.count_if("_in").alias("_picked"), F.count_if(~F.col("_in")).alias("_left")).select((F.lit(target) - F.col("_picked")).alias("_short"), "_left")
     fill = exact_rank(rest, key, ["image_id"], "_rank").join(F.broadcast(counts), (F.col("_rank") <= F.col("_short")) & (F.col("_left") >= F.col("_short")))  # one row
     return picked.withColumn("filled", F.lit(False)).unionByName(fill.drop("_rank", "_short", "_left").withColumn("filled", F.lit(True)))
 
@@ -134,7 +123,7 @@ def small_quota(selected: DataFrame, pool: DataFrame, quota: float = 0.25) -> Da
     by_count = small.groupBy("panels").agg((F.count(F.lit(1)) * F.col("panels")).alias("_sum"))
     ahead = Window.orderBy(F.desc("panels")).rowsBetween(Window.unboundedPreceding, -1)
     before = by_count.select("panels", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
-    ranked = exact_rank(small, "image_id", [], "_nth", width=4096, within=["panels"]).join(before, "panels")
+    ranked = exact_rank(small, "image_id", [], "_nth", within=["panels"]).join(before, "panels")
     return ranked.where(F.col("_before") + (F.col("_nth") - 1) * F.col("panels") < F.col("needed")).select("image_id", "min_area", "panels")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.boxes import bbox_poly
 from gridloom.operators import augment, colors, keys, runs, tiling
+from gridloom.operators.ranks import ranked
 from gridloom.plans.fixtures import ctes, view
 from gridloom.plans.registry import Registry
 from gridloom.plans.tilings import MANIFEST, VISIBLE, manifest_boxes
@@ -137,6 +138,19 @@ def assign_keys(spark, sf_dir):
     return keys.assign_keys(new, images.select(F.col("sheet").alias("name")).distinct())
 
 
+#: Names with several numbers, none, leading zeros and upper case, from sheets and sides of images.
+_NAMES = """SELECT image_id, CASE image_id % 5 WHEN 0 THEN concat('Plan', CAST(width AS STRING), 'b', CAST(height AS STRING)) WHEN 1 THEN concat('plan', lpad(CAST(width AS STRING), 6, '0'), '-', sheet)
+ WHEN 2 THEN concat(CAST(height AS STRING), sheet) WHEN 3 THEN concat('cover', substr('abcdefghij', CAST(image_id % 7 AS INT) + 1, 3)) ELSE concat(sheet, '.', CAST(height AS STRING), '.', CAST(width AS STRING), 'z') END AS name FROM images"""
+_RUNS = "list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN chr(1) || lpad(CAST(length(CAST(CAST(r AS HUGEINT) AS VARCHAR)) AS VARCHAR), 4, '0') || CAST(CAST(r AS HUGEINT) AS VARCHAR) ELSE r END)"
+
+
+@query("natural_order", ctes("images") + f", n AS ({_NAMES}), k AS (SELECT *, array_to_string({_RUNS}, '') AS sort_text FROM n) SELECT image_id, name, row_number() OVER (ORDER BY sort_text, name, image_id) AS nth FROM k")
+def natural_order(spark, sf_dir):
+    """The place of each name in natural order."""
+    names = spark.sql(_NAMES.replace("FROM images", "FROM {i}"), i=view(spark, sf_dir, "images"))
+    return ranked(names.withColumn("natural", keys.natural_key("name")), ["natural", "name", "image_id"], "nth").drop("natural")
+
+
 @query("unique_names", ctes("images") + ", r AS (SELECT image_id, sheet AS name, row_number() OVER (PARTITION BY sheet ORDER BY image_id) AS nth, CAST(substr(sheet, 2) AS BIGINT) % 2 = 0 AS had, CAST(substr(sheet, 2) AS BIGINT) % 4 = 0 AS had_one FROM images), k AS (SELECT *, nth - CASE WHEN had THEN 0 ELSE 1 END AS k FROM r), z AS (SELECT *, k + CASE WHEN had_one AND k >= 1 THEN 1 ELSE 0 END AS kk FROM k) SELECT image_id, name, CASE WHEN kk = 0 THEN name ELSE name || '_' || CAST(kk AS VARCHAR) END AS new_name FROM z")
 def unique_names(spark, sf_dir):
     images = view(spark, sf_dir, "images").select("image_id", F.col("sheet").alias("name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions.boxes import CLIPPED, INCLUSIVE
-from gridloom.operators import crowded, match, metrics, stitch
+from gridloom.operators import crowded, match, metrics, ranks, stitch
 from gridloom.plans.evaluation import CONF, IOUS, TOUCH, iou_sql, sweep_sql
 from gridloom.plans.fixtures import VIEWS, ctes, view
 from gridloom.plans.registry import Registry
@@ -121,6 +121,14 @@ def cluster_1d(spark, sf_dir):
     return out.select("image_id", "box_id", "cluster")
 
 
+@query("cluster_1d_large", ctes("gt_boxes") + f""", v AS (SELECT image_id, box_id, image_id % 2 AS wall, image_id * 97 + (x1 + x2) / 2.0::DOUBLE AS cx, image_id * 1000 + box_id AS tie FROM gt_boxes), g AS (SELECT *, CASE WHEN cx - lag(cx) OVER (PARTITION BY wall ORDER BY cx, tie) > 40 THEN 1 ELSE 0 END AS opens FROM v)
+SELECT image_id, box_id, wall, CAST(sum(opens) OVER (PARTITION BY wall ORDER BY cx, tie) AS BIGINT) AS cluster FROM g""")
+def cluster_1d_large(spark, sf_dir):
+    """All boxes side by side on two walls, so that a key has half of all rows."""
+    b = view(spark, sf_dir, "gt_boxes").withColumns({"wall": F.col("image_id") % 2, "tie": F.col("image_id") * 1000 + F.col("box_id")})
+    return ranks.islands(b, F.col("image_id") * 97 + (F.col("x1") + F.col("x2")) / 2, 40, ["wall"], "tie").select("image_id", "box_id", "wall", "cluster")
+
+
 def grid_ctes(src: str, out: str) -> str:
     def clustered(axis, value, name):
         return f"CAST(sum({axis}o) OVER (PARTITION BY image_id ORDER BY {value}, det_id) AS BIGINT) AS {name}"

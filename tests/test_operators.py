@@ -118,7 +118,7 @@ def test_exact_rank_for_any_partitioning(spark):
     want = {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1)}
     for parts in (1, 8, 64):
         df = spark.createDataFrame(rows, "image_id long, k long").repartition(parts)
-        assert {r["image_id"]: r["rank"] for r in splits.exact_rank(df, "k", ["image_id"], width=7).collect()} == want
+        assert {r["image_id"]: r["rank"] for r in splits.exact_rank(df, "k", ["image_id"]).collect()} == want
 
 
 def test_ratio_split_sizes_and_bad_ratios(spark):
