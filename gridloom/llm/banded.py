@@ -1,17 +1,18 @@
-"""Links between near-duplicate texts from MinHash signatures.
+"""Links between near-duplicate texts from MinHash signatures, and from rare shingles where signatures do not tell texts apart.
 
 A signature (key, m0, m1, ...) holds minima of 21 bits, three to a long. ``bands`` name the minima that make a bucket each; texts
 that share a bucket are candidates.
 
 1. In each bucket every member is compared with its smallest key, the leader: one candidate a row, never all pairs.
 2. The links found are joined into components. Texts of buckets that hold one component are settled.
-3. The others are sorted by their minima, in as many orders as there are longs: grouped by one minimum, in the group by the minima
-   that follow. Each is compared with the ``NEIGHBOURS`` texts before it, if these are of another component: those share the
-   longest run of equal minima with it. That again is a fixed number of candidates a row, however large a group is.
+3. In the other buckets lie texts that share most of their shingles with many others, such as the rows of a form: their minima fall
+   into what is common and say nothing about the rest. Their shingles are counted among themselves and each is filed under its
+   rarest ones, as many as two texts of the wanted similarity cannot both do without (a prefix filter: a pair of similarity s
+   shares one of the n - ceil(s n) + 1 rarest). Where at most ``SMALL`` texts share such a shingle, all of them are compared; larger groups are
+   compared with ``LEADERS`` members drawn anew in each round, until a round adds no link.
 
-So candidates grow with the texts, not with the square of a bucket. A pair that shares a bucket is compared, or joined through
-others, or left out because both texts have that many nearer neighbours without a link. That happens in dense families whose
-members are mostly just under the similarity; the tests measure it there, and that nothing is lost in ordinary ones.
+So candidates grow with the texts, not with the square of a bucket or a group, and what two texts have in common with all others
+does not hide what only they share.
 
 Before texts are fetched, their minima are compared: a pair of the wanted similarity s that met in a band of r rows agrees in r
 minima and in a share s of the others. Pairs with so few equal minima that this happens less than once in ``RARE`` are passed
@@ -26,18 +27,19 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.scratch import cut
+from gridloom.llm.scratch import cut, drop
 
 Texts = Callable[[DataFrame], DataFrame]
 Alike = Callable[[DataFrame], DataFrame]
 
 #: Rows of a counted table that may be broadcast (two longs each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-NEIGHBOURS = 6
+#: Texts that share a rare shingle and are all compared, and members of larger groups that the others are compared with.
+SMALL, LEADERS = 8, 4
 RARE = 100_000
 FIELD = 21
 _odd = np.uint64(0x9E3779B97F4A7C15)
@@ -99,46 +101,85 @@ def _equal(count: int, a: str, b: str) -> Column:
 def likely(pairs: DataFrame, signed: DataFrame, count: int, fewest: int) -> DataFrame:
     """The distinct pairs (a, b) with ``fewest`` equal minima or more; a written table."""
     pairs = cut(pairs.select("a", "b").distinct(), "pairs")
-    keys = few(cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys"))
+    keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
     words = [c for c in signed.columns if c != "key"]
-    drawn = cut(signed.join(keys, "key", "left_semi").groupBy("key").agg(*(F.min(w).alias(w) for w in words)), "minima")
+    drawn = cut(signed.join(few(keys), "key", "left_semi").groupBy("key").agg(*(F.min(w).alias(w) for w in words)), "minima")
+    met = pairs
     for side in "ab":
-        pairs = pairs.join(drawn.select(F.col("key").alias(side), *(F.col(w).alias(f"{side}_{w}") for w in words)), side)
-    return cut(pairs.where(_equal(count, "a_", "b_") >= fewest).select("a", "b"), "likely")
+        met = met.join(drawn.select(F.col("key").alias(side), *(F.col(w).alias(f"{side}_{w}") for w in words)), side)
+    out = cut(met.where(_equal(count, "a_", "b_") >= fewest).select("a", "b"), "likely")
+    for table in (pairs, keys, drawn):
+        drop(table)
+    return out
 
 
 def verified(pairs: DataFrame, texts: Texts, alike: Alike) -> DataFrame:
-    """The pairs (a, b) of a written table that ``alike`` keeps; a written table."""
-    found = cut(texts(cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")), "texts")
+    """The pairs (a, b) of a written table, which goes, that ``alike`` keeps; a written table."""
+    keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
+    found = cut(texts(keys), "texts")
     left, right = found.select(F.col("key").alias("a"), F.col("text").alias("left")), found.select(F.col("key").alias("b"), F.col("text").alias("right"))
-    return cut(alike(pairs.join(left, "a").join(right, "b")).select("a", "b"), "links")
+    out = cut(alike(pairs.join(left, "a").join(right, "b")).select("a", "b"), "links")
+    for table in (pairs, keys, found):
+        drop(table)
+    return out
 
 
 def _unsettled(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows (key, comp) of the texts in buckets of two components or more; a written table. ``members``: (bucket, key)."""
+    """The different keys of the texts in buckets of two components or more; a written table. ``members``: (bucket, key)."""
     rows = cut(members.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp")), "labelled")
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
-    return cut(rows.join(mixed, "bucket", "left_semi").select("key", "comp").distinct(), "unsettled")
+    out = cut(rows.join(mixed, "bucket", "left_semi").select("key").distinct(), "unsettled")
+    drop(rows)
+    return out
 
 
-def _neighbours(unsettled: DataFrame, signed: DataFrame, count: int, fewest: int) -> DataFrame:
-    """Distinct pairs (a, b) of different components that stand close in an order by minima; a written table."""
-    words = [c for c in signed.columns if c != "key"]
-    drawn = signed.join(few(unsettled), "key").select("key", "comp", *words).distinct()
-    orders = [F.struct(F.xxhash64(F.lit(i), minimum(i)).alias("group"), F.col(words[i // 3]).alias("next0"), *(F.col(words[(i // 3 + k) % len(words)]).alias(f"next{k}") for k in (1, 2))) for i in range(0, count, 3)]
-    dealt = drawn.select("key", "comp", *words, F.explode(F.array(*orders)).alias("order")).select("key", "comp", *words, "order.*")
-    along = Window.partitionBy("group").orderBy("next0", "next1", "next2", "key")
-    pairs = dealt.withColumns({f"o{n}": F.lag(F.struct("key", "comp", *words), n).over(along) for n in range(1, NEIGHBOURS + 1)})
-    pairs = pairs.select("key", "comp", *words, F.explode(F.array(*(f"o{n}" for n in range(1, NEIGHBOURS + 1)))).alias("o")).where("o.comp != comp")
-    pairs = pairs.select("key", *words, F.col("o.key").alias("other"), *(F.col(f"o.{w}").alias(f"o_{w}") for w in words)).where(_equal(count, "", "o_") >= fewest)
-    return cut(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "near")
-
+def rare_shingles(shingled: DataFrame, least: float) -> DataFrame:
+    """Rows (shingle, key, n): the rarest shingles of each text that two or more texts hold, n of them; a written table.
 
-def near_components(signed: DataFrame, bands: list[list[int]], texts: Texts, alike: Alike, least: float) -> DataFrame:
+    ``shingled``: rows (key, shingle) of different pairs. Two texts of a similarity of ``least`` or more share one of these rows' shingles.
+    """
+    rows = cut(shingled, "shingled")
+    counts = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    shared = with_hot(rows, counts, "shingle").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    ranked = shared.join(rows.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("size")), "key")
+    # those that no other text holds are the rarest; a little room below, so that rounding keeps no shingle out
+    alone = F.col("size") - F.size("held")
+    room = F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9).cast("int") + 1 - alone
+    out = cut(ranked.where(room > 0).select("key", F.explode(F.slice("held", F.lit(1), room)).alias("r")).select("r.shingle", "key", "r.n"), "rare")
+    drop(rows)
+    drop(counts)
+    return out
+
+
+def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+
+
+def _pairs_of_small(rare: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle with few others."""
+    held = _labelled(rare.where(F.col("n") <= SMALL), comp).groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("key", "comp"))).alias("h"))
+    first = held.where(F.size("h") > 1).select("h", F.posexplode("h").alias("at", "a"))
+    met = first.select("a", F.explode(F.slice("h", F.col("at") + 2, F.lit(SMALL))).alias("b"))
+    return met.where("a.comp != b.comp").select("a.key", F.col("b.key").alias("b")).withColumnRenamed("key", "a")
+
+
+def _pairs_of_large(rare: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components: the members of large groups with a few of them, drawn by ``turn``. Groups of the same
+    texts, such as those of a form's shingles, draw the same."""
+    rows = _labelled(rare.where(F.col("n") > SMALL), comp)
+    drawn = [F.min_by(F.struct("key", "comp"), F.xxhash64(F.lit(turn), F.lit(i), "key")).alias(f"l{i}") for i in range(LEADERS)]
+    leaders = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"), *drawn).where("low != high")
+    told = cut(leaders.select("shingle", "n", F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("leaders")), "leaders")
+    met = with_hot(rows.select("shingle", "key", "comp"), told, "shingle").select("key", "comp", F.explode("leaders").alias("l")).where("l.comp != comp")
+    return met.select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b"))
+
+
+def near_components(signed: DataFrame, bands: list[list[int]], texts: Texts, alike: Alike, shingled: Texts, least: float) -> DataFrame:
     """Rows (node, comp) of the texts that have a link, a similarity of ``least`` or more; comp is the smallest key joined.
 
     ``signed`` is a written table of signatures (a key may repeat), ``texts`` gives one (key, text) for each key of a written
-    table, ``alike`` those of the rows (a, b, left, right) whose texts have the exact similarity.
+    table, ``alike`` those of the rows (a, b, left, right) whose texts have the exact similarity, ``shingled`` the different rows
+    (key, shingle) of a table (key, text).
     """
     count, rows = 1 + max(i for b in bands for i in b), max(map(len, bands))
     buckets = bucketed(signed, bands)
@@ -147,9 +188,26 @@ def near_components(signed: DataFrame, bands: list[list[int]], texts: Texts, ali
     first = members.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
     links = verified(likely(first, signed, count, fewest_equal(count, rows, least)), texts, alike)
     comp = cut(components(links, "a", "b"), "comp")
-    near = _neighbours(_unsettled(members.select("bucket", "key"), comp), signed, count, fewest_equal(count, rows, least))
-    found = verified(near, texts, alike)
-    return comp if found.isEmpty() else cut(components(links.unionByName(found), "a", "b"), "comp")
+    unsettled = _unsettled(members.select("bucket", "key"), comp)
+    drop(leaders)
+    drop(members)
+    if unsettled.isEmpty():
+        return comp
+    rare = rare_shingles(shingled(texts(unsettled)), least)
+    drop(unsettled)
+    fewest = fewest_equal(count, 0, least)
+    turn, more = 0, _pairs_of_small(rare, comp)
+    while True:
+        found = verified(likely(more, signed, count, fewest), texts, alike)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            before, comp = comp, cut(components(links, "a", "b"), "comp")
+            drop(before)
+        elif turn:
+            drop(rare)
+            return comp
+        turn += 1
+        more = _pairs_of_large(rare, comp, turn)
 
 
 def with_hot(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
