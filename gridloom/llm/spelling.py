@@ -235,7 +235,9 @@ def _crowded_pairs(vocab: DataFrame, crowded: DataFrame, many: np.ndarray, least
             for at, words in _grouped(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(full_key(words)), batch["id"].slice(at, len(words))], ["full", "b"])
 
-    met = wanted.select("id", "word", "keys").mapInArrow(near, "full long, a long").join(held.select("id", "word").mapInArrow(full, "full long, b long"), "full")
+    # few rows of much work each: dealt to all tasks, which a shuffle sized by bytes would not do
+    tasks = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = wanted.select("id", "word", "keys").repartition(tasks, "id").mapInArrow(near, "full long, a long").join(held.select("id", "word").mapInArrow(full, "full long, b long"), "full")
     return met.where("a != b").select("a", "b")
 
 
