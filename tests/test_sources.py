@@ -60,3 +60,18 @@ def test_manifest_and_score_hook(spark, tmp_path):
             yield pd.DataFrame({"image_id": f["id"], "det_id": 0, "x1": 0.0, "y1": 0.0, "x2": 1.0, "y2": 1.0, "score": 0.5, "cls": 0})
 
     assert files.score_images(spark.range(5), stub).count() == 5
+
+
+def test_pixels_and_downscale_factor(spark, tmp_path):
+    import struct
+
+    # a bitmap of 3 x 2 pixels, rows from the bottom, bytes in the order B, G, R, rows padded to four bytes
+    colours = [[(10 * x + y, 20 * x, 200 - y) for x in range(3)] for y in range(2)]
+    rows = b"".join(b"".join(bytes(reversed(c)) for c in row) + bytes(3) for row in reversed(colours))
+    head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 0, 54, 40, 3, 2, 1, 24, 0, len(rows), 0, 0, 0, 0)
+    (tmp_path / "a.bmp").write_bytes(head + rows)
+    got = files.pixels(spark.read.format("image").load(str(tmp_path))).collect()
+    assert {(r.x, r.y): (r.r, r.g, r.b) for r in got} == {(x, y): colours[y][x] for y in range(2) for x in range(3)}
+    assert all(r.image_id.endswith("a.bmp") for r in got) and len(got) == 6
+    sides = spark.createDataFrame([(4096, 100), (100, 8192), (2048, 2048), (1, 1)], "h int, w int")
+    assert [r[0] for r in sides.select(files.downscale_factor(sides["h"], sides["w"], 2048)).collect()] == [0.5, 0.25, 1.0, 1.0]
