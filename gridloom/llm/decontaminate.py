@@ -7,8 +7,7 @@ the leaves of a binary tree. As a stretch of L pieces may have L - 1 edits, and
 within its own, an occurrence has a piece all of whose ancestors are within theirs: from a hit the stretches are tried from
 small to large, by Myers' distance on whole-integer bit vectors, and most false hits end at the first one.
 
-Items of fewer than ``SHORT`` characters are searched without edits and as whole words: a tenth of them is no edit, or one that
-makes another word of a word.
+Items so short that their budget is no edit are searched exactly and as whole words.
 
 The test items are the query set. They are taken in blocks of ``BLOCK_CHARS`` characters, each of which is sent to the tasks. The
 result of a block is written before the next but one is drawn, so a benchmark of any size is searched with bounded memory;
@@ -26,8 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.scratch import cut
 
 RATE = 0.1
-#: Items shorter than this many characters are searched exactly.
-SHORT = 24
 BLOCK_CHARS = 8_000_000
 
 _other = re.compile(r"[\W_]+")
@@ -82,7 +79,7 @@ class Item:
 
     def __init__(self, item_id: int, text: str, rate: float):
         self.item_id, self.text, self.behind = item_id, text, 0
-        if len(text) < SHORT:
+        if not int(rate * len(text)):
             self.text, self.behind = f" {text} ", 1
         self.pieces = [(0, self.text)] if self.behind else pieces(text, rate)
         self.budget = len(self.pieces) - 1

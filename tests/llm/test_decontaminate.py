@@ -56,7 +56,23 @@ def test_the_best_of_several_occurrences_counts():
 def test_short_items_are_found_as_whole_words():
     searcher = d.Searcher([(0, "two words"), (1, "a"), (2, "日本語"), (3, "exactly twenty three ch")])
     found = {t: sorted((n, e, end) for n, e, end in searcher.search(t)) for t in ("two words", "say two words here", "two wordsmiths", "xa b", "b a", "x 日本語", "exactly twenty three ch", "exactly twenty three cx")}
-    assert found == {"two words": [(0, 0, 9)], "say two words here": [(0, 0, 13)], "two wordsmiths": [], "xa b": [], "b a": [(1, 0, 3)], "x 日本語": [(2, 0, 5)], "exactly twenty three ch": [(3, 0, 23)], "exactly twenty three cx": []}
+    assert found == {"two words": [(0, 0, 9)], "say two words here": [(0, 0, 13)], "two wordsmiths": [], "xa b": [], "b a": [(1, 0, 3)], "x 日本語": [(2, 0, 5)], "exactly twenty three ch": [(3, 0, 23)], "exactly twenty three cx": [(3, 1, 22)]}
+
+
+def test_items_of_few_characters_have_their_budget_too():
+    rng = random.Random(8)
+    letters = "abcdefghijklmnop "
+    items = [(i, d.plain("".join(rng.choice(letters) for _ in range(40)))[: 10 + i % 14].strip().ljust(10, "q")) for i in range(42)]
+    searcher, hits = d.Searcher(items), 0
+    for trial in range(300):
+        nth = rng.randrange(len(items))
+        text = d.plain("".join(rng.choices(letters, k=30)) + " " + edited(rng, items[nth][1], rng.choice([0, 1, 2, 3])) + " " + "".join(rng.choices(letters, k=30)))
+        got = {n: e for n, e, _ in searcher.search(text)}
+        # the ends of a text are spaces for the search
+        want = {i: plain_distance(t, f" {text} ")[0] for i, t in items if plain_distance(t, f" {text} ")[0] <= int(d.RATE * len(t))}
+        assert got == want, trial
+        hits += nth in got
+    assert hits > 100
 
 
 def test_query(spark, monkeypatch):
