@@ -3,13 +3,14 @@
 A signature (key, m0, m1, ...) holds minima of 21 bits, three to a long. ``bands`` name the minima that make a bucket each; texts
 that share a bucket are candidates.
 
-1. In each bucket every member is compared with its smallest key, the leader: one candidate a row, never all pairs.
-2. The links found are joined into components. Texts of buckets that hold one component are settled.
+1. Where at most ``SMALL`` texts share a bucket, all of them are compared. In larger buckets every member is compared with the smallest
+   key, the leader: a fixed number of candidates a row, never all pairs.
+2. The links found are joined into components. Small buckets, and large ones that hold one component, are settled.
 3. In the other buckets lie texts that share most of their shingles with many others, such as the rows of a form: their minima fall
    into what is common and say nothing about the rest. Their shingles are counted among themselves and each is filed under its
    rarest ones, as many as two texts of the wanted similarity cannot both do without (a prefix filter: a pair of similarity s
    shares one of the n - ceil(s n) + 1 rarest). Where at most ``SMALL`` texts share such a shingle, all of them are compared; larger groups are
-   compared with ``LEADERS`` members drawn anew in each round, until a round adds no link.
+   compared with ``LEADERS`` members, drawn anew in each round, as long as the last round added a link within the group.
 
 So candidates grow with the texts, not with the square of a bucket or a group, and what two texts have in common with all others
 does not hide what only they share.
@@ -38,7 +39,7 @@ Alike = Callable[[DataFrame], DataFrame]
 
 #: Rows of a counted table that may be broadcast (two longs each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Texts that share a rare shingle and are all compared, and members of larger groups that the others are compared with.
+#: Texts that share a bucket or a rare shingle and are all compared, and members of larger groups that the others are compared with.
 SMALL, LEADERS = 8, 4
 RARE = 100_000
 FIELD = 21
@@ -163,11 +164,18 @@ def _pairs_of_small(rare: DataFrame, comp: DataFrame) -> DataFrame:
     return met.where("a.comp != b.comp").select("a.key", F.col("b.key").alias("b")).withColumnRenamed("key", "a")
 
 
+def _active(rare: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of large groups that hold both ends of a link; a written table."""
+    left, right = (rare.select("shingle", F.col("key").alias(s)) for s in "ab")
+    groups = links.join(left, "a").join(right, ["shingle", "b"]).select("shingle").distinct()
+    return cut(rare.join(groups, "shingle", "left_semi"), "rare")
+
+
 def _pairs_of_large(rare: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of different components: the members of large groups with a few of them, drawn by ``turn``. Groups of the same
-    texts, such as those of a form's shingles, draw the same."""
-    rows = _labelled(rare.where(F.col("n") > SMALL), comp)
-    drawn = [F.min_by(F.struct("key", "comp"), F.xxhash64(F.lit(turn), F.lit(i), "key")).alias(f"l{i}") for i in range(LEADERS)]
+    """Pairs (a, b) of different components: the members of large groups with a few of them, drawn by ``turn``. Each
+    group draws its own, so texts that share many shingles meet many leaders."""
+    rows = _labelled(rare, comp)
+    drawn = [F.min_by(F.struct("key", "comp"), F.xxhash64(F.lit(turn), F.lit(i), "shingle", "key")).alias(f"l{i}") for i in range(LEADERS)]
     leaders = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"), *drawn).where("low != high")
     told = cut(leaders.select("shingle", "n", F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("leaders")), "leaders")
     met = with_hot(rows.select("shingle", "key", "comp"), told, "shingle").select("key", "comp", F.explode("leaders").alias("l")).where("l.comp != comp")
@@ -183,12 +191,15 @@ def near_components(signed: DataFrame, bands: list[list[int]], texts: Texts, ali
     """
     count, rows = 1 + max(i for b in bands for i in b), max(map(len, bands))
     buckets = bucketed(signed, bands)
-    leaders = cut(buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader != last").select("bucket", "leader"), "leaders")
-    members = cut(buckets.join(few(leaders), "bucket").select("bucket", "key", "leader"), "members")
-    first = members.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
-    links = verified(likely(first, signed, count, fewest_equal(count, rows, least)), texts, alike)
+    leaders = cut(buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("leader != last"), "leaders")
+    two = leaders.where("n = 2").select(F.col("leader").alias("a"), F.col("last").alias("b"))
+    members = cut(buckets.join(few(cut(leaders.where("n > 2").select("bucket", "leader", "n"), "leaders")), "bucket").select("bucket", "key", "leader", "n"), "members")
+    some = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_set("key")).alias("h")).select("h", F.posexplode("h").alias("at", "a"))
+    some = some.select("a", F.explode(F.slice("h", F.col("at") + 2, F.lit(SMALL))).alias("b"))
+    many = members.where((F.col("n") > SMALL) & (F.col("key") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("key").alias("b"))
+    links = verified(likely(two.unionByName(some).unionByName(many), signed, count, fewest_equal(count, rows, least)), texts, alike)
     comp = cut(components(links, "a", "b"), "comp")
-    unsettled = _unsettled(members.select("bucket", "key"), comp)
+    unsettled = _unsettled(members.where(F.col("n") > SMALL).select("bucket", "key"), comp)
     drop(leaders)
     drop(members)
     if unsettled.isEmpty():
@@ -196,18 +207,20 @@ def near_components(signed: DataFrame, bands: list[list[int]], texts: Texts, ali
     rare = rare_shingles(shingled(texts(unsettled)), least)
     drop(unsettled)
     fewest = fewest_equal(count, 0, least)
-    turn, more = 0, _pairs_of_small(rare, comp)
-    while True:
-        found = verified(likely(more, signed, count, fewest), texts, alike)
+    found = verified(likely(_pairs_of_small(rare, comp), signed, count, fewest), texts, alike)
+    large = cut(rare.where(F.col("n") > SMALL), "rare")
+    drop(rare)
+    turn = 0
+    while turn == 0 or not found.isEmpty():
         if not found.isEmpty():
             links = links.unionByName(found)
             before, comp = comp, cut(components(links, "a", "b"), "comp")
             drop(before)
-        elif turn:
-            drop(rare)
-            return comp
         turn += 1
-        more = _pairs_of_large(rare, comp, turn)
+        found = verified(likely(_pairs_of_large(large, comp, turn), signed, count, fewest), texts, alike)
+        before, large = large, _active(large, found)
+        drop(before)
+    return comp
 
 
 def with_hot(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
