@@ -5,13 +5,17 @@ block holds 64 payload bytes. A byte becomes a coefficient of magnitude category
 minus 255), so its eight extra bits are the byte. One Huffman code of one bit is enough, and a restart marker after each
 block makes every block a segment of its own. The payload's length is in a comment marker.
 
-``decode`` reads any grey baseline stream: it parses the markers, removes the stuffing, cuts the scan at restart markers and
-Huffman-decodes all segments of a batch of streams side by side, one symbol of each at a time.
+``decode`` reads any baseline stream of one or three components: it parses the markers (fill bytes, tables between scans,
+sampling factors), removes the stuffing, cuts scans at restart markers and Huffman-decodes the segments of many streams side
+by side, one symbol of each at a time. Scans may hold one component or several interleaved ones. Both directions work in
+chunks, so that one long text needs a few bytes of memory a byte.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,12 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Payload bytes that are coded or decoded side by side at most (a longer payload goes alone).
+#: Payload or scan bytes that are coded or decoded side by side at most (a longer segment goes alone).
 BATCH_BYTES = 1 << 21
 MAX_SIDE = 8191  # blocks: a JPEG side has at most 65,535 samples
 
 ZERO_PAYLOAD = bytes(64)
 
+#: A marker that ends a scan: no stuffed byte and no restart.
+_END_OF_SCAN = re.compile(rb"\xff+[\x01-\xcf\xd8-\xfe]")
+#: Fill bytes before a restart marker.
+_FILL = re.compile(rb"\xff+(?=\xff[\xd0-\xd7])")
+
 
 def padded(text: str | None) -> tuple[bytes, int]:
     """The UTF-8 payload, filled with zero bytes to a positive multiple of 64, and its length before."""
@@ -59,32 +68,56 @@ def _grid(blocks: int) -> tuple[int, int]:
     return width, height
 
 
+def _coded(data: np.ndarray, block: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scan bytes of 64-byte blocks with these numbers, the end of the stream after the ``last`` ones, and where blocks end."""
+    bits = np.zeros((len(data), 9), np.uint8)
+    bits[:, 1:] = np.unpackbits(data[:, None], axis=1)
+    marked = np.empty((len(block), 74), np.uint8)
+    marked[:, :72], marked[:, 72], marked[:, 73] = np.packbits(bits.reshape(-1, 576), axis=1), 0xFF, 0xD0 + block % 8
+    marked[last, 72:] = 0xFF, 0xD9  # in place of a restart
+    stuffed = np.flatnonzero((marked[:, :72] == 0xFF).any(axis=1))
+    at = np.flatnonzero((marked[stuffed, :72] == 0xFF).reshape(-1))
+    at = stuffed[at // 72] * 74 + at % 72
+    ends = np.arange(1, len(block) + 1) * 74
+    return np.insert(marked.reshape(-1), at + 1, 0), ends + np.searchsorted(at, ends)
+
+
+def _encode_long(payload: bytes) -> bytes:
+    """The stream of one payload, coded chunk by chunk."""
+    width, height = _grid(len(payload) // 64)
+    parts, step = [_header(width, height, len(payload))], BATCH_BYTES // 64
+    for at in range(0, width * height, step):
+        block = np.arange(at, min(at + step, width * height))
+        data = np.zeros(len(block) * 64, np.uint8)
+        held = np.frombuffer(payload, np.uint8)[at * 64 : (at + step) * 64]
+        data[: len(held)] = held
+        parts.append(_coded(data, block, block == width * height - 1)[0].tobytes())
+    return b"".join(parts)
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
     """One JPEG stream for each payload (its length is a positive multiple of 64)."""
+    if len(payloads) == 1 and len(payloads[0]) > BATCH_BYTES:
+        return [_encode_long(payloads[0])]
     grids = [_grid(len(p) // 64) for p in payloads]
     rows = [w * h for w, h in grids]
     data = np.frombuffer(b"".join(p + bytes(64 * n - len(p)) for p, n in zip(payloads, rows, strict=True)), np.uint8)
-    bits = np.zeros((len(data), 9), np.uint8)
-    bits[:, 1:] = np.unpackbits(data[:, None], axis=1)
-    scan = np.packbits(bits.reshape(-1, 576), axis=1)
     ends = np.cumsum(rows)
-    block = np.arange(len(scan)) - np.repeat(ends - rows, rows)
-    marked = np.empty((len(scan), 74), np.uint8)
-    marked[:, :72], marked[:, 72], marked[:, 73] = scan, 0xFF, 0xD0 + block % 8
-    marked[ends - 1, 72:] = 0xFF, 0xD9  # the end of the stream, in place of a restart
-    stuffed = np.flatnonzero((marked[:, :72] == 0xFF).any(axis=1))
-    flat = marked.reshape(-1)
-    at = np.flatnonzero((marked[stuffed, :72] == 0xFF).reshape(-1))
-    at = stuffed[at // 72] * 74 + at % 72
-    body = np.insert(flat, at + 1, 0).tobytes()
-    stops = ends * 74 + np.searchsorted(at, ends * 74)
+    block = np.arange(ends[-1]) - np.repeat(ends - rows, rows)
+    flat, stops = _coded(data, block, ends - 1)
+    body, stops = flat.tobytes(), stops[ends - 1]
     return [_header(w, h, len(p)) + body[a:b] for (w, h), p, a, b in zip(grids, payloads, [0, *stops[:-1]], stops, strict=True)]
 
 
-def _table(counts: bytes, symbols: bytes) -> np.ndarray:
-    """For each 16-bit prefix: the code's length in the high byte and its symbol in the low byte (0: no code)."""
-    table, code, k = np.zeros(65536, np.uint16), 0, 0
-    for n, many in enumerate(counts, 1):
+@functools.lru_cache(64)
+def _table(body: bytes) -> np.ndarray:
+    """For each 16-bit prefix: the code's length in the high byte and its symbol in the low byte.
+
+    Where there is no code the length is 0 and the symbol a run of 15 that soon leaves the block.
+    """
+    symbols = body[16:]
+    table, code, k = np.full(65536, 0xFF, np.uint16), 0, 0
+    for n, many in enumerate(body[:16], 1):
         for _ in range(many):
             table[code << (16 - n) : (code + 1) << (16 - n)] = n << 8 | symbols[k]
             code, k = code + 1, k + 1
@@ -92,71 +125,108 @@ def _table(counts: bytes, symbols: bytes) -> np.ndarray:
     return table
 
 
+def _frame(body: bytes) -> dict:
+    """Size in pixels and the components: identifier, sampling factors, quantiser, and size in blocks and in padded units."""
+    bits, height, width, many = struct.unpack(">BHHB", body[:6])
+    if bits != 8 or many not in (1, 3) or not height or not width:
+        raise ValueError("only streams of 8-bit samples, one or three components and a known height are read")
+    parts = [{"id": i, "h": hv >> 4, "v": hv & 15, "quant_id": q} for i, hv, q in zip(*(iter(body[6 : 6 + 3 * many]),) * 3, strict=True)]
+    most_h, most_v = max(p["h"] for p in parts), max(p["v"] for p in parts)
+    for p in parts:
+        p["width"], p["height"] = -(-width * p["h"] // (8 * most_h)), -(-height * p["v"] // (8 * most_v))
+    units = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+    return {"size": (width, height), "parts": parts, "units": units, "width": parts[0]["width"], "height": parts[0]["height"]}
+
+
 def parse(stream: bytes) -> dict:
-    """The markers of a grey baseline JPEG stream: size, tables, restart interval, comment and the scan's bytes."""
+    """The markers of a baseline JPEG stream: size, components, comment, and the scans with their tables and bytes.
+
+    A stream that is cut off, progressive, or has other than one or three components raises ValueError.
+    """
     if stream[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG stream")
-    found: dict = {"huff": {}, "quant": {}, "every": 0, "comment": b""}
-    at = 2
+    found: dict = {"comment": b"", "parts": [], "scans": [], "rgb": None}
+    huff: dict[int, bytes] = {}
+    quant: dict[int, np.ndarray] = {}
+    at, every = 2, 0
     while True:
-        marker, size = stream[at + 1], int.from_bytes(stream[at + 2 : at + 4], "big")
-        body = stream[at + 4 : at + 2 + size]
-        at += 2 + size
+        start = at
+        while stream[at : at + 1] == b"\xff":  # fill bytes may come before any marker
+            at += 1
+        marker, size = int.from_bytes(stream[at : at + 1]), int.from_bytes(stream[at + 1 : at + 3], "big")
+        if at == start or not marker:
+            raise ValueError("no marker where one belongs")
+        if marker == 0xD9:
+            break
+        body, at = stream[at + 3 : at + 1 + size], at + 1 + size
+        if len(body) != size - 2:
+            raise ValueError("the stream ends within its markers")
         if marker == 0xDB:
             while body:
                 wide = body[0] >> 4
-                values = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else "u1")
-                found["quant"][body[0] & 15], body = values, body[65 + 64 * wide :]
+                quant[body[0] & 15], body = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else "u1"), body[65 + 64 * wide :]
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                found["huff"][body[0]], body = body[1 : 17 + n], body[17 + n :]
+                huff[body[0]], body = body[1 : 17 + n], body[17 + n :]
         elif marker == 0xC0:
-            bits, height, width, parts = struct.unpack(">BHHB", body[:6])
-            if bits != 8 or parts != 1:
-                raise ValueError("only grey streams of 8-bit samples are read")
-            found |= {"height": -(-height // 8), "width": -(-width // 8), "quant_id": body[8]}
+            found |= _frame(body)
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("not a baseline stream")
         elif marker == 0xDD:
-            found["every"] = int.from_bytes(body, "big")
+            every = int.from_bytes(body, "big")
         elif marker == 0xFE:
             found["comment"] = body
+        elif marker == 0xE0 and body[:5] == b"JFIF\0":
+            found["rgb"] = False
+        elif marker == 0xEE and body[:5] == b"Adobe" and found["rgb"] is None:
+            found["rgb"] = body[11] == 0
         elif marker == 0xDA:
-            found["dc"], found["ac"] = found["huff"][body[2] >> 4], found["huff"][16 | body[2] & 15]
-            break
-    found["scan"] = stream[at : stream.rindex(b"\xff\xd9")]
+            end = _END_OF_SCAN.search(stream, at)
+            if not end:
+                raise ValueError("the stream ends within a scan")
+            ids, scan = [p["id"] for p in found["parts"]], {"parts": [], "pattern": [], "every": every, "data": memoryview(stream)[at : end.start()]}
+            for nth, (i, tables) in enumerate(zip(body[1 : 1 + 2 * body[0] : 2], body[2 : 2 + 2 * body[0] : 2], strict=True)):
+                part = found["parts"][ids.index(i)]
+                part["quant"] = quant[part["quant_id"]]
+                blocks = part["h"] * part["v"] if body[0] > 1 else 1
+                scan["parts"].append(part)
+                scan["pattern"] += [(nth, huff[tables >> 4], huff[16 | tables & 15])] * blocks
+            (width, height), one = found["units"], scan["parts"][0]
+            scan["units"] = width * height if body[0] > 1 else one["width"] * one["height"]
+            found["scans"].append(scan)
+            at = end.start()
+    if not found["parts"] or any("quant" not in p for p in found["parts"]):
+        raise ValueError("a component has no scan")
+    if found["rgb"] is None:
+        found["rgb"] = bytes(p["id"] for p in found["parts"]) == b"RGB"
+    found["rgb"] &= len(found["parts"]) == 3
     return found
 
 
-def _decode_alike(images: list[dict]) -> list[np.ndarray]:
-    """Coefficients (blocks x 64, zigzag order) of parsed streams that share their Huffman tables."""
-    dc, ac = (_table(images[0][k][:16], images[0][k][16:]) for k in ("dc", "ac"))
-    blocks = np.array([p["width"] * p["height"] for p in images])
-    every = np.array([p["every"] or n for p, n in zip(images, blocks, strict=True)])
-    scan = np.frombuffer(b"\xff\xd0".join(p["scan"] for p in images) + bytes(2), np.uint8)
-    mark = scan[:-1] == 0xFF
-    follows = scan[1:]
-    cuts = np.flatnonzero(mark & (follows >= 0xD0) & (follows <= 0xD7))
-    keep = np.ones(len(scan) - 2, bool)
+def _restarts(data: np.ndarray) -> np.ndarray:
+    """Where restart markers begin."""
+    found = [np.empty(0, np.int64)]
+    for at in range(0, len(data) - 1, BATCH_BYTES):
+        part = data[at : at + BATCH_BYTES + 1]
+        found.append(at + np.flatnonzero((part[:-1] == 0xFF) & (part[1:] >= 0xD0) & (part[1:] <= 0xD7)))
+    return np.concatenate(found)
+
+
+def _decode_run(scan: np.ndarray, cuts: np.ndarray, left: np.ndarray, first: np.ndarray, pattern: list[tuple], out: np.ndarray) -> None:
+    """Decode segments side by side: bytes with restart markers at ``cuts``, the number of blocks and the first row of each in ``out``."""
+    keep = np.ones(len(scan), bool)
     keep[cuts], keep[cuts + 1] = False, False
-    keep[np.flatnonzero(mark[: len(keep) - 1] & (follows[: len(keep) - 1] == 0)) + 1] = False
+    keep[np.flatnonzero((scan[:-1] == 0xFF) & (scan[1:] == 0)) + 1] = False
     before = np.concatenate([[0], np.cumsum(keep)])
     starts = before[np.concatenate([[0], cuts])]  # first byte of each segment once stuffing and markers are out
-    data = np.concatenate([scan[:-2][keep], np.zeros(8, np.uint8)]).astype(np.uint32)
+    data = np.concatenate([scan[keep], np.zeros(8, np.uint8)]).astype(np.uint32)
     window = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
-
-    segments = -(-blocks // every)
-    owner = np.repeat(np.arange(len(images)), segments)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(segments) - segments, segments)
-    left = np.minimum(every[owner], blocks[owner] - nth * every[owner])  # blocks of each segment
-    first = (np.cumsum(blocks) - blocks)[owner] + nth * every[owner]
-    out = np.zeros((blocks.sum(), 64), np.int32)
-    where, predicted = starts.astype(np.int64) * 8, np.zeros(len(owner), np.int32)
+    where, predicted = starts.astype(np.int64) * 8, np.zeros((1 + max(nth for nth, _, _ in pattern), len(left)), np.int32)
 
     def take(live: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next symbol of each live segment and the value of its extra bits."""
-        pos = where[live]
+        pos = np.minimum(where[live], 8 * (len(window) - 4))
         got = table[(window[pos >> 3] >> (16 - (pos & 7)).astype(np.uint32)) & 0xFFFF]
         pos += got >> 8
         size = (got & 15).astype(np.uint32)
@@ -167,12 +237,15 @@ def _decode_alike(images: list[dict]) -> list[np.ndarray]:
         return got & 0xFF, value
 
     for nth_block in range(int(left.max(initial=0))):
+        part, dc, ac = pattern[nth_block % len(pattern)]
         live = np.flatnonzero(left > nth_block)
-        _, value = take(live, dc)
-        predicted[live] += value
-        row = first + nth_block
-        out[row[live], 0] = predicted[live]
-        k = np.ones(len(owner), np.int64)
+        symbol, value = take(live, _table(dc))
+        if (symbol > 11).any():
+            raise ValueError("a DC code is none of the baseline's")
+        predicted[part, live] += value
+        row, ac = first + nth_block, _table(ac)
+        out[row[live], 0] = predicted[part, live]
+        k = np.ones(len(left), np.int64)
         while len(live):
             symbol, value = take(live, ac)
             at = k[live] + (symbol >> 4)
@@ -184,32 +257,85 @@ def _decode_alike(images: list[dict]) -> list[np.ndarray]:
             k[live] = np.where(symbol == 0, 64, at + 1)  # 0: the rest of the block is zero; 0xF0: sixteen zeros
             if (done := k[live] >= 64).any():
                 live = live[~done]
-    return np.split(out, np.cumsum(blocks)[:-1])
+
+
+def _decode_alike(scans: list[dict]) -> list[np.ndarray]:
+    """Coefficients (blocks in the scan's order x 64, zigzag) of scans that share their pattern of components and tables."""
+    pattern = scans[0]["pattern"]
+    units = np.array([p["units"] for p in scans])
+    every = np.array([p["every"] or n for p, n in zip(scans, units, strict=True)])
+    joined = b"\xff\xd0".join(p["data"] for p in scans)
+    if b"\xff\xff" in joined:
+        joined = _FILL.sub(b"", joined)
+    data = np.frombuffer(joined, np.uint8)
+    cuts = _restarts(data)
+    segments = -(-units // every)
+    if len(cuts) + 1 != segments.sum():
+        raise ValueError("restart markers do not fit the interval")
+    owner = np.repeat(np.arange(len(scans)), segments)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(segments) - segments, segments)
+    left = np.minimum(every[owner], units[owner] - nth * every[owner]) * len(pattern)  # blocks of each segment
+    first = ((np.cumsum(units) - units)[owner] + nth * every[owner]) * len(pattern)
+    out = np.zeros((units.sum() * len(pattern), 64), np.int16)
+    begins, ends = np.concatenate([[0], cuts + 2]), np.concatenate([cuts, [len(data)]])
+    a = 0
+    while a < len(owner):
+        b = max(a + 1, int(np.searchsorted(ends, begins[a] + BATCH_BYTES)))
+        try:
+            _decode_run(data[begins[a] : ends[b - 1]], cuts[a : b - 1] - begins[a], left[a:b], first[a:b], pattern, out)
+        except IndexError:
+            raise ValueError("a scan has codes that its tables do not hold, or blocks of more than 64 coefficients") from None
+        a = b
+    return np.split(out, (np.cumsum(units) * len(pattern))[:-1])
+
+
+def _place(image: dict, scan: dict, rows: np.ndarray) -> None:
+    """Give the components of a scan their coefficients: (height, width, 64) without the blocks that pad the last units."""
+    if len(scan["parts"]) == 1:
+        part = scan["parts"][0]
+        part["coefficients"] = rows.reshape(part["height"], part["width"], 64)
+        return
+    (across, down), at = image["units"], 0
+    rows = rows.reshape(down, across, -1, 64)
+    for part in scan["parts"]:
+        h, v = part["h"], part["v"]
+        mine = rows[:, :, at : at + h * v].reshape(down, across, v, h, 64).transpose(0, 2, 1, 3, 4).reshape(down * v, across * h, 64)
+        part["coefficients"] = mine[: part["height"], : part["width"]]
+        at += h * v
 
 
 def decode(streams: list[bytes]) -> list[dict]:
-    """Each stream's markers and coefficients."""
+    """Each stream's markers and components; ``coefficients`` are the blocks of the first component, row by row."""
     images = [parse(s) for s in streams]
-    alike: dict[tuple, list[dict]] = {}
+    alike: dict[tuple, list[tuple[dict, dict]]] = {}
     for p in images:
-        alike.setdefault((p["dc"], p["ac"]), []).append(p)
+        for scan in p["scans"]:
+            alike.setdefault(tuple(scan["pattern"]), []).append((p, scan))
     for group in alike.values():
-        for p, coefficients in zip(group, _decode_alike(group), strict=True):
-            p["coefficients"] = coefficients
+        for (p, scan), rows in zip(group, _decode_alike([scan for _, scan in group]), strict=True):
+            _place(p, scan, rows)
+    for p in images:
+        p["coefficients"] = p["parts"][0]["coefficients"].reshape(-1, 64)
     return images
 
 
 def payload_of(image: dict) -> bytes:
     """The payload that ``encode`` stored."""
     v = image["coefficients"].reshape(-1)
-    data = np.where(v < 0, v + 255, v).astype(np.uint8)
+    data = (v + (v < 0) * np.int16(255)).astype(np.uint8)
     return data[: int.from_bytes(image["comment"], "big")].tobytes()
 
 
 def thumbnail(image: dict) -> np.ndarray:
-    """Luminance from the DC coefficients alone: one sample for each block."""
-    dc = image["coefficients"][:, 0] * int(image["quant"][image["quant_id"]][0])
-    return np.clip(np.rint(dc / 8) + 128, 0, 255).astype(np.uint8).reshape(image["height"], image["width"])
+    """Luminance from the DC coefficients alone, one sample for each block: of the first component, or of red, green and blue."""
+    shown = image["parts"] if image["rgb"] else image["parts"][:1]
+    planes = [p["coefficients"][:, :, 0].astype(np.float64) * int(p["quant"][0]) / 8 + 128 for p in shown]
+    if image["rgb"]:
+        high, wide = (max(p.shape[k] for p in planes) for k in (0, 1))
+        planes = [p[np.ix_(np.arange(high) * p.shape[0] // high, np.arange(wide) * p.shape[1] // wide)] for p in planes]
+        # fixed values: the luminance of ITU-R BT.601
+        planes = [0.299 * planes[0] + 0.587 * planes[1] + 0.114 * planes[2]]
+    return np.clip(np.rint(planes[0]), 0, 255).astype(np.uint8)
 
 
 def thumbnail_hash(thumb: np.ndarray) -> str:
@@ -263,8 +389,8 @@ def media_features(media: DataFrame) -> DataFrame:
                 rows = []
                 for stream, image in zip(part, decode(part), strict=True):
                     payload, thumb = payload_of(image), thumbnail(image)
-                    size = f"{image['width'] * 8}x{image['height'] * 8}"
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), f"{size}:{thumbnail_hash(thumb)}", image["width"] * 8, image["height"] * 8))
+                    width, height = image["size"]
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), f"{width}x{height}:{thumbnail_hash(thumb)}", width, height))
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(at, len(part)), b["n_bytes"].slice(at, len(part)), *columns], ["doc_id", "n_bytes", *(x.split()[0] for x in names.split(", "))])
                 at += len(part)
