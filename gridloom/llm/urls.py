@@ -4,10 +4,13 @@ Two kinds of rules become regular expressions with the literal tokens (runs of a
 
 * site rules (host, path, verdict), for a host and its subdomains where the path starts with the rule's; the longest wins;
 * patterns (pattern, verdict) for everything else, on the lower-case host and path: ``*`` stands for any characters and ``^``
-  for a place beside a character that is no letter or digit. A blocking pattern wins over an allowing one.
+  for a place beside a character that is no letter or digit; ``||`` in front binds a pattern to the host or one of its
+  subdomains, ``|`` at the end to the end of the path. A blocking pattern wins over an allowing one. ``filter_lines`` reads
+  patterns from lines of a filter list.
 
 Tokens are counted over all URLs. Each rule is filed under its rarest token, the tokens of a URL fetch the rules filed under
-them, and only those rules' regular expressions run on that URL.
+them, and only those rules' regular expressions run on that URL. Tokens meet rules under a 64-bit key of the URL, which fetches
+its text once for each candidate; where two URLs share a key, each is held against the other's candidates too.
 """
 
 from __future__ import annotations
@@ -15,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parts in which the URLs of a token (such as com) meet its rules.
+SALTS = 16
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict)
@@ -52,6 +58,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+def filter_lines(lines: DataFrame) -> DataFrame:
+    """Patterns (pattern, verdict) from the column ``line`` of a filter list, repeated ones once.
+
+    A line is a pattern that blocks, or allows after ``@@``. Left out are null and blank lines, comments (``!``), headers
+    (``[``), rules on elements of a page (``##`` and the like), and rules with options (``$``) or bound to the scheme (one
+    ``|`` in front), for neither can be decided from host and path.
+    """
+    line = F.trim(F.col("line"))
+    found = lines.select(F.regexp_replace(line, "^@@", "").alias("pattern"), F.when(line.startswith("@@"), "allow").otherwise("block").alias("verdict"), line.alias("whole"))
+    return found.where(r"pattern RLIKE '[^|*^ ]' AND NOT whole RLIKE '^[!\\[]|#[@?$%]*#|[$]|^(@@)?[|]([^|]|$)'").select("pattern", "verdict").distinct()
+
+
 def _tokens(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.translate(text, UPPER, LOWER), "[^a-z0-9]+")), lambda t: t != "")
 
@@ -76,6 +94,7 @@ def compiled(sites: DataFrame, globs: DataFrame) -> DataFrame:
     inner = F.regexp_replace(F.lower("pattern"), "^[a-z0-9]+|[a-z0-9]+$|[a-z0-9]*[*][a-z0-9]*", " ")
     any_ = F.replace(_quoted(F.lower("pattern")), F.lit(r"\*"), F.lit(".*"))
     any_ = F.replace(any_, F.lit(r"\^"), F.lit("(?:[^a-z0-9]|^|$)"))
+    any_ = F.regexp_replace(F.regexp_replace(any_, r"^\\[|]\\[|]", r"^(?:[^/]*\\.)?"), r"\\[|]$", r"\$")
     glob = globs.where("pattern IS NOT NULL AND verdict IS NOT NULL").select(
         F.lit(None).cast("string").alias("rule"), "pattern", "verdict", any_.alias("regex"), _tokens(inner).alias("tokens"))
     return site.unionByName(glob)
@@ -91,18 +110,22 @@ def judge(pages: DataFrame, sites: DataFrame, globs: DataFrame) -> DataFrame:
     """
     host, path = host_and_path(F.col("url"))
     parted = pages.select("page_id", host.alias("host"), path.alias("path"))
-    urls = parted.select("host", "path").distinct()
-    words = urls.select("host", "path", F.explode(F.array_append(_tokens(F.concat("host", "path")), F.lit(""))).alias("token"))
+    text = F.concat("host", "path")
+    urls = parted.select("host", "path").distinct().withColumn("key", F.xxhash64("host", "path"))
+    salt = F.pmod(F.col("key"), F.lit(SALTS)).alias("salt")
+    words = urls.select("key", salt, F.explode(F.array_append(_tokens(text), F.lit(""))).alias("token"))
+
+    def salted(side: DataFrame) -> DataFrame:
+        return side.withColumn("salt", F.explode(F.array(*(F.lit(n).cast("long") for n in range(SALTS)))))
 
     rules = compiled(sites, globs)
     filed = rules.withColumn("token", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))))
-    counts = words.join(filed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = words.join(salted(filed.select("token").distinct()), ["token", "salt"], "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     key = ["rule", "pattern", "verdict", "regex"]
     index = filed.join(counts, "token", "left").groupBy(*key).agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
 
-    text = F.concat("host", "path")
     fits = F.when(F.col("rule").isNotNull(), F.rlike(text, F.col("regex"))).otherwise(F.rlike(F.lower(text), F.col("regex")))
-    hits = words.join(index, "token").where(fits)
+    hits = urls.join(words.join(salted(index), ["token", "salt"]), "key").where(fits)
     best = hits.groupBy("host", "path").agg(
         F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("site"),
         F.min(F.when(F.col("pattern").isNotNull(), F.struct((F.col("verdict") != "block").alias("n"), "pattern", "verdict"))).alias("glob"),
