@@ -219,3 +219,18 @@ def test_quality_of_odd_rows(spark):
     nothing = quality.train_on(docs(spark, []), labels)
     assert quality.score_texts(["a"], nothing)[0] == 0.5
     assert quality.scored(docs(spark, []), model).collect() == []
+
+
+def test_repeated_and_clashing_labels(spark):
+    usable = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    texts = docs(spark, [(i, ("good fine " if i % 2 else "bad poor ") * 9 + str(i)) for i in range(60)])
+    rows = [(i, i % 2, "x") for i in usable]
+    schema = "doc_id long, quality int, text string"
+    once = quality.train_on(texts, spark.createDataFrame(rows, schema))
+    again = quality.train_on(texts, spark.createDataFrame(rows + rows[::-1] + [(None, 1, "x"), (rows[0][0], None, "x"), (rows[1][0], 7, "x")], schema))
+    assert np.array_equal(once[0], again[0]) and once[1] == again[1]
+    both = quality.train_on(texts, spark.createDataFrame([(i, q, "x") for i in usable for q in (0, 1)], schema))
+    # a document under both labels says nothing: scores stay near a half, while single labels tell the texts apart
+    assert np.abs(quality.score_texts(["good fine", "bad poor"], both) - 0.5).max() < 0.25
+    good, bad = quality.score_texts(["good fine", "bad poor"], once)
+    assert good > 0.8 and bad < 0.2
