@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.banded import FIELD, few, jaccard, near_components, with_hot
-from gridloom.llm.scratch import cut, told_apart
+from gridloom.llm.scratch import cut, drop, told_apart
 
 WIDTH, WORDS, SPACING, SIMILARITY = 5, 20, 26, 0.8
 BANDS = [[2 * i, 2 * i + 1] for i in range(6)]
@@ -186,22 +186,43 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
     return cut(docs.select("doc_id", "doc", "text").mapInArrow(run, kinds), "paragraphs")
 
 
-def _texts(docs: DataFrame, paragraphs: DataFrame, keys: DataFrame) -> DataFrame:
-    """One (key, text) for each of ``keys``: the words of the paragraph, cut from one document that holds it."""
+def shingle_sets(words: list[str], spans: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The different hashes of the shingles of stretches of words, one by one; a stretch of under ``WIDTH`` words is one shingle."""
+    w = _mixed(np.fromiter(map(_hash_of, words), np.uint64, len(words)))
+    folded = w.copy()
+    for i in range(1, WIDTH):
+        folded = folded[:-1] * _odd + w[i:]
+    h, out = _mixed(folded), []
+    for start, end in spans:
+        if end - start >= WIDTH:
+            out.append(np.unique(h[start : end - WIDTH + 1]))
+        else:
+            fold = w[start : start + 1]
+            for i in range(start + 1, end):
+                fold = fold * _odd + w[i : i + 1]
+            out.append(_mixed(fold + np.uint64(end - start)))
+    return out
+
+
+def _sets(docs: DataFrame, paragraphs: DataFrame, keys: DataFrame) -> DataFrame:
+    """One (key, text) for each of ``keys``: the set of the paragraph's shingles, from one document that holds it."""
 
     def run(batches):
         for batch in batches:
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
-                words, wanted = words_of(text.as_py()), wanted.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in wanted], pa.int64()), pa.array([" ".join(words[x["start"] : x["end"]]) for x in wanted], pa.string())], ["key", "text"])
+                wanted = wanted.as_py()
+                held = shingle_sets(words_of(text.as_py()), [(x["start"], x["end"]) for x in wanted])
+                sizes = np.cumsum([0, *map(len, held)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in wanted], pa.int64()), pa.ListArray.from_arrays(sizes, np.concatenate(held).view(np.int64))], ["key", "text"])
 
     places = paragraphs.join(few(keys), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc", "start", "end")).alias("at"))
     wanted = cut(places.groupBy("at.doc").agg(F.collect_list(F.struct("key", F.col("at.start").alias("start"), F.col("at.end").alias("end"))).alias("wanted")), "wanted")
-    return docs.select("doc", "text").dropDuplicates(["doc"]).join(wanted, "doc").select("text", "wanted").mapInArrow(run, "key long, text string").groupBy("key").agg(F.any_value("text").alias("text"))
+    return docs.select("doc", "text").dropDuplicates(["doc"]).join(wanted, "doc").select("text", "wanted").mapInArrow(run, "key long, text array<long>")
 
 
 def shingles(text: Column) -> Column:
-    """The set of the hashes of a paragraph's five-word shingles. The words are split once, as the element of an array of one."""
+    """The set of the hashes of a paragraph's five-word shingles, for paragraphs that are columns; texts cut in tasks take
+    ``shingle_sets``. The words are split once, as the element of an array of one."""
 
     def of(words):
         return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - WIDTH)), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WIDTH)))))
@@ -221,9 +242,11 @@ def repeated_passages(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     docs = told_apart(docs.select("doc_id", "text")).select("doc_id", "text", F.xxhash64("doc_id", "_copy").alias("doc"))
     paragraphs = _paragraphs(docs)
-    signed = paragraphs.where("m0 IS NOT NULL").select("key", *(c for c in paragraphs.columns if c.startswith("m")))
-    alike = jaccard(shingles(F.col("left")), shingles(F.col("right"))) >= least
-    comp = near_components(signed, BANDS, lambda keys: _texts(docs, paragraphs, keys), lambda pairs: pairs.where(alike), lambda found: found.select("key", F.explode(shingles(F.col("text"))).alias("shingle")), least)
+    words = [c for c in paragraphs.columns if c.startswith("m")]
+    signed = cut(paragraphs.where("m0 IS NOT NULL").groupBy("key").agg(*(F.any_value(w).alias(w) for w in words)), "signatures")
+    alike = jaccard(F.col("left"), F.col("right")) >= least
+    comp = near_components(signed, BANDS, lambda keys: _sets(docs, paragraphs, keys), lambda pairs: pairs.where(alike), lambda found: found.select("key", F.explode("text").alias("shingle")), least)
+    drop(signed)
     own = paragraphs.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     own = cut(own.join(comp.withColumnRenamed("node", "key"), "key", "left").where("low != high OR comp IS NOT NULL").withColumn("class", F.coalesce("comp", "key")), "own")
     classes = own.groupBy("class").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("component_id")).where("low != high")

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridloom.llm import banded, lines
+from gridloom.llm import banded, lines, passages
 from tests.llm.util import docs
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -35,6 +36,15 @@ def test_lines_alike_only_in_what_many_strangers_share(spark, sizes):
     assert got == {at: a for a, b in pairs for at in (a, b)}
 
 
+def test_passages_alike_only_in_what_many_strangers_share(spark, sizes):
+    rng = random.Random(35)
+    word = lambda: " " + "".join(rng.choices(LETTERS, k=7))
+    texts, pairs = forms(rng, lambda: "".join(word() for _ in range(84)).strip(), word, range(20, 25), 9)  # 80 / 98, strangers 80 / 109 at most
+    got = {r["doc_id"]: r["component_id"] for r in passages.repeated_passages(docs(spark, texts)).where("start_word = 0 AND end_word = 93").collect()}
+    # windows within the form are shared by all; whole rows only by the pairs
+    assert got == {at: a for a, b in pairs for at in (a, b)}
+
+
 def test_pairs_of_buckets_whatever_the_batches():
     rng = random.Random(33)
     rows = sorted((b, k) for b in range(-60, 60) for k in rng.sample(range(10_000), rng.choice([1, 1, 2, 3, banded.SMALL, banded.SMALL + 1, 90])))
@@ -49,3 +59,13 @@ def test_pairs_of_buckets_whatever_the_batches():
         table = pa.table({"bucket": pa.array([b for b, _ in rows]), "key": pa.array([k for _, k in rows])})
         got = [tuple(r.values()) for batch in banded._met(iter(table.to_batches(size))) for r in batch.to_pylist()]
         assert {r for r in got if r[2] is None} == small and sorted(r for r in got if r[2] is not None) == sorted(large)
+
+
+def test_sets_of_shingles():
+    rng = random.Random(34)
+    words = [rng.choice("abc") for _ in range(60)]
+    spans = [(0, 60), (3, 40), (3, 8), (1, 3), (4, 6), (9, 10)]
+    sets = [set(x.tolist()) for x in passages.shingle_sets(words, spans)]
+    plain = [{tuple(words[k : min(k + 5, e)]) for k in range(s, max(s + 1, e - 4))} for s, e in spans]
+    assert [[len(x & y) for y in sets] for x in sets] == [[len(x & y) for y in plain] for x in plain]
+    assert [len(x) for x in passages.shingle_sets(["a"], [(0, 1)])] == [1] and all(x.dtype == np.uint64 for x in passages.shingle_sets(words, spans))
