@@ -39,6 +39,28 @@ def test_lines_alike_only_in_what_many_strangers_share(spark, sizes):
     assert got == want and all(want[a] == want[b] for a, b in pairs)
 
 
+def test_semi_joins_take_a_row_a_text(spark, monkeypatch):
+    """Not one for each shingle, of which texts of large groups have hundreds."""
+    for name, value in (("MIDDLE", 20), ("BLOCK", 50)):
+        monkeypatch.setattr(banded, name, value)
+    frame, taken = type(spark.range(0)), []
+    join = frame.join
+
+    def counting(self, other, on=None, how=None):
+        if how == "left_semi":
+            taken.append(self.count())
+        return join(self, other, on, how)
+
+    rng = random.Random(36)
+    draw = lambda: rng.choice(LETTERS)
+    common = "".join(draw() for _ in range(144))
+    texts = [common + "".join(draw() for _ in range(16 if i < 2 else 24)) for i in range(120)]
+    monkeypatch.setattr(frame, "join", counting)
+    got = {r["doc_id"]: r["component_id"] for r in lines.line_classes(docs(spark, texts)).collect()}
+    assert got == {at: c for (at, _), (c, _) in plain_classes(list(enumerate(texts))).items()}
+    assert len(taken) > 3 and max(taken) <= len(texts)
+
+
 def test_passages_alike_only_in_what_many_strangers_share(spark, sizes):
     rng = random.Random(35)
     word = lambda: " " + "".join(rng.choices(LETTERS, k=7))
