@@ -245,7 +245,7 @@ def repeated_passages(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     words = [c for c in paragraphs.columns if c.startswith("m")]
     signed = cut(paragraphs.where("m0 IS NOT NULL").groupBy("key").agg(*(F.any_value(w).alias(w) for w in words)), "signatures")
     alike = jaccard(F.col("left"), F.col("right")) >= least
-    comp = near_components(signed, BANDS, lambda keys: _sets(docs, paragraphs, keys), lambda pairs: pairs.where(alike), lambda found: found.select("key", F.explode("text").alias("shingle")), least)
+    comp = near_components(signed, BANDS, lambda keys: _sets(docs, paragraphs, keys), lambda pairs: pairs.where(alike), lambda found: found.select("key", F.explode("text").alias("shingle")), least, F.size("text"))
     drop(signed)
     own = paragraphs.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     own = cut(own.join(comp.withColumnRenamed("node", "key"), "key", "left").where("low != high OR comp IS NOT NULL").withColumn("class", F.coalesce("comp", "key")), "own")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import banded, lines, passages
 from tests.llm.test_lines import plain_classes
@@ -94,3 +95,34 @@ def test_sets_of_shingles():
     plain = [{tuple(words[k : min(k + 5, e)]) for k in range(s, max(s + 1, e - 4))} for s, e in spans]
     assert [[len(x & y) for y in sets] for x in sets] == [[len(x & y) for y in plain] for x in plain]
     assert [len(x) for x in passages.shingle_sets(["a"], [(0, 1)])] == [1] and all(x.dtype == np.uint64 for x in passages.shingle_sets(words, spans))
+
+
+def test_pairs_of_unlike_sizes_fetch_no_sets(spark):
+    """A set of under 0.8 of the other's size has no similarity of 0.8; its array takes no part in the joins."""
+    sets = {1: list(range(100)), 2: list(range(80)), 3: list(range(79)), 4: list(range(10, 100))}
+    found = spark.createDataFrame(list(sets.items()), "key long, text array<long>")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    seen = []
+
+    def alike(joined):
+        seen.extend((r["a"], r["b"]) for r in joined.select("a", "b").collect())
+        return joined.where(banded.jaccard(F.col("left"), F.col("right")) >= 0.8)
+
+    got = banded.verified(spark.createDataFrame(pairs, "a long, b long"), found, alike, 0.8, F.size("text"))
+    want = {(a, b) for a, b in pairs if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    assert {(r["a"], r["b"]) for r in got.collect()} == want == {(1, 2), (1, 4), (2, 3)}
+    assert sorted(seen) == [(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
+def test_a_pair_that_meets_in_many_groups_is_one_row(spark):
+    """Sketches hold the low bits of each minimum, so that no fewer are equal; a text's pairs of all groups are one row of a task."""
+    rng = random.Random(37)
+    minima = [[rng.randrange(1 << banded.FIELD) for _ in range(25)] for _ in range(3)]
+    minima.append([m if i < 14 else m ^ 1 for i, m in enumerate(minima[0])])
+    packed = [(k, *(sum(m << banded.FIELD * n for n, m in enumerate(ms[at : at + 3])) for at in range(0, 25, 3))) for k, ms in enumerate(minima)]
+    signed = spark.createDataFrame(packed, "key long, " + ", ".join(f"m{i} long" for i in range(9)))
+    drawn = banded.sketched(signed, 25)
+    assert len(drawn.columns) == 4
+    rows = [(group, key, key, 1, True) for group in range(30) for key in range(4)]
+    got = banded._likely_within(spark.createDataFrame(rows, "group long, key long, comp long, size int, filed boolean"), drawn, 25, 12, 0.8)
+    assert [tuple(r) for r in got.collect()] == [(0, 3)]
