@@ -2,11 +2,59 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from gridloom.functions.boxes import poly_bbox
-from gridloom.operators.polygons import RING, box_window, ring_window, with_part
+from pyspark.sql import types as T
+
+from gridloom.operators.polygons import Rings, as_rings, in_groups, parts_of
+
+_MOVED = T.StructType().add("ring", T.ArrayType(T.StructType().add("x", "double").add("y", "double"))).add("parts", "integer").add("x1", "double").add("y1", "double").add("x2", "double").add("y2", "double")
+
+
+@F.arrow_udf(_MOVED)
+def _moved_part(polys: pa.Array, a: pa.Array, b: pa.Array, sx: pa.Array, sy: pa.Array, dx: pa.Array, dy: pa.Array, fit: pa.Array, ox: pa.Array, oy: pa.Array, cw: pa.Array, ch: pa.Array, clipped: pa.Array) -> pa.Array:
+    """Polygons fitted and moved: the largest part within the frame and the moved image with its box, or, of those that are not
+    clipped, the box of all corners and no ring."""
+    missing = polys.is_null().to_numpy(zero_copy_only=False)
+    of = [v.to_numpy(zero_copy_only=False).astype(np.float64) for v in (a, b, sx, sy, dx, dy, fit, ox, oy, cw, ch)]
+    clipped = clipped.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+    count, box, out = np.zeros(len(missing), np.int32), np.full((4, len(missing)), np.nan), []
+    for rows, held in in_groups(polys):
+        ka, kb, w, h, kx, ky, f, fx, fy, iw, ih = (v[rows][:, None] for v in of)
+
+        def moved(px, py):
+            x, y = px - w / 2, py - h / 2
+            return ka * x + kb * y + w / 2 + kx * w, ka * y - kb * x + h / 2 + ky * h
+
+        ring = Rings(*moved(held.x * f + fx, held.y * f + fy), held.n)
+        corners = [moved(x, y) for x, y in ((fx, fy), (fx + iw, fy), (fx + iw, fy + ih), (fx, fy + ih))]
+        quad = Rings(*(np.concatenate([c[i] for c in corners], axis=1) for i in (0, 1)), np.full(len(rows), 4))
+        side = np.sign(quad.areas())[:, None]
+        ea, eb = (quad.y - quad.next(quad.y)) * side, (quad.next(quad.x) - quad.x) * side
+        one, none = np.ones((len(rows), 1)), np.zeros((len(rows), 1))
+        frame = np.stack([np.concatenate(v, axis=1) for v in ((one, -one, none, none), (none, none, one, -one), (none, w, none, h))], axis=2)
+        planes = np.concatenate([frame, np.stack([ea, eb, -(ea * quad.x + eb * quad.y)], axis=2)], axis=1)
+        if (own := clipped[rows]).any():
+            cut, count[rows[own]] = parts_of(Rings(ring.x[own], ring.y[own], ring.n[own]), planes[own])
+            out.append((rows[own], cut))
+            _boxed(box, rows[own], cut)
+        if not own.all():
+            _boxed(box, rows[~own], Rings(ring.x[~own], ring.y[~own], ring.n[~own]))
+    for rows, part in out:
+        part.n = np.where(missing[rows], 0, part.n)
+    none = missing | ~clipped
+    ends = [pa.array(v, mask=np.isnan(v)) for v in box]
+    return pa.StructArray.from_arrays([as_rings(len(missing), out, none), pa.array(count, pa.int32(), mask=none), *ends], ["ring", "parts", "x1", "y1", "x2", "y2"])
+
+
+def _boxed(box: np.ndarray, rows: np.ndarray, rings: Rings) -> None:
+    """The smallest and largest coordinates of rings, into ``box``."""
+    real = rings.real & (rings.n > 0)[:, None]
+    for at, v in ((0, rings.x), (1, rings.y)):
+        low, high = np.where(real, v, np.inf).min(axis=1), np.where(real, v, -np.inf).max(axis=1)
+        box[at, rows], box[at + 2, rows] = np.where(rings.n > 0, low, np.nan), np.where(rings.n > 0, high, np.nan)
 
 
 def fan_out(images: DataFrame, augs: int) -> DataFrame:
@@ -45,23 +93,16 @@ def transform_polygons(rows: DataFrame, target: int | None = None, tag_class: in
     named = {"_fit": fit, "_a": a, "_b": b, "_sx": side[0].cast("double"), "_sy": side[1].cast("double"), "_cw": content[0], "_ch": content[1], "_ox": off[0], "_oy": off[1]}
     out = rows.where((F.col("cls") == tag_class) | (F.size("poly") >= 3)).withColumns(named)
 
-    def moved(px, py):
-        x, y = px - F.col("_sx") / 2, py - F.col("_sy") / 2
-        return F.struct((F.col("_a") * x + F.col("_b") * y + F.col("_sx") / 2 + F.col("dx") * F.col("_sx")).alias("x"), (F.col("_a") * y - F.col("_b") * x + F.col("_sy") / 2 + F.col("dy") * F.col("_sy")).alias("y"))
-
-    low, high = (F.col("_ox"), F.col("_oy")), (F.col("_ox") + F.col("_cw"), F.col("_oy") + F.col("_ch"))
-    quad = F.array(*(moved(x, y) for x, y in ((low[0], low[1]), (high[0], low[1]), (high[0], high[1]), (low[0], high[1]))))
-    ring = F.transform("poly", lambda p: moved(p["x"] * F.col("_fit") + F.col("_ox"), p["y"] * F.col("_fit") + F.col("_oy"))).cast(RING)
-    window = F.concat(box_window(F.lit(0), F.lit(0), F.col("_sx"), F.col("_sy")), ring_window(quad))
-    out = out.select(*(c for c in out.columns if c != "poly"), F.explode(F.array(F.struct(ring.alias("poly"), window.alias("window")))).alias("_moved"))
-    out = with_part(out, F.when(F.col("cls") != tag_class, F.col("_moved.poly")), F.col("_moved.window"))
-    out = out.where((F.col("cls") == tag_class) | (F.col("_part.parts") > 0)).withColumns({"poly": F.col("_moved.poly"), "_part": F.col("_part.ring")})
+    part = _moved_part("poly", *(F.col(c).cast("double") for c in ("_a", "_b", "_sx", "_sy", "dx", "dy", "_fit", "_ox", "_oy", "_cw", "_ch")), F.col("cls") != tag_class)
+    out = out.withColumn("_moved", part).select(*(c for c in out.columns if c != "poly"), F.explode(F.array("_moved")).alias("_part"))
+    out = out.where((F.col("cls") == tag_class) | (F.col("_part.parts") > 0))
 
     def held(v, axis):
         return F.least(F.greatest(v, F.lit(0.0)), F.col(f"_s{axis}"))
 
     boxed = {}
-    for c, own, ring in zip(("x1", "y1", "x2", "y2"), poly_bbox("poly"), poly_bbox("_part"), strict=True):
-        boxed[c] = F.round(F.when(F.col("cls") == tag_class, held(own, c[0])).otherwise(ring), 6) + F.lit(0.0)
+    for c in ("x1", "y1", "x2", "y2"):
+        own = F.col(f"_part.{c}")
+        boxed[c] = F.round(F.when(F.col("cls") == tag_class, held(own, c[0])).otherwise(own), 6) + F.lit(0.0)
     out = out.withColumns(boxed).where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) >= least_area))
-    return out.select("image_id", "aug", "box_id", "cls", "x1", "y1", "x2", "y2", F.col("_part").alias("poly"))
+    return out.select("image_id", "aug", "box_id", "cls", "x1", "y1", "x2", "y2", F.col("_part.ring").alias("poly"))
