@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.boxes import CONTINUOUS, INCLUSIVE, iou
+from gridloom.operators.folds import unmatched_before
 
 PAIR = "array<struct<iou:double,det_id:bigint,box_id:bigint>>"
 CORNERS = ("x1", "y1", "x2", "y2")
@@ -49,18 +51,22 @@ def candidate_pairs_by_cell(preds: DataFrame, gts: DataFrame, least: float, cell
     return p.join(g, near).select(*(f"p.{k}" for k in keys), "p.det_id", "g.box_id", "p.score", value.alias("iou")).where((F.col("iou") >= least) & (F.col("iou") > 0))
 
 
+def _taken(pairs: str):
+    @F.arrow_udf(PAIR)  # its type is read by the session
+    def taken(pairs: pa.Array) -> pa.Array:
+        return unmatched_before(pairs)
+
+    return taken(pairs)
+
+
 def greedy_matches(pairs: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """The pairs that a greedy pass takes: highest (iou, det_id, box_id) first, each box of either side once.
 
     One shuffle on ``keys``; a fold over each image's pairs keeps those that meet no earlier one.
     """
-    ordered = F.reverse(F.array_sort(F.collect_list(F.struct("iou", "det_id", "box_id"))))
-
-    def take(taken, pair):
-        met = F.exists(taken, lambda t: (t["det_id"] == pair["det_id"]) | (t["box_id"] == pair["box_id"]))
-        return F.when(met, taken).otherwise(F.array_append(taken, pair))
+    ordered = F.reverse(F.array_sort(F.collect_list(F.struct("iou", F.col("det_id").cast("long").alias("det_id"), F.col("box_id").cast("long").alias("box_id")))))
 
-    folded = pairs.groupBy(*keys).agg(ordered.alias("pairs")).select(*keys, F.aggregate("pairs", F.array().cast(PAIR), take).alias("pairs"))
+    folded = pairs.groupBy(*keys).agg(ordered.alias("pairs")).select(*keys, F.explode(F.array("pairs")).alias("pairs")).withColumn("pairs", _taken("pairs"))
     return folded.select(*keys, F.inline("pairs")).select(*keys, "det_id", "box_id", "iou")
 
 

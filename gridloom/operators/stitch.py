@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.boxes import CLIPPED, INCLUSIVE, aspect, inner_border, iou, short_side
+from gridloom.operators.folds import unsuppressed
 
 CORNERS = ("x1", "y1", "x2", "y2")
 BOX = "struct<at:double,det_id:bigint,x1:double,y1:double,x2:double,y2:double,score:double>"
@@ -30,16 +32,34 @@ def _walked(dets: DataFrame, keys: Sequence[str]) -> DataFrame:
     return dets.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
 
 
+def _unsuppressed(mode: str):
+    @F.arrow_udf(f"array<{BOX}>")
+    def kept(boxes: pa.Array, most: pa.Array) -> pa.Array:
+        return unsuppressed(boxes, most, mode)
+
+    return kept
+
+
 def nms(dets: DataFrame, most: float | Column, mode: str = INCLUSIVE, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Boxes that no kept box of a higher score overlaps by more than ``most`` (a number or one of ``keys``); blind to classes."""
 
-    def step(kept, box):
-        return F.when(F.exists(kept, lambda k: iou(_of(k), _of(box), mode) > most), kept).otherwise(F.array_append(kept, box))
+    # a generator hands the lists on once, whatever is read of them later
+    walked = _walked(dets, keys).select(*keys, F.inline(F.array(F.struct("boxes", (most if isinstance(most, Column) else F.lit(most)).cast("double").alias("_most")))))
+    return _kept(walked, mode, keys)
 
-    folded = _walked(dets, keys).select(*keys, F.aggregate("boxes", F.array().cast(f"array<{BOX}>"), step).alias("boxes"))
+
+def _kept(walked: DataFrame, mode: str, keys: Sequence[str]) -> DataFrame:
+    folded = walked.withColumn("boxes", _unsuppressed(mode)("boxes", "_most"))
     return folded.select(*keys, F.inline("boxes")).drop("at")
 
 
+def nms_at(dets: DataFrame, values: Sequence[float], name: str, mode: str = INCLUSIVE, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """``nms`` at each of ``values``, in a column ``name``: an image's boxes are gathered and put in order once."""
+    each = F.explode(F.array(*(F.lit(float(v)) for v in values)))
+    walked = _walked(dets, keys).select(*keys, "boxes", each.alias(name)).withColumn("_most", F.col(name))
+    return _kept(walked, mode, [name, *keys])
+
+
 def anchored(dets: DataFrame, edge: Edge, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Each box with the anchor that it joins: the first earlier anchor with an edge to it, else itself."""
     return _anchored(_walked(dets, keys), edge, keys)

@@ -202,3 +202,43 @@ def test_regions_with_missing_corners(spark):
     images = spark.createDataFrame([(i, 100, 50) for i in range(1, 6)], "image_id long, width long, height long")
     got = sorted(tuple(r) for r in tiling.manifest_boxes(rois, images).collect())
     assert got == [(1, 0, 0, 99, 49, True), (2, 0, 3, 9, 3, False), (4, 7, 0, 99, 49, False), (5, 20, 2, 20, 8, False)]
+
+
+def test_suppression_at_several_values_gathers_boxes_once(spark):
+    rng = random.Random(51)
+    rows = [(i, d, *(lambda x, y, w: (x, y, x + w, y + w))(rng.randrange(60), rng.randrange(60), rng.randrange(1, 40)), rng.choice([0.2, 0.5, 0.5, rng.random()])) for i in range(9) for d in range(rng.choice([1, 3, 20, 70]))]
+    dets = spark.createDataFrame(rows, "image_id long, det_id long, x1 long, y1 long, x2 long, y2 long, score double")
+    once = stitch.nms_at(dets, [0.2, 0.5], "most", "clipped").select("most", "image_id", "det_id").collect()
+
+    def share(a, b):
+        w, h = (max(0, min(a[i + 2], b[i + 2]) - max(a[i], b[i])) for i in (0, 1))
+        area = lambda t: (t[2] - t[0]) * (t[3] - t[1])
+        return w * h / (area(a) + area(b) - w * h + 1e-9)
+
+    want = set()
+    for most in (0.2, 0.5):
+        kept = []
+        for r in sorted(rows, key=lambda r: (-r[6], r[1])):
+            if all(k[0] != r[0] or share(k[2:6], r[2:6]) <= most for k in kept):
+                kept.append(r)
+        want |= {(most, r[0], r[1]) for r in kept}
+    assert {tuple(r) for r in once} == want and len(once) == len(want)
+
+
+def test_long_lists_go_alone(monkeypatch):
+    import pyarrow as pa
+
+    from gridloom.operators import folds
+
+    rng = random.Random(52)
+    lists = [[{"iou": 0.5, "det_id": rng.randrange(n), "box_id": rng.choice([None, rng.randrange(n)])} for _ in range(n)] for n in (0, 1, 5, 40, 40, 300)]
+    pairs = pa.array([*lists, None], pa.list_(pa.struct([("iou", pa.float64()), ("det_id", pa.int64()), ("box_id", pa.int64())])))
+    got = folds.unmatched_before(pairs).to_pylist()
+    monkeypatch.setattr(folds, "ALONE", 4)
+    assert folds.unmatched_before(pairs).to_pylist() == got
+    for rows, out in zip(lists, got):
+        want = []
+        for r in rows:
+            if not any(t["det_id"] == r["det_id"] or t["box_id"] is not None and t["box_id"] == r["box_id"] for t in want):
+                want.append(r)
+        assert out == want
